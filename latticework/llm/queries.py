@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import exact_dedup, simhash_trie, url_reputation, vafile_topk
+import public_tokenizers
+
+from latticework.llm import bigru_langid, bin_completion, bpe_chunks, exact_dedup, quality_eb, simhash_trie, url_reputation, vafile_topk
 from latticework.llm.common import read
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_eb.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return bpe_chunks.encode_documents(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile_topk.exact_top_k(read(spark, sf_dir, "embeddings"))
 
@@ -16,6 +31,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bigru_langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
@@ -25,7 +44,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_exact_topk, op6_simhash_dedup, op8_url_filters, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_quality_classifier, op4_bpe_chunks, op5_exact_topk, op6_simhash_dedup, op7_language_id, op8_url_filters, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
