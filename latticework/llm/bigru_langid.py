@@ -15,7 +15,7 @@ WINDOW, HIDDEN = 64, 8
 SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 8
 EPOCHS, BATCH, RATE, SEED = 8, 256, 0.01, 7
 #: Windows that go through the network at once.
-AT_ONCE = 2048
+AT_ONCE = 4096
 UNDETERMINED = "und"
 
 
