@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from latticework.llm import bigru_langid, bin_completion, bpe_chunks, exact_dedup, quality_eb, simhash_trie, url_reputation, vafile_topk
+from latticework.llm import bigru_langid, bin_completion, bpe_chunks, exact_dedup, line_dedup, quality_eb, simhash_trie, url_reputation, vafile_topk
 from latticework.llm.common import read
 
 
@@ -43,8 +43,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_quality_classifier, op4_bpe_chunks, op5_exact_topk, op6_simhash_dedup, op7_language_id, op8_url_filters, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_quality_classifier, op4_bpe_chunks, op5_exact_topk, op6_simhash_dedup, op7_language_id, op8_url_filters, op9_exact_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
