@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticework.llm.common import free_name
+
 #: Bytes of a window, which the network reads both ways from a zero state; hidden units.
 WINDOW, HIDDEN = 64, 8
 #: Bound of the training sample: documents, and windows of each.
@@ -17,6 +19,8 @@ EPOCHS, BATCH, RATE, SEED = 8, 256, 0.01, 7
 #: Windows that go through the network at once.
 AT_ONCE = 4096
 UNDETERMINED = "und"
+#: Documents that score less are rejected by accepted().
+LEAST_SCORE = 0.3
 
 
 @dataclass
@@ -213,18 +217,33 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ignored. `net`: a network trained before; else one is trained on docs.
     """
     net = net or train(docs, id_col, text_col, lang_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def each(parts):
-        for part in parts:
-            lang, score = np.full(len(part), UNDETERMINED, object), np.zeros(len(part))
-            at = [i for i, x in enumerate(part.text) if isinstance(x, str) and any(map(str.isalpha, x))]
-            if net and at:
-                y = net.documents([part.text.iloc[i].encode() for i in at])
-                best = y.argmax(axis=1)
-                lang[at], score[at] = np.array(net.langs, object)[best], np.clip(y[np.arange(len(at)), best], 0, 1)
-            yield pd.DataFrame({"doc_id": part.doc_id, "lang_pred": lang, "score": score})
-
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    done = rows.mapInPandas(each, "doc_id string, lang_pred string, score double")
-    return done.select(F.col("doc_id").cast(kind).alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = predictor(net)(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), found.alias("found"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("found.lang_pred").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+def predictor(net: BiGru | None):
+    """A UDF: text -> (lang_pred, score)."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(text: pd.Series) -> pd.DataFrame:
+        lang, score = np.full(len(text), UNDETERMINED, object), np.zeros(len(text))
+        at = [i for i, x in enumerate(text) if isinstance(x, str) and any(map(str.isalpha, x))]
+        if net and at:
+            y = net.documents([text.iloc[i].encode() for i in at])
+            best = y.argmax(axis=1)
+            lang[at], score[at] = np.array(net.langs, object)[best], np.clip(y[np.arange(len(at)), best], 0, 1)
+        return pd.DataFrame({"lang_pred": lang, "score": score})
+
+    return predict
+
+
+def accepted(docs: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs, all columns kept, without the documents whose language can't be told: those with
+    `und` (null or empty text, no letter), and those that score under `least`. If no document
+    could be learned from, only those without a letter go."""
+    net = train(docs, id_col, text_col, lang_col)
+    found = free_name(docs.columns, "_found")
+    judged = docs.withColumn(found, predictor(net)(F.col(text_col)))
+    keeps = (F.col(f"{found}.lang_pred") != UNDETERMINED) & (F.col(f"{found}.score") >= least) if net else F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    return judged.where(keeps).select(*[F.col(f"`{c}`") for c in docs.columns])

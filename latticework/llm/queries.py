@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from latticework.llm import bigru_langid, bin_completion, bpe_chunks, exact_dedup, line_dedup, quality_eb, simhash_trie, url_reputation, vafile_topk
+from latticework.llm import bigru_langid, bin_completion, bpe_chunks, exact_dedup, line_dedup, pii_surrogates, quality_eb, simhash_trie, url_reputation, vafile_topk
 from latticework.llm.common import read
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.surrogate_documents(read(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,7 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_quality_classifier, op4_bpe_chunks, op5_exact_topk, op6_simhash_dedup, op7_language_id, op8_url_filters, op9_exact_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_best_fit_packing, op3_quality_classifier, op4_bpe_chunks, op5_exact_topk, op6_simhash_dedup, op7_language_id, op8_url_filters, op9_exact_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import components, cut
+from latticework.llm.common import components, cut, free_name
 
 SEED = 42
 SHINGLE = 3
@@ -47,8 +47,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.frombuffer(b"".join(map(fingerprint, part.text)), ">i8").astype(np.int64)
             yield pd.DataFrame({"doc_id": part.doc_id, "fp": fps})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(each, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType.simpleString()))
 
 
 def top_pairs(sizes: dict[int, int], bits: int, subtree: int = SUBTREE, least: int = LEAST_BITS, budget: int = BUDGET) -> list[tuple[int, int, bool]]:
@@ -194,9 +194,37 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored.
     """
     marked = cut(fingerprints(docs, id_col, text_col))
+    return grouped(marked, budget).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(marked: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Rows (doc_id, fp, ...) with their component_id."""
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(links(classes.select("fp"), budget))
     rooted = classes.join(groups, classes.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(of, "fp")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """docs, all columns kept, with one document of each component: the row with the smallest
+    id, null ids last, and of rows with that id any one. Repeated rows count as one."""
+    key = free_name(docs.columns, "_key")
+    named = docs.withColumn(key, F.md5(F.concat_ws("\x1f", F.col(id_col).cast("string"), F.lit("\x1e"), F.col(text_col))))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def each(parts):
+        for part in parts:
+            fps = np.frombuffer(b"".join(map(fingerprint, part.text)), ">i8").astype(np.int64)
+            yield pd.DataFrame({"doc_id": part.doc_id, "key": part.key, "fp": fps})
+
+    rows = named.select(F.col(id_col).cast("string").alias("doc_id"), F.col(key).alias("key"), F.col(text_col).alias("text"))
+    marked = cut(rows.mapInPandas(each, "doc_id string, key string, fp long").withColumn("doc_id", F.col("doc_id").cast(kind)))
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")
+    kept = grouped(marked, budget).groupBy(F.coalesce("component_id", F.lit(None).cast(kind)).alias("c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(order).alias("first"))
+    times = marked.groupBy("key").count()
+    kept = cut(kept.select(F.col("first.key").alias("key")).join(times, "key").select(F.col("key").alias(key), "count"))
+    once, often = kept.where("count = 1").select(key), kept.where("count > 1").select(key)
+    rest = named.join(often, key, "left_semi").dropDuplicates([key])
+    return named.join(once, key, "left_semi").unionByName(rest).select(*[F.col(f"`{c}`") for c in docs.columns])
