@@ -17,7 +17,7 @@ WINDOW, HIDDEN = 64, 8
 SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 8
 EPOCHS, BATCH, RATE, SEED = 8, 256, 0.01, 7
 #: Windows that go through the network at once.
-AT_ONCE = 4096
+AT_ONCE = 1024
 UNDETERMINED = "und"
 #: Documents that score less are rejected by accepted().
 LEAST_SCORE = 0.3
@@ -25,9 +25,10 @@ LEAST_SCORE = 0.3
 
 @dataclass
 class BiGru:
-    """For each direction: x (256, 3h) inputs by byte, u (h, 3h) recurrence, c (h) the
+    """For each direction: x (3h, 256) inputs by byte, u (3h, h) recurrence, c (h, 1) the
     candidate's recurrent bias; gates in the order update, reset, candidate. Then the output
-    layer v (2h, classes) and b."""
+    layer v (classes, 2h) and b. Windows run along the last axis, so each step is whole-array
+    arithmetic."""
 
     langs: list[str]
     p: dict[str, np.ndarray] = field(default_factory=dict)
@@ -38,86 +39,84 @@ class BiGru:
         make = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
         p = {}
         for d in "fb":
-            p |= {f"x{d}": make(256, 3 * hidden, s=0.3), f"u{d}": make(hidden, 3 * hidden, s=hidden**-0.5), f"c{d}": np.zeros(hidden, np.float32)}
-        p |= {"v": make(2 * hidden, len(langs), s=hidden**-0.5), "b": np.zeros(len(langs), np.float32)}
+            p |= {f"x{d}": make(3 * hidden, 256, s=0.3), f"u{d}": make(3 * hidden, hidden, s=hidden**-0.5), f"c{d}": np.zeros((hidden, 1), np.float32)}
+        p |= {"v": make(len(langs), 2 * hidden, s=hidden**-0.5), "b": np.zeros((len(langs), 1), np.float32)}
         return cls(langs, p)
 
-    def run(self, d: str, windows: np.ndarray, trace: bool = False):
-        """States (time, window, h) of one direction; with trace also what backward() needs."""
-        x, u, c = (self.p[k + d] for k in "xuc")
-        n, h = windows.shape[0], u.shape[0]
-        steps = windows.T if d == "f" else windows.T[::-1]
-        states, kept = np.empty((windows.shape[1], n, h), np.float32), []
-        s = np.zeros((n, h), np.float32)
-        for t, b in enumerate(steps):
-            g, a = x[b], s @ u
-            gates = g[:, : 2 * h]
-            gates += a[:, : 2 * h]
-            gates *= 0.5
+    def run(self, d: str, steps: np.ndarray, trace: bool = False):
+        """States (time, h, window) of one direction; with trace also what gradients() needs.
+        steps: the windows' bytes (time, window). The logistic function is (1 + tanh(x/2)) / 2;
+        the halves are in the weights."""
+        x, u, c = (self.p[k + d] * np.float32(0.5) for k in "xuc")
+        h = u.shape[1]
+        x[2 * h :] *= 2
+        n = steps.shape[1]
+        states, kept = np.empty((len(steps), h, n), np.float32), []
+        s, g, a, w = (np.zeros((k, n), np.float32) for k in (h, 3 * h, 3 * h, h))
+        for t in range(len(steps)) if d == "f" else range(len(steps) - 1, -1, -1):
+            np.take(x, steps[t], axis=1, out=g, mode="clip")
+            np.matmul(u, s, out=a)
+            gates, m, inner = g[: 2 * h], g[2 * h :], a[2 * h :]
+            gates += a[: 2 * h]
             np.tanh(gates, out=gates)
             gates += 1
-            gates *= 0.5  # the logistic function
-            z, r = gates[:, :h], gates[:, h:]
-            inner = a[:, 2 * h :]
             inner += c
-            m = r * inner
-            m += g[:, 2 * h :]
+            np.multiply(gates[h:], inner, out=w)
+            m += w
             np.tanh(m, out=m)
             if trace:
-                kept.append((s, z, r, m, inner))
-            s = s - m
-            s *= z
-            s += m
-            states[t if d == "f" else -1 - t] = s
+                kept.append((t, s.copy(), gates[:h] / 2, gates[h:] / 2, m.copy(), inner * 2))
+            np.subtract(s, m, out=w)
+            w *= gates[:h]
+            w *= 0.5
+            s = np.add(w, m, out=states[t])
         return (states, kept) if trace else states
 
     def position_scores(self, forward: np.ndarray, back: np.ndarray) -> np.ndarray:
-        """Probabilities (time, window, class)."""
-        h = forward.shape[2]
-        y = forward.reshape(-1, h) @ self.p["v"][:h]
-        y += back.reshape(-1, h) @ self.p["v"][h:]
+        """Probabilities (time, class, window)."""
+        h = forward.shape[1]
+        y = np.matmul(self.p["v"][:, :h], forward)
+        y += np.matmul(self.p["v"][:, h:], back)
         y += self.p["b"]
-        y -= y.max(axis=1, keepdims=True)
+        if np.abs(self.p["v"]).sum(axis=1).max() + np.abs(self.p["b"]).max() > 60:  # else states under 1 can't overflow
+            y -= y.max(axis=1, keepdims=True)
         np.exp(y, out=y)
         y /= y.sum(axis=1, keepdims=True)
-        return y.reshape(*forward.shape[:2], -1)
+        return y
 
     def gradients(self, windows: np.ndarray, sizes: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients by backpropagation through time. Every position of a window,
         up to its size, is labelled with the window's language."""
-        h = self.p["uf"].shape[0]
-        (hf, tf), (hb, tb) = self.run("f", windows, True), self.run("b", windows, True)
+        h = self.p["uf"].shape[1]
+        steps = np.ascontiguousarray(windows.T).astype(np.intp)
+        (hf, tf), (hb, tb) = self.run("f", steps, True), self.run("b", steps, True)
         y = self.position_scores(hf, hb)
-        t, n = y.shape[:2]
+        t, _, n = y.shape
         mask = (np.arange(t)[:, None] < sizes[None, :]) * weights[None, :]
         mask = (mask / mask.sum()).astype(np.float32)
-        at = y[:, np.arange(n), targets]
-        loss = float(-(mask * np.log(np.maximum(at, 1e-9))).sum())
-        dy = y.copy()
-        dy[:, np.arange(n), targets] -= 1
-        dy *= mask[:, :, None]
-        flat = dy.reshape(t * n, -1)
-        g = {"b": flat.sum(0), "v": np.concatenate((hf.reshape(t * n, h).T @ flat, hb.reshape(t * n, h).T @ flat))}
-        for d, kept, v in (("f", tf, self.p["v"][:h]), ("b", tb, self.p["v"][h:])):
-            u = self.p[f"u{d}"]
-            out = (flat @ v.T).reshape(t, n, h)
+        own = np.arange(n)
+        loss = float(-(mask * np.log(np.maximum(y[:, targets, own], 1e-9))).sum())
+        y[:, targets, own] -= 1
+        y *= mask[:, None, :]
+        both = np.concatenate((hf, hb), axis=1)
+        g = {"b": y.sum(axis=(0, 2))[:, None], "v": np.matmul(y, both.transpose(0, 2, 1)).sum(axis=0)}
+        for d, kept, v in (("f", tf, self.p["v"][:, :h]), ("b", tb, self.p["v"][:, h:])):
+            u, out = self.p[f"u{d}"], np.matmul(v.T, y)
             gx, gu, gc = (np.zeros_like(self.p[k + d]) for k in "xuc")
-            ds = np.zeros((n, h), np.float32)
-            steps = windows.T if d == "f" else windows.T[::-1]
-            for k in range(t - 1, -1, -1):
-                s, z, r, m, inner = kept[k]
-                ds = ds + out[k if d == "f" else t - 1 - k]
+            ds, one = np.zeros((h, n), np.float32), np.zeros((n, 256), np.float32)
+            for k, s, z, r, m, inner in reversed(kept):
+                ds = ds + out[k]
                 dm = ds * (1 - z) * (1 - m * m)
                 dz = ds * (s - m) * z * (1 - z)
                 dr = dm * inner * r * (1 - r)
                 di = dm * r
-                da = np.concatenate((dz, dr, di), axis=1)
-                gc += di.sum(0)
-                gu += s.T @ da
-                one = np.zeros((256, n), np.float32)
-                one[steps[k], np.arange(n)] = 1
-                gx += one @ np.concatenate((dz, dr, dm), axis=1)
-                ds = ds * z + da @ u.T
+                da = np.concatenate((dz, dr, di))
+                gc += di.sum(axis=1, keepdims=True)
+                gu += da @ s.T
+                one[own, steps[k]] = 1
+                gx += np.concatenate((dz, dr, dm)) @ one
+                one[own, steps[k]] = 0
+                ds = ds * z + u.T @ da
             g |= {f"x{d}": gx, f"u{d}": gu, f"c{d}": gc}
         return loss, g
 
@@ -152,10 +151,11 @@ class BiGru:
         sums = np.zeros((len(windows) + 1, len(self.langs)))
         for at in range(0, len(windows), AT_ONCE):
             w, s = windows[at : at + AT_ONCE], sizes[at : at + AT_ONCE]
-            y = self.position_scores(self.run("f", w), self.run("b", w))
+            steps = np.ascontiguousarray(w.T).astype(np.intp)
+            y = self.position_scores(self.run("f", steps), self.run("b", steps))
             if (s < WINDOW).any():
-                y *= (np.arange(WINDOW)[:, None] < s[None, :])[:, :, None]
-            sums[at : at + len(w)] = y.sum(axis=0)
+                y *= (np.arange(WINDOW)[:, None] < s[None, :])[:, None, :]
+            sums[at : at + len(w)] = y.sum(axis=0).T
         ends = np.cumsum(counts)
         total = np.concatenate((np.zeros((1, sums.shape[1])), np.cumsum(sums[:-1], axis=0)))
         pooled = total[ends] - total[ends - counts]
@@ -179,7 +179,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     those whose ids hash lowest, SAMPLE_WINDOWS windows of each. None if there are none."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("id")))
-    chosen = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample_docs)
+    ids = rows.select("id").orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample_docs).distinct()
+    chosen = rows.join(F.broadcast(ids), "id", "left_semi")  # sample_docs ids at most
 
     def some(parts):
         for part in parts:
@@ -191,7 +192,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     out.append((lang, windows[k].tobytes(), int(sizes[k])))
             yield pd.DataFrame(out, columns=["lang", "window", "size"])
 
-    found = chosen.mapInPandas(some, "lang string, window binary, size int").toPandas().sort_values(["lang", "window", "size"])
+    drawn = chosen.mapInPandas(some, "lang string, window binary, size int").limit(sample_docs * SAMPLE_WINDOWS)
+    found = drawn.toPandas().sort_values(["lang", "window", "size"])
     if found.empty:
         return None
     langs = sorted(set(found.lang))
