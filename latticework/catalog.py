@@ -1,11 +1,371 @@
-"""The registered queries of the library's own operators, and their SQL."""
+"""The registered queries of the library's own operators, and their SQL.
+
+Sentences are the lines of `documents`; an unsegmented sentence is one in lower case without
+its spaces. The dictionary is the words of `benchmark`. Gold tokens are the words between
+spaces; the other segmentation they are held against splits at each change of letter case or
+kind. All run over whole tables and whole texts.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from latticework.functions import chars, hashing, kana
+from latticework.operators import dictionary, evaluation, formats, search, seeds
+from latticework.sources import text as source
+
+ID = ["doc_id", "sent"]
+WORD = "[a-zà-ÿ]+"
+LATIN_KANA = ("aiueokstnm", "あいうーぉかっとのん")
+PARTS = r"[a-zà-ÿ]+|[A-ZÀ-Þ]+|[0-9]+|[^a-zà-ÿA-ZÀ-Þ0-9]+"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines(spark, sf_dir):
+    return source.sentences(table(spark, sf_dir, "documents"))
+
+
+def unsegmented(spark, sf_dir):
+    return lines(spark, sf_dir).withColumn("text", F.replace(F.lower("text"), F.lit(" "), F.lit("")))
+
+
+def words(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))).alias("surface")).distinct()
+
+
+def gold(spark, sf_dir):
+    return source.tokens(table(spark, sf_dir, "documents"))
+
+
+def other(spark, sf_dir):
+    """Tokens at each change of kind, of sentences without spaces."""
+    bare = lines(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" "), F.lit("")))
+    rows = bare.select(*ID, F.regexp_extract_all("text", F.lit(f"({PARTS})"), F.lit(1)).alias("w")).where("size(w) > 0").withColumn("e", source.running_ends("w"))
+    return rows.select(*ID, F.posexplode(F.arrays_zip("w", "e")).alias("pos", "t")).select(*ID, "pos", (F.col("t.e") - F.length("t.w")).alias("start"), F.col("t.e").alias("end"), F.col("t.w").alias("surface"))
+
+
+def kind(surface):
+    return F.when(surface.rlike("^[A-ZÀ-Þ]"), "head").when(surface.rlike(r"[.,]$"), "tail").otherwise("word")
+
+
+KIND_SQL = "CASE WHEN regexp_matches(surface, '^[A-ZÀ-Þ]') THEN 'head' WHEN regexp_matches(surface, '[.,]$') THEN 'tail' ELSE 'word' END"
+LINES = "lines AS (SELECT doc_id, (g.i - 1)::INTEGER AS sent, t.l[g.i] AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) t, LATERAL (SELECT unnest(range(1, len(t.l) + 1)) AS i) g)"
+BARE = LINES + ", bare AS (SELECT doc_id, sent, replace(lower(text), ' ', '') AS text FROM lines)"
+WORDS = f"words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD}')) AS surface FROM benchmark)"
+
+
+def _tiled(name: str, of: str) -> str:
+    return f"{name} AS (SELECT doc_id, sent, (g.i - 1)::INTEGER AS pos, (coalesce(list_sum(list_transform(t.w[:g.i], lambda x: length(x))), 0) - length(t.w[g.i]))::INTEGER AS start, coalesce(list_sum(list_transform(t.w[:g.i], lambda x: length(x))), 0)::INTEGER AS \"end\", t.w[g.i] AS surface FROM (SELECT doc_id, sent, {of} AS w FROM lines) t, LATERAL (SELECT unnest(range(1, len(t.w) + 1)) AS i) g)"
+
+
+GOLD = LINES + ", " + _tiled("gold", "list_filter(string_split(text, ' '), lambda x: x <> '')")
+OTHER = _tiled("other", f"regexp_extract_all(replace(text, ' ', ''), '{PARTS}')")
+CHARS = "chars AS (SELECT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '')"
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"WITH {CHARS}, n AS (SELECT ch, count(*) AS n FROM chars GROUP BY ch) SELECT {chars.class_sql('unicode(ch)')}::INTEGER AS cls, sum(n)::BIGINT AS n_chars, count(*) AS n_kinds FROM n GROUP BY 1")
+def char_classes(spark, sf_dir):
+    each = table(spark, sf_dir, "documents").where("text <> ''").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").count()
+    return each.groupBy(chars.char_class(F.col("ch")).alias("cls")).agg(F.sum("count").alias("n_chars"), F.count("*").alias("n_kinds"))
+
+
+@query("SELECT doc_id, length(text) AS n_codepoints, strlen(text) AS n_bytes, strlen(text) <= 4096 AS fits FROM documents")
+def codepoint_stats(spark, sf_dir):
+    n = F.octet_length("text").cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("n_codepoints"), n.alias("n_bytes"), (n <= 4096).alias("fits"))
+
+
+@query(
+    f"WITH {GOLD}, u AS (SELECT doc_id, sent, replace(text, ' ', '') AS text FROM lines), c AS (SELECT CASE WHEN start > 0 THEN unicode(substring(text, start, 1)) ELSE -1 END AS before, CASE WHEN \"end\" < length(text) THEN unicode(substring(text, \"end\" + 1, 1)) ELSE -1 END AS after FROM gold JOIN u USING (doc_id, sent)) SELECT before::INTEGER AS before, after::INTEGER AS after, count(*) AS n FROM c GROUP BY ALL"
+)
+def context_codepoints(spark, sf_dir):
+    bare = lines(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" "), F.lit("")))
+    rows = gold(spark, sf_dir).join(bare, ID)
+    at = lambda k: chars.codepoint_at(F.col("text"), F.col("start"), F.col("end"), k)
+    return rows.groupBy(at(-1).alias("before"), at(1).alias("after")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '{WORD}')) AS value FROM documents), n AS (SELECT value, count(*) AS count FROM t GROUP BY value) SELECT value, count, row_number() OVER (ORDER BY count DESC, value) AS id FROM n"
+)
+def dict_encode(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))).alias("value"))
+    return dictionary.encode(t)
+
+
+@query(
+    "SELECT p_brand, p_type, min(p_partkey) AS first_row, count(*) AS n_aliases, string_agg(p_partkey::VARCHAR || ':' || p_name, '|' ORDER BY p_partkey) AS aliases FROM part GROUP BY p_brand, p_type"
+)
+def dict_alias(spark, sf_dir):
+    rows = dictionary.alias(table(spark, sf_dir, "part"), ["p_brand", "p_type"], ["p_name"], "p_partkey")
+    return rows.withColumn("aliases", F.array_join(F.transform("aliases", lambda x: F.concat(x["p_partkey"].cast("string"), F.lit(":"), x["p_name"])), "|"))
+
+
+@query(
+    "WITH big AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size >= 48) SELECT p_partkey, CASE WHEN list_has_any(string_split(p_type, ' '), ['ECONOMY', 'BRASS', 'TIN']) THEN 1 ELSE 0 END AS list_bit, CASE WHEN big.p_brand IS NULL THEN 0 ELSE 1 END AS tuple_bit FROM part LEFT JOIN big USING (p_brand, p_type)"
+)
+def match_bits(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    rows = dictionary.match_rows(part, part.where("p_size >= 48"), ["p_brand", "p_type"], "tuple_bit")
+    return rows.select("p_partkey", dictionary.match_any(F.split("p_type", " "), ["ECONOMY", "BRASS", "TIN"]).alias("list_bit"), "tuple_bit")
+
+
+@query(
+    "WITH t AS (SELECT event_id, trim(regexp_replace(props, '[{}\",]+', ' ', 'g')) AS p FROM events), i AS (SELECT event_id, unnest(list_filter(string_split(regexp_replace(p, ' *: *', ':', 'g'), ' '), lambda x: x <> '')) AS x FROM t), kv AS (SELECT split_part(x, ':', 1) AS k, CASE WHEN contains(x, ':') THEN substring(x, strpos(x, ':') + 1) END AS v FROM i) SELECT k, v, count(*) AS n FROM kv GROUP BY k, v"
+)
+def kv_parse(spark, sf_dir):
+    p = F.regexp_replace(F.trim(F.regexp_replace("props", '[{}",]+', " ")), " *: *", ":")
+    rows = table(spark, sf_dir, "events").select(F.explode(source.key_values(p)).alias("x"))
+    return rows.groupBy(F.col("x.k").alias("k"), F.col("x.v").alias("v")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_name, p_partkey IN (1, 2, 3, 4, 5, 6, 7, 8) AS is_template FROM part")
+def template_rows(spark, sf_dir):
+    some, rest = dictionary.split_templates(table(spark, sf_dir, "part"), "p_partkey", list(range(1, 9)))
+    return some.select("p_partkey", "p_name", F.lit(True).alias("is_template")).unionByName(rest.select("p_partkey", "p_name", F.lit(False).alias("is_template")))
+
+
+PREFIXES = "prefixes AS (SELECT surface[:n] AS prefix, max(CASE WHEN n = length(surface) THEN 1 ELSE 0 END) AS is_word FROM words, LATERAL (SELECT unnest(range(1, length(surface) + 1)) AS n) g GROUP BY 1)"
+HITS = "hits AS (SELECT doc_id, sent, s::INTEGER AS start, (s + length(surface))::INTEGER AS \"end\", surface FROM (SELECT doc_id, sent, text, unnest(range(0, length(text))) AS s FROM bare WHERE text <> '') p, (SELECT DISTINCT length(surface) AS n FROM words) l JOIN words ON length(surface) = l.n AND substring(p.text, p.s + 1, l.n) = surface)"
+
+
+@query(f"WITH {WORDS}, {PREFIXES} SELECT prefix, is_word FROM prefixes")
+def dict_prefixes(spark, sf_dir):
+    return dictionary.prefixes(words(spark, sf_dir))
+
+
+@query(f"WITH {BARE}, {WORDS}, {HITS} SELECT doc_id, surface, count(*) AS n, min(start) AS first, sum(start)::BIGINT AS total FROM hits GROUP BY doc_id, surface")
+def prefix_lookup(spark, sf_dir):
+    hits = dictionary.lookup(unsegmented(spark, sf_dir), words(spark, sf_dir), ID)
+    return hits.groupBy("doc_id", "surface").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.sum("start").alias("total"))
+
+
+@query(
+    f"WITH {BARE}, {WORDS}, {PREFIXES}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM bare WHERE text <> '') SELECT doc_id, ch AS surface, CASE WHEN prefix IS NULL THEN 1 ELSE 0 END AS not_prefix, count(*) AS n FROM c LEFT JOIN prefixes ON ch = prefix WHERE coalesce(is_word, 0) = 0 AND ({chars.class_sql('unicode(ch)')} & {chars.class_by_name('ALPH|FIGURE|SYMBOL')}) <> 0 GROUP BY ALL"
+)
+def single_unk(spark, sf_dir):
+    return seeds.single(unsegmented(spark, sf_dir), words(spark, sf_dir), ID, "ALPH|FIGURE|SYMBOL").groupBy("doc_id", "surface", "not_prefix").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {BARE}, {WORDS}, {PREFIXES}, r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9０-９]+')) AS r FROM bare), c AS (SELECT doc_id, substring(r, a, n) AS surface FROM (SELECT doc_id, r, a, unnest(range(1, length(r) - a + 2)) AS n FROM (SELECT doc_id, r, unnest(range(1, length(r) + 1)) AS a FROM r))) SELECT doc_id, surface, count(*) AS n FROM c LEFT JOIN prefixes ON surface = prefix WHERE coalesce(is_word, 0) = 0 GROUP BY ALL"
+)
+def chunk_unk(spark, sf_dir):
+    return seeds.chunks(unsegmented(spark, sf_dir), words(spark, sf_dir), ID, "FIGURE").groupBy("doc_id", "surface").agg(F.count("*").alias("n"))
+
+
+ALPH = "[@-\\[`-{¿-ĀͰ-ϿЀ-ӿ]"
+
+
+@query(
+    f"WITH {BARE}, p AS (SELECT doc_id, text, unnest(range(0, length(text))) AS s FROM bare WHERE text <> ''), h AS (SELECT doc_id, s, substring(text, s + 1, h) AS a, substring(text, s + h + 1, h) AS b, text, h FROM p, (VALUES (2), (3), (4)) v(h)) SELECT doc_id, a || b AS surface, count(*) AS n FROM h WHERE length(b) = h AND a = b AND s + 4 < length(text) AND regexp_full_match(a, '{ALPH}+') GROUP BY ALL"
+)
+def onomatopoeia(spark, sf_dir):
+    none = words(spark, sf_dir).where("false")
+    return seeds.onomatopoeia(unsegmented(spark, sf_dir), none, ID, "ALPH").groupBy("doc_id", "surface").agg(F.count("*").alias("n"))
+
+
+@query()
+def numbers(spark, sf_dir):
+    return seeds.numbers(unsegmented(spark, sf_dir), ID).groupBy("doc_id", "surface").agg(F.count("*").alias("n"))
+
+
+@query()
+def kana_normal_forms(spark, sf_dir):
+    """Distinct words of documents written in kana, in normal form."""
+    t = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).groupBy(F.translate("w", *LATIN_KANA).alias("written")).agg(F.count("*").alias("n"))
+    return t.select("written", "n", kana.normal_form(F.col("written")).alias("normal"))
+
+
+@query(
+    f"WITH {BARE}, {WORDS}, {HITS}, m AS (SELECT doc_id, sent, max(\"end\" - start) AS longest, count(*) AS n FROM hits GROUP BY ALL) SELECT doc_id, sent, length(text) AS size, coalesce(n, 0) AS n_hits, coalesce(longest, 0) AS longest, least(5 + length(text) // 20, 15)::INTEGER AS beam FROM bare LEFT JOIN m USING (doc_id, sent)"
+)
+def auto_beam(spark, sf_dir):
+    u = unsegmented(spark, sf_dir)
+    m = dictionary.lookup(u, words(spark, sf_dir), ID).groupBy(*ID).agg(F.max(F.col("end") - F.col("start")).alias("longest"), F.count("*").alias("n"))
+    return u.join(m, ID, "left").select(*ID, F.length("text").cast("long").alias("size"), F.coalesce("n", F.lit(0)).alias("n_hits"), F.coalesce("longest", F.lit(0)).alias("longest"), search.beam_sizes(F.length("text")).alias("beam"))
+
+
+@query(f"WITH {BARE}, {WORDS}, {HITS} SELECT a.doc_id, count(*) AS n_edges, sum(b.\"end\")::BIGINT AS total FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.\"end\" = b.start GROUP BY a.doc_id")
+def edges(spark, sf_dir):
+    hits = dictionary.lookup(unsegmented(spark, sf_dir), words(spark, sf_dir), ID)
+    return seeds.connections(hits, ID).groupBy("doc_id").agg(F.count("*").alias("n_edges"), F.sum("r_end").alias("total"))
+
+
+@query(
+    f"WITH {BARE}, {WORDS}, {HITS}, e AS (SELECT b.doc_id, b.sent, b.start, b.\"end\", a.start AS l_start, ((a.\"end\" - a.start) * 7 + (b.\"end\" - b.start) * 5 + unicode(a.surface)) % 11 AS score FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.\"end\" = b.start), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent, start, \"end\" ORDER BY score DESC, l_start DESC) AS rank FROM e) SELECT doc_id, rank::INTEGER AS rank, count(*) AS n, sum(score)::BIGINT AS total FROM r WHERE rank <= 2 GROUP BY ALL"
+)
+def beam_topk(spark, sf_dir):
+    hits = dictionary.lookup(unsegmented(spark, sf_dir), words(spark, sf_dir), ID)
+    e = seeds.connections(hits, ID).withColumn("score", ((F.col("l_end") - F.col("l_start")) * 7 + (F.col("r_end") - F.col("r_start")) * 5 + F.ascii("l_surface")) % 11)
+    return search.top_connections(e, [*ID, "r_start", "r_end"], 2).groupBy("doc_id", "rank").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+
+
+@query()
+def connectable(spark, sf_dir):
+    """Sentences that dictionary words alone cover, and how many don't connect."""
+    u = unsegmented(spark, sf_dir)
+    made = search.lattice(u, dictionary.lookup(u, words(spark, sf_dir), ID), ID)
+    return made.select(*ID, seeds.connectable(F.length("text"), F.col("edges")).alias("connects"))
+
+
+def _lattices(spark, sf_dir):
+    u = unsegmented(spark, sf_dir)
+    return search.lattice(u, dictionary.lookup(u, words(spark, sf_dir), ID), ID)
+
+
+@query()
+def segment(spark, sf_dir):
+    return search.segment(_lattices(spark, sf_dir), ID)
+
+
+@query()
+def segmented_lines(spark, sf_dir):
+    return formats.segmented(search.segment(_lattices(spark, sf_dir), ID), ID)
+
+
+@query()
+def n_best(spark, sf_dir):
+    return search.n_best(_lattices(spark, sf_dir), ID, keep=2, beam=3, global_beam=6, right_check=1, right_beam=5)
+
+
+@query()
+def n_best_nodes(spark, sf_dir):
+    return search.path_nodes(n_best(spark, sf_dir), ID)
+
+
+@query()
+def n_best_recall(spark, sf_dir):
+    return evaluation.n_best_recall(n_best(spark, sf_dir), gold(spark, sf_dir), ID)
+
+
+T_SQL = "(length(surface) * 1000003 + unicode(surface))"
+_uni = hashing.mix_sql(hashing.mix_sql(hashing.mix_sql(hashing.mix_sql(f"{hashing.SEED0}::UBIGINT", "4"), "0"), str(hashing.ORDER_SEEDS[2])), "t0")
+
+
+def _coded(spark, sf_dir):
+    t = gold(spark, sf_dir).withColumn("t0", F.length("surface").cast("long") * 1000003 + F.ascii("surface"))
+    before = F.lag("t0", 1, hashing.BOS_PATTERN).over(Window.partitionBy(*ID).orderBy("pos"))
+    return t.withColumn("t1", before).withColumn("idx", hashing.ngram_index(0, 20, F.col("t0"), F.col("t1")))
+
+
+HASHED = f"{GOLD}, coded AS (SELECT *, {T_SQL} AS t0 FROM gold), pairs AS (SELECT *, lag(t0, 1, {hashing.BOS_PATTERN}) OVER (PARTITION BY doc_id, sent ORDER BY pos) AS t1 FROM coded), hashed AS (SELECT doc_id, sent, pos, surface, ({hashing.mix_sql(_uni, 't1')} % 1048576)::BIGINT AS idx FROM pairs)"
+
+
+@query(f"WITH {HASHED} SELECT doc_id, sent, pos, idx FROM hashed")
+def ngram_hash(spark, sf_dir):
+    return _coded(spark, sf_dir).select(*ID, "pos", "idx")
+
+
+@query(f"WITH {HASHED} SELECT doc_id, sent, sum(idx * 40503 % 2001 - 1000)::BIGINT AS score FROM hashed GROUP BY ALL")
+def linear_score(spark, sf_dir):
+    return _coded(spark, sf_dir).groupBy(*ID).agg(F.sum(F.col("idx") * 40503 % 2001 - 1000).alias("score"))
+
+
+@query(
+    f"WITH {HASHED}, d AS (SELECT doc_id, idx AS feature, 1 AS d FROM hashed UNION ALL SELECT doc_id, idx, -1 FROM hashed WHERE pos % 3 <> 0), s AS (SELECT doc_id, feature, sum(d)::BIGINT AS diff FROM d GROUP BY ALL HAVING sum(d) <> 0) SELECT doc_id, feature, diff FROM s"
+)
+def feature_diff(spark, sf_dir):
+    t = _coded(spark, sf_dir).select("doc_id", "pos", F.col("idx").alias("feature"))
+    return evaluation.feature_diff(t, t.where("pos % 3 <> 0"), ["doc_id"])
+
+
+@query(
+    f"WITH {HASHED}, m AS (SELECT doc_id, count(DISTINCT idx)::DOUBLE AS v, (sum(idx % 7) - 3 * count(*))::DOUBLE / 100 AS g FROM hashed GROUP BY doc_id) SELECT doc_id, round(CASE WHEN v > 0 THEN least(1.0, greatest(0.0, (-g * 13.5 + sqrt(g * g * 625 / 4 + v * 25 * 26)) / (v * 26))) ELSE 0 END, 6) AS alpha FROM m"
+)
+def scw_step(spark, sf_dir):
+    m = _coded(spark, sf_dir).groupBy("doc_id").agg(F.countDistinct("idx").cast("double").alias("v"), ((F.sum(F.col("idx") % 7) - 3 * F.count("*")).cast("double") / 100).alias("g"))
+    return m.select("doc_id", F.round(evaluation.step_alpha(F.col("v"), F.col("g")), 6).alias("alpha"))
+
+
+def _levels_sql(n: int) -> str:
+    return f"p AS (SELECT g.doc_id IS NOT NULL AND o.doc_id IS NOT NULL AS same, g.k = o.k AS same_kind, g.doc_id AS g, o.doc_id AS o FROM (SELECT *, {KIND_SQL} AS k FROM gold) g FULL JOIN (SELECT *, {KIND_SQL} AS k FROM other) o ON g.doc_id = o.doc_id AND g.sent = o.sent AND g.start = o.start AND g.\"end\" = o.\"end\"), s AS (SELECT count(o) AS system, count(g) AS gold, count(*) FILTER (same) AS tp0, count(*) FILTER (same AND same_kind) AS tp1 FROM p)"
+
+
+@query(
+    f"WITH {GOLD}, {OTHER}, {_levels_sql(2)}, l AS (SELECT 0 AS level, tp0 AS tp, system, gold FROM s UNION ALL SELECT 1, tp1, system, gold FROM s) SELECT level, tp, system, gold, round(tp / greatest(system, 1), 6) AS precision, round(tp / greatest(gold, 1), 6) AS recall, round(2 * (tp / greatest(system, 1)) * (tp / greatest(gold, 1)) / greatest(tp / greatest(system, 1) + tp / greatest(gold, 1), 1e-6), 6) AS f1 FROM l"
+)
+def eval_levels(spark, sf_dir):
+    tag = lambda df: df.withColumn("kind", kind(F.col("surface")))
+    return evaluation.levels(tag(other(spark, sf_dir)), tag(gold(spark, sf_dir)), ID, ["kind"])
+
+
+@query(
+    f"WITH {GOLD}, {OTHER} SELECT coalesce(g.doc_id, o.doc_id) AS doc_id, count(*) FILTER (o.doc_id IS NULL) AS only_gold, count(*) FILTER (g.doc_id IS NULL) AS only_other FROM gold g FULL JOIN other o ON g.doc_id = o.doc_id AND g.sent = o.sent AND g.start = o.start AND g.\"end\" = o.\"end\" WHERE g.doc_id IS NULL OR o.doc_id IS NULL GROUP BY 1"
+)
+def path_diff(spark, sf_dir):
+    d = search.path_differences(gold(spark, sf_dir), other(spark, sf_dir), ID)
+    return d.groupBy("doc_id").agg(F.count_if(F.col("side") == "a").alias("only_gold"), F.count_if(F.col("side") == "b").alias("only_other"))
+
+
+@query()
+def eval_interval(spark, sf_dir):
+    keys = [*ID, "start", "end"]
+    both = gold(spark, sf_dir).select(*keys, F.lit(1).alias("g")).join(other(spark, sf_dir).select(*keys, F.lit(1).alias("o")), keys, "full_outer")
+    each = both.groupBy(F.col("doc_id").alias("id")).agg(F.count_if((F.col("g") == 1) & (F.col("o") == 1)).alias("tp"), F.count("o").alias("system"), F.count("g").alias("gold"))
+    return evaluation.bootstrap(each)
+
+
+@query(f"WITH {GOLD} SELECT doc_id, count(*) AS n, round(avg(length(surface)), 6) AS mean, round(var_pop(length(surface)), 6) AS variance FROM gold GROUP BY doc_id")
+def variance(spark, sf_dir):
+    n = F.length("surface")
+    return gold(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean"), F.round(F.var_pop(n), 6).alias("variance"))
+
+
+@query(
+    f"WITH {GOLD} SELECT doc_id, sent, string_agg((CASE WHEN pos % 5 = 4 THEN '@ ' ELSE '' END) || surface || ' ' || lower(surface) || ' ' || {KIND_SQL} || ' ' || length(surface), chr(10) ORDER BY pos) || chr(10) || 'EOS' || chr(10) AS out FROM gold GROUP BY doc_id, sent"
+)
+def format_juman(spark, sf_dir):
+    t = gold(spark, sf_dir).withColumns({"alias_no": F.when(F.col("pos") % 5 == 4, 1).otherwise(0), "base": F.lower("surface"), "kind": kind(F.col("surface")), "size": F.length("surface").cast("string")})
+    return formats.juman(t, ID, ["base", "kind", "size"])
+
+
+@query(f"WITH {GOLD} SELECT doc_id, sent, string_agg(surface || '_' || lower(surface) || '_' || {KIND_SQL}, ' ' ORDER BY pos) AS out FROM gold GROUP BY doc_id, sent")
+def format_morph(spark, sf_dir):
+    t = gold(spark, sf_dir).withColumns({"base": F.lower("surface"), "kind": kind(F.col("surface"))})
+    return formats.morph(t, ID, ["surface", "base", "kind"])
+
+
+@query(f"WITH {GOLD} SELECT doc_id, sent, pos, split_part(surface, '_', 1) AS surface, lower(split_part(surface, '_', 1)) AS base FROM gold WHERE NOT contains(surface, '_')")
+def convert_morph(spark, sf_dir):
+    """Morph lines read again as tokens, those without the separator in them."""
+    t = gold(spark, sf_dir).where(~F.contains("surface", F.lit("_"))).withColumn("base", F.lower("surface"))
+    again = formats.reparsed(formats.morph(t.withColumn("pos0", F.col("pos").cast("string")), ID, ["surface", "base", "pos0"]), ID, ["surface", "base", "pos0"])
+    return again.select(*ID, F.col("pos0").cast("int").alias("pos"), "surface", "base")
+
+
+@query(f"WITH {GOLD} SELECT surface, CASE WHEN regexp_matches(surface, '[,\"]') THEN '\"' || replace(surface, '\"', '\"\"') || '\"' ELSE surface END AS quoted, count(*) AS n FROM gold GROUP BY ALL")
+def csv_quote(spark, sf_dir):
+    return gold(spark, sf_dir).groupBy("surface").agg(F.count("*").alias("n")).select("surface", formats.csv_quoted(F.col("surface")).alias("quoted"), "n")
+
+
+@query(
+    f"WITH {GOLD}, v AS (SELECT CASE WHEN list_contains([3, 11], start) THEN 'word_start' WHEN list_contains([3, 11], \"end\") THEN 'word_end' WHEN (start < 5 AND 5 < \"end\") OR (start < 8 AND 8 < \"end\") THEN 'no_boundary' WHEN pos = 0 AND {KIND_SQL} <> 'head' THEN 'tag' ELSE 'none' END AS violation FROM gold) SELECT violation, count(*) AS n FROM v GROUP BY violation"
+)
+def partial_violation(spark, sf_dir):
+    ints = lambda *x: F.array(*map(F.lit, x))
+    v = evaluation.violation(F.col("start"), F.col("end"), kind(F.col("surface")), ints(5, 8), ints(3, 11), F.when(F.col("pos") == 0, "head"))
+    return gold(spark, sf_dir).groupBy(v.alias("violation")).agg(F.count("*").alias("n"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
