@@ -17,7 +17,7 @@ from latticework.sources import text as source
 
 ID = ["doc_id", "sent"]
 WORD = "[a-zà-ÿ]+"
-LATIN_KANA = ("aiueokstnm", "あいうーぉかっとのん")
+LATIN_KANA = ("aiueokstnmhrdlgcwbyvpf", "あいうーぉかっとのんはらだれがちわばやべへふ")
 PARTS = r"[a-zà-ÿ]+|[A-ZÀ-Þ]+|[0-9]+|[^a-zà-ÿA-ZÀ-Þ0-9]+"
 
 
@@ -141,7 +141,7 @@ def template_rows(spark, sf_dir):
 
 
 PREFIXES = "prefixes AS (SELECT surface[:n] AS prefix, max(CASE WHEN n = length(surface) THEN 1 ELSE 0 END) AS is_word FROM words, LATERAL (SELECT unnest(range(1, length(surface) + 1)) AS n) g GROUP BY 1)"
-HITS = "hits AS (SELECT doc_id, sent, s::INTEGER AS start, (s + length(surface))::INTEGER AS \"end\", surface FROM (SELECT doc_id, sent, text, unnest(range(0, length(text))) AS s FROM bare WHERE text <> '') p, (SELECT DISTINCT length(surface) AS n FROM words) l JOIN words ON length(surface) = l.n AND substring(p.text, p.s + 1, l.n) = surface)"
+HITS = "ahead AS (SELECT doc_id, sent, s, substring(text, s + 1, 40) AS a FROM (SELECT doc_id, sent, text, unnest(range(0, length(text))) AS s FROM bare WHERE text <> '')), subs AS (SELECT doc_id, sent, s, a[:n] AS sub FROM (SELECT doc_id, sent, s, a, unnest(range(1, least(length(a), (SELECT max(length(surface)) FROM words)) + 1)) AS n FROM ahead)), hits AS (SELECT doc_id, sent, s::INTEGER AS start, (s + length(surface))::INTEGER AS \"end\", surface FROM subs JOIN words ON sub = surface)"
 
 
 @query(f"WITH {WORDS}, {PREFIXES} SELECT prefix, is_word FROM prefixes")
@@ -189,7 +189,7 @@ def numbers(spark, sf_dir):
 def kana_normal_forms(spark, sf_dir):
     """Distinct words of documents written in kana, in normal form."""
     t = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).groupBy(F.translate("w", *LATIN_KANA).alias("written")).agg(F.count("*").alias("n"))
-    return t.select("written", "n", kana.normal_form(F.col("written")).alias("normal"))
+    return kana.with_char_lattice(t, "written").select("written", "n", kana.normal_form("lattice").alias("normal"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.chars import char_class, class_by_name
@@ -21,54 +21,53 @@ BEFORE_SMALL = {"ぁ": "かさたなはまやらわがざだばぱ", "ぃ": "い
 REPLACE, DELETE, PROLONG, SMALL_KANA, E_ROW, TSU = 1, 2, 4, 8, 16, 32
 
 
-def replacements(ch: Column, before: Column) -> Column:
-    """array<struct<alt, flag>> of what ch, after `before`, may stand for."""
-    choon = char_class(ch).bitwiseAND(F.lit(class_by_name("CHOON"))) != 0
+def _is(bits: Column, name: str) -> Column:
+    return bits.bitwiseAND(F.lit(class_by_name(name))) != 0
+
+
+def replacements(ch: Column, before: Column, cls: Column) -> Column:
+    """array<struct<alt, flag>> of what ch, of class cls and after `before`, may stand for."""
     vowel = F.lit(None).cast("string")
     for v, of in PROLONGED.items():
-        vowel = F.when(F.lit(of).contains(before), F.lit(v)).otherwise(vowel)
+        vowel = F.when(F.contains(F.lit(of), before), F.lit(v)).otherwise(vowel)
     alt = lambda a, flag: F.struct(a.alias("alt"), F.lit(flag).alias("flag"))
-    none = F.lit(None).cast("struct<alt:string,flag:int>")
-    by_vowel = F.when(choon & (before != "") & vowel.isNotNull(), alt(vowel, REPLACE | PROLONG)).otherwise(none)
-    by_e = F.when(choon & (before != "") & vowel.isNotNull() & F.lit(PROLONGED_E).contains(before), alt(F.lit("え"), REPLACE | PROLONG | E_ROW)).otherwise(none)
-    small = F.when(by_vowel.isNull() & F.lit(SMALL).contains(ch), alt(F.translate(ch, SMALL, LARGE), REPLACE | SMALL_KANA)).otherwise(none)
-    return F.array_compact(F.array(by_vowel, by_e, small))
+    none = F.array().cast("array<struct<alt:string,flag:int>>")
+    small = F.when(F.contains(F.lit(SMALL), ch), F.array(alt(F.translate(ch, SMALL, LARGE), REPLACE | SMALL_KANA))).otherwise(none)
+    by_vowel = F.when(F.contains(F.lit(PROLONGED_E), before), F.array(alt(vowel, REPLACE | PROLONG), alt(F.lit("え"), REPLACE | PROLONG | E_ROW))).otherwise(F.array(alt(vowel, REPLACE | PROLONG)))
+    return F.when(_is(cls, "CHOON") & (before != "") & vowel.isNotNull(), by_vowel).otherwise(small)
 
 
-def deletion(ch: Column, before: Column, after: Column, gone: Column) -> Column:
+def deletion(ch: Column, before: Column, after: Column, cls: Column, cls_before: Column, cls_after: Column, gone: Column) -> Column:
     """Flag of the rule by which ch may be left out, 0 if by none; gone: `before` may too."""
-    double = char_class(ch).bitwiseAND(F.lit(class_by_name("FAMILY_DOUBLE"))) != 0
-    has = lambda c, name: char_class(c).bitwiseAND(F.lit(class_by_name(name))) != 0
-    first = before == ""
-    prolong = has(ch, "CHOON") & (gone | has(before, "FAMILY_PROLONGABLE"))
-    common = char_class(before).bitwiseAND(char_class(after)).bitwiseAND(char_class(ch)).bitwiseAND(F.lit(class_by_name("FAMILY_FULL_KANA"))) != 0
-    other = has(after, "SPACE|IDEOGRAPHIC_PUNC|FIGURE|PERIOD|MIDDLE_DOT|ALPH|SYMBOL|BRACKET|SLASH|COLON|COMMA")
+    prolong = _is(cls, "CHOON") & (gone | _is(cls_before, "FAMILY_PROLONGABLE"))
+    common = _is(cls_before.bitwiseAND(cls_after).bitwiseAND(cls), "FAMILY_FULL_KANA")
+    other = _is(cls_after, "SPACE|IDEOGRAPHIC_PUNC|FIGURE|PERIOD|MIDDLE_DOT|ALPH|SYMBOL|BRACKET|SLASH|COLON|COMMA")
     tsu = ch.isin("っ", "ッ") & (gone | (after == "") | other | (ch == after) | common)
     small = gone & (ch == before) & ch.isin(*BEFORE_SMALL)
     for s, of in BEFORE_SMALL.items():
-        small = small | ((ch == s) & F.lit(of).contains(before))
-    flag = F.when(prolong, DELETE | PROLONG).when(tsu, DELETE | TSU).when(small, DELETE | SMALL_KANA).otherwise(0)
-    return F.when(double & ~first, flag).otherwise(0)
-
-
-def char_lattice(text: Column) -> Column:
-    """array<struct<ch, alts array<struct<alt, flag>>, drop int>>: for each character its
-    replacements, and the flag of its deletion. A fold from the left, since whether the
-    character before may go matters."""
-    chars = F.split(text, "")
-    empty = F.array().cast("array<struct<ch:string,alts:array<struct<alt:string,flag:int>>,drop:int>>")
+        small = small | ((ch == s) & F.contains(F.lit(of), before))
+    return F.when((before == "") | ~_is(cls, "FAMILY_DOUBLE"), 0).when(prolong, DELETE | PROLONG).when(tsu, DELETE | TSU).when(small, DELETE | SMALL_KANA).otherwise(0)
 
-    def step(done: Column, i: Column) -> Column:
-        ch, before, after = F.get(chars, i), F.coalesce(F.get(chars, i - 1), F.lit("")), F.coalesce(F.get(chars, i + 1), F.lit(""))
-        gone = F.coalesce(F.get(done, i - 1)["drop"] != 0, F.lit(False))
-        return F.concat(done, F.array(F.struct(ch.alias("ch"), replacements(ch, before).alias("alts"), deletion(ch, before, after, gone).alias("drop"))))
 
-    return F.when(F.char_length(text) == 0, empty).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), empty, step))
+def with_char_lattice(df: DataFrame, text: str, into: str = "lattice") -> DataFrame:
+    """df with array<struct<ch, alts array<struct<alt, flag>>, drop int>>: for each character
+    its replacements, and the flag of its deletion. A fold from the left finds the deletions,
+    since whether the character before may go matters."""
+    df = df.withColumn("_c", F.filter(F.split(text, ""), lambda c: c != "")).withColumn("_k", F.transform("_c", char_class))
+    ch = lambda i: F.coalesce(F.get(F.col("_c"), i), F.lit(""))
+    cls = lambda i: F.coalesce(F.get(F.col("_k"), i), F.lit(0))
+    every = F.when(F.size("_c") > 0, F.sequence(F.lit(0), F.size("_c") - 1)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("_i", every)
+    gone = lambda a, i: F.coalesce(F.get(a, i - 1) != 0, F.lit(False))
+    drops = F.aggregate("_i", F.array().cast("array<int>"), lambda a, i: F.array_append(a, deletion(ch(i), ch(i - 1), ch(i + 1), cls(i), cls(i - 1), cls(i + 1), gone(a, i))))
+    df = df.withColumn("_d", drops)
+    each = F.transform("_i", lambda i: F.struct(ch(i).alias("ch"), replacements(ch(i), ch(i - 1), cls(i)).alias("alts"), F.get(F.col("_d"), i).alias("drop")))
+    return df.withColumn(into, each).drop("_c", "_k", "_i", "_d")
 
 
-def normal_form(text: Column) -> Column:
-    """text with each character left out, or replaced by its first alternative, where it may."""
-    return F.array_join(F.transform(char_lattice(text), lambda x: F.when(x["drop"] != 0, "").when(F.size(x["alts"]) > 0, F.get(x["alts"], F.lit(0))["alt"]).otherwise(x["ch"])), "")
+def normal_form(lattice: str) -> Column:
+    """The text with each character left out, or replaced by its first alternative, where it may."""
+    return F.array_join(F.transform(lattice, lambda x: F.when(x["drop"] != 0, "").when(F.size(x["alts"]) > 0, F.get(x["alts"], F.lit(0))["alt"]).otherwise(x["ch"])), "")
 
 
 #: Fixed values of number words.
@@ -85,17 +84,17 @@ NUMBER = (
 )
 
 
-def number_at(text: Column, start: Column) -> Column:
-    """The longest number that begins at the 0-based start, empty if none does."""
-    return F.regexp_extract(F.substring(text, start + 1, F.lit(4 * MOST_FIGURES)), NUMBER, 0)
+def number_of(ahead: Column) -> Column:
+    """The longest number that a text begins with, empty if with none."""
+    return F.regexp_extract(ahead, NUMBER, 0)
 
 
-def onomatopoeia_at(text: Column, start: Column, half: int) -> Column:
-    """Whether 2 * half characters from start on are one word said twice, of one class. More
-    than four characters must be left from start on, so a final one of four is missed."""
-    a, b = F.substring(text, start + 1, F.lit(half)), F.substring(text, start + half + 1, F.lit(half))
-    one = char_class(F.substring(text, start + 1, F.lit(1)))
+def said_twice(ahead: Column, half: int) -> Column:
+    """Whether a text begins with 2 * half characters that are one word said twice, of one
+    class. It must have more than four characters, so a final word of four is missed."""
+    a, b = F.substring(ahead, 1, half), F.substring(ahead, half + 1, half)
+    one = char_class(F.substring(ahead, 1, 1))
     alike = F.lit(True)
-    for k in (1, *range(2, half + 1)):
-        alike = alike & (char_class(F.substring(text, start + k + 1, F.lit(1))).bitwiseAND(one) != 0)
-    return (start + 4 < F.char_length(text)) & (F.char_length(b) == half) & (a == b) & alike
+    for k in range(1, half + 1):
+        alike = alike & (char_class(F.substring(ahead, k + 1, 1)).bitwiseAND(one) != 0)
+    return (F.char_length(ahead) > 4) & (F.char_length(b) == half) & (a == b) & alike

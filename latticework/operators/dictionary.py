@@ -53,8 +53,20 @@ def lookup(sentences: DataFrame, words: DataFrame, ids: list[str], text: str = "
     then the rest is compared: a row for each start and key length, not for each length."""
     key = 3
     dic = words.select(F.col(word).alias("surface"), F.substring(word, 1, key).alias("k")).where("surface <> ''").distinct()
-    at = sentences.where(F.length(text) > 0).select(*ids, F.col(text).alias("_t"), F.explode(F.sequence(F.lit(1), F.length(text))).alias("_s"))
-    widths = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(key)), lambda n: F.substring("_t", F.col("_s"), n)))
-    keyed = at.select(*ids, "_s", "_t", F.explode(widths).alias("k"))
-    hits = keyed.join(dic, "k").where(F.substring("_t", F.col("_s"), F.length("surface")) == F.col("surface"))
-    return hits.select(*ids, (F.col("_s") - 1).alias("start"), (F.col("_s") - 1 + F.length("surface")).alias("end"), "surface")
+    longest = dic.agg(F.max(F.length("surface"))).first()[0] or 1
+    at = windows(sentences, ids, longest, text)
+    widths = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(key)), lambda n: F.substring("ahead", F.lit(1), n)))
+    keyed = at.select(*ids, "start", "ahead", F.explode(widths).alias("k"))
+    hits = keyed.join(dic, "k").where(F.startswith("ahead", F.col("surface")))
+    return hits.select(*ids, "start", (F.col("start") + F.length("surface")).alias("end"), "surface")
+
+
+def windows(sentences: DataFrame, ids: list[str], width: int, text: str = "text", where=None) -> DataFrame:
+    """(<ids>, start, ahead): for each character, or those for which where(ch) holds, the
+    `width` characters from it on. Rows carry that much text, never the whole sentence."""
+    chars = F.filter(F.split(F.col(text), ""), lambda c: c != "")
+    rows = sentences.where(F.length(text) > 0).select(*ids, chars.alias("_c"))
+    every = F.sequence(F.lit(0), F.size("_c") - 1)
+    some = every if where is None else F.filter(every, lambda i: where(F.get(F.col("_c"), i)))
+    cut = F.transform(some, lambda i: F.struct(i.alias("start"), F.array_join(F.slice("_c", i + 1, F.lit(width)), "").alias("ahead")))
+    return rows.select(*ids, F.explode(cut).alias("_w")).select(*ids, "_w.start", "_w.ahead")

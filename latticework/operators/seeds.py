@@ -6,19 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.chars import char_class, class_by_name
-from latticework.functions.kana import number_at, onomatopoeia_at
-from latticework.operators.dictionary import prefixes
+from latticework.functions.kana import MOST_FIGURES, number_of, said_twice
+from latticework.operators.dictionary import prefixes, windows
 
 
-def starts(sentences: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """(<ids>, start, ch, cls, text), a row for each character."""
-    rows = sentences.where(F.length(text) > 0).select(*ids, F.col(text).alias("text"), F.posexplode(F.split(text, "")).alias("start", "ch"))
-    return rows.where("ch <> ''").select(*ids, "start", "ch", char_class(F.col("ch")).alias("cls"), "text")
+def of_classes(classes: str):
+    return lambda ch: char_class(ch).bitwiseAND(F.lit(class_by_name(classes))) != 0
 
 
 def single(sentences: DataFrame, words: DataFrame, ids: list[str], classes: str) -> DataFrame:
     """(<ids>, start, end, surface, not_prefix): characters of the classes that are no words."""
-    one = starts(sentences, ids).where(F.col("cls").bitwiseAND(F.lit(class_by_name(classes))) != 0)
+    one = windows(sentences, ids, 1, where=of_classes(classes)).withColumnRenamed("ahead", "ch")
     known = prefixes(words)
     rows = one.join(known, one.ch == known.prefix, "left").where("coalesce(is_word, 0) = 0")
     return rows.select(*ids, "start", (F.col("start") + 1).alias("end"), F.col("ch").alias("surface"), F.col("prefix").isNull().cast("int").alias("not_prefix"))
@@ -26,7 +24,7 @@ def single(sentences: DataFrame, words: DataFrame, ids: list[str], classes: str)
 
 def runs(sentences: DataFrame, ids: list[str], classes: str) -> DataFrame:
     """(<ids>, start, surface): the longest stretches of characters of the classes."""
-    ok = lambda c: char_class(c).bitwiseAND(F.lit(class_by_name(classes))) != 0
+    ok = of_classes(classes)
     marked = F.transform(F.split("text", ""), lambda c: F.when(ok(c), c).otherwise("\0"))
     pieces = F.split(F.array_join(marked, ""), "\0")
     rows = sentences.where("length(text) > 0").select(*ids, pieces.alias("p")).select(*ids, "p", F.expr("aggregate(p, cast(array() as array<int>), (a, w) -> concat(a, array(coalesce(get(a, size(a) - 1) + 1, 0) + length(w))))").alias("e"))
@@ -47,15 +45,15 @@ def chunks(sentences: DataFrame, words: DataFrame, ids: list[str], classes: str)
 
 def numbers(sentences: DataFrame, ids: list[str]) -> DataFrame:
     """(<ids>, start, end, surface): the longest number at each start."""
-    rows = starts(sentences, ids).select(*ids, "start", number_at(F.col("text"), F.col("start")).alias("surface"))
+    rows = windows(sentences, ids, 4 * MOST_FIGURES, where=of_classes("FAMILY_DIGITS|FIGURE_EXCEPTION")).select(*ids, "start", number_of(F.col("ahead")).alias("surface"))
     return rows.where("surface <> ''").select(*ids, "start", (F.col("start") + F.length("surface")).alias("end"), "surface")
 
 
 def onomatopoeia(sentences: DataFrame, words: DataFrame, ids: list[str], classes: str) -> DataFrame:
     """(<ids>, start, end, surface): ABAB, ABCABC and ABCDABCD that are no words."""
-    at = starts(sentences, ids).where(F.col("cls").bitwiseAND(F.lit(class_by_name(classes))) != 0)
-    halves = F.array_compact(F.array(*[F.when(onomatopoeia_at(F.col("text"), F.col("start"), h), h) for h in (2, 3, 4)]))
-    rows = at.select(*ids, "start", "text", F.explode(halves).alias("h")).select(*ids, "start", (F.col("start") + 2 * F.col("h")).alias("end"), F.substring("text", F.col("start") + 1, 2 * F.col("h")).alias("surface"))
+    at = windows(sentences, ids, 8, where=of_classes(classes))
+    halves = F.array_compact(F.array(*[F.when(said_twice(F.col("ahead"), h), h) for h in (2, 3, 4)]))
+    rows = at.select(*ids, "start", "ahead", F.explode(halves).alias("h")).select(*ids, "start", (F.col("start") + 2 * F.col("h")).alias("end"), F.substring("ahead", F.lit(1), 2 * F.col("h")).alias("surface"))
     return rows.join(words.select("surface").distinct(), "surface", "left_anti").select(*ids, "start", "end", "surface")
 
 
