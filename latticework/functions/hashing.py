@@ -21,6 +21,15 @@ def mix(state: np.ndarray | np.uint64, data) -> np.ndarray:
     return (v << np.uint64(32)) | (v >> np.uint64(32))
 
 
+def mix_one(state: int, data: int) -> int:
+    v = ((state ^ data) * FACTOR) & 0xFFFFFFFFFFFFFFFF
+    return ((v << 32) | (v >> 32)) & 0xFFFFFFFFFFFFFFFF
+
+
+#: Hash states of the n-gram features 0, 1 and 2, of one, two and three nodes, before their nodes.
+PREFIXES = tuple(mix_one(mix_one(mix_one(SEED0, 2 + n), n - 1), ORDER_SEEDS[n]) for n in (1, 2, 3))
+
+
 def ngram_hash(index: int, *nodes: np.ndarray) -> np.ndarray:
     """Hash of an n-gram feature, nodes being t0, t1, t2 as far as it reaches."""
     state = mix(mix(mix(np.uint64(SEED0), 2 + len(nodes)), index), ORDER_SEEDS[len(nodes)])

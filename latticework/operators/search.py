@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.functions.hashing import BOS_PATTERN, ngram_hash
+from latticework.functions.hashing import BOS_PATTERN, PREFIXES, mix_one
 
 WORD_COST, OTHER_COST = 1, 10
 BEAM, GLOBAL_BEAM, RIGHT_CHECK, RIGHT_BEAM = 5, 6, 1, 5
@@ -24,6 +24,12 @@ def lattice(sentences: DataFrame, hits: DataFrame, ids: list[str]) -> DataFrame:
     return sentences.join(listed, ids, "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<start:int,end:int>>")))
 
 
+def dealt(lattices: DataFrame, ids: list[str]) -> DataFrame:
+    """lattices in as many partitions as shuffles are set to have: the search costs far more
+    than their few bytes tell, by which Spark would else put them together."""
+    return lattices.repartition(int(lattices.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids)
+
+
 def cheapest(n: int, edges, word: int = WORD_COST, other: int = OTHER_COST) -> list[tuple[int, int, bool]]:
     """The path of least cost from 0 to n over words and, at every character, one for any other
     sign; of equal costs the one with the longest last words. (start, end, is a word)."""
@@ -58,7 +64,7 @@ def segment(lattices: DataFrame, ids: list[str], word: int = WORD_COST, other: i
             yield pd.DataFrame(out, columns=[*ids, "pos", "start", "end", "surface", "kind"])
 
     schema = ", ".join(f"{c} {k}" for c, k in zip(ids, kinds)) + ", pos int, start int, end int, surface string, kind string"
-    return lattices.select(*ids, "text", "edges").mapInPandas(search, schema)
+    return dealt(lattices.select(*ids, "text", "edges"), ids).mapInPandas(search, schema)
 
 
 def synthetic_weight(index: np.ndarray) -> np.ndarray:
@@ -77,7 +83,7 @@ def beam_paths(text: str, edges, weights, beam: int = BEAM, keep: int = 1, globa
     With global_beam only so many of all connections that end at a boundary go on; with
     right_check right nodes are scored against that many of them first, and only the best
     right_beam against all."""
-    n, mask = len(text), np.uint64((1 << bits) - 1)
+    n, mask = len(text), (1 << bits) - 1
     nodes: list[tuple[int, int, int]] = [(0, 0, BOS_PATTERN)]
     ends: dict[int, list[int]] = {0: [0]}
     starting: dict[int, list[int]] = {}
@@ -86,11 +92,15 @@ def beam_paths(text: str, edges, weights, beam: int = BEAM, keep: int = 1, globa
         starting.setdefault(s, []).append(t)
     kept: dict[int, list[tuple[int, int, int, int]]] = {0: [(0, -1, -1, BOS_PATTERN)]}  # score, left node, its place, t2
 
-    def scores(t0: int, lefts: list[tuple[int, int, int, int, int]]) -> list[int]:
-        t1 = np.array([x[3] for x in lefts], np.uint64)
-        t2 = np.array([x[4] for x in lefts], np.uint64)
-        uni = int(weights(ngram_hash(0, np.uint64(t0)) & mask))
-        return (np.array([x[0] for x in lefts]) + uni + weights(ngram_hash(1, np.uint64(t0), t1) & mask) + weights(ngram_hash(2, np.uint64(t0), t1, t2) & mask)).tolist()
+    def scores(codes: list[int], lefts: list[tuple[int, int, int, int, int]]) -> list[list[int]]:
+        """A row for each right node, a column for each left connection. What features share,
+        their order's prefix and t0, is hashed once."""
+        found = []
+        for c in codes:
+            uni, bi, tri = (mix_one(p, c) for p in PREFIXES)
+            found += [(uni & mask, mix_one(bi, x[3]) & mask, mix_one(mix_one(tri, x[3]), x[4]) & mask) for x in lefts]
+        sums = weights(np.array(found)).sum(axis=1).reshape(len(codes), len(lefts))
+        return (sums + np.array([x[0] for x in lefts])).tolist()
 
     for s in range(n + 1):
         lefts = [(sc, node, k, nodes[node][2], t2) for node in ends.get(s, ()) for k, (sc, _, _, t2) in enumerate(kept[node])]
@@ -99,14 +109,13 @@ def beam_paths(text: str, edges, weights, beam: int = BEAM, keep: int = 1, globa
         if global_beam:
             lefts = heapq.nlargest(global_beam, lefts, key=lambda x: (x[0], x[1], -x[2]))
         rights = sorted(set(starting.get(s, ()))) if s < n else [n]
-        coded = [(t, node_code(text[s:t]) if s < n else 0) for t in rights]
-        full = set(range(len(coded)))
-        if right_check and right_beam and len(coded) > right_beam:
-            first = [max(scores(c, lefts[:right_check])) for _, c in coded]
-            full = set(heapq.nlargest(right_beam, range(len(coded)), key=lambda i: (first[i], i)))
-        for i, (t, code) in enumerate(coded):
+        codes = [node_code(text[s:t]) if s < n else 0 for t in rights]
+        table, full = scores(codes, lefts), set(range(len(rights)))
+        if right_check and right_beam and len(rights) > right_beam:
+            full = set(heapq.nlargest(right_beam, full, key=lambda i: (max(table[i][:right_check]), i)))
+        for i, (t, code) in enumerate(zip(rights, codes)):
             some = lefts if i in full else lefts[: max(1, right_check)]
-            best = heapq.nlargest(max(beam, keep), zip(scores(code, some), [x[1] for x in some], [-x[2] for x in some], [x[3] for x in some]))
+            best = heapq.nlargest(max(beam, keep), [(sc, x[1], -x[2], x[3]) for sc, x in zip(table[i], some)])
             nodes.append((s, t, code))
             kept[len(nodes) - 1] = [(sc, left, -k, t1) for sc, left, k, t1 in best]
             ends.setdefault(t if s < n else n + 1, []).append(len(nodes) - 1)
@@ -136,7 +145,7 @@ def n_best(lattices: DataFrame, ids: list[str], keep: int = 3, beam: int = BEAM,
             yield pd.DataFrame(out, columns=[*ids, "rank", "score", "pos", "start", "end", "surface"])
 
     schema = ", ".join(f"{c} {k}" for c, k in zip(ids, kinds)) + ", rank int, score long, pos int, start int, end int, surface string"
-    return lattices.select(*ids, "text", "edges").mapInPandas(search, schema)
+    return dealt(lattices.select(*ids, "text", "edges"), ids).mapInPandas(search, schema)
 
 
 def beam_sizes(length: Column, base: int = BEAM, step: int = 20, most: int = 15) -> Column:
