@@ -363,6 +363,46 @@ def partial_violation(spark, sf_dir):
     return gold(spark, sf_dir).groupBy(v.alias("violation")).agg(F.count("*").alias("n"))
 
 
+@query(
+    f"WITH {LINES}, l AS (SELECT doc_id, sent, CASE WHEN starts_with(text, 'A') THEN '# ' || text ELSE text END AS text FROM lines), c AS (SELECT *, lag(CASE WHEN starts_with(text, '# ') AND length(text) > 2 THEN substring(text, 3) END) OVER (PARTITION BY doc_id ORDER BY sent) AS comment FROM l) SELECT doc_id, sent, comment, length(text)::INTEGER AS size FROM c WHERE NOT (starts_with(text, '# ') AND length(text) > 2)"
+)
+def comment_lines(spark, sf_dir):
+    """Lines that begin with A, as comments of the ones after them."""
+    marked = lines(spark, sf_dir).withColumn("text", F.when(F.col("text").startswith("A"), F.concat(F.lit("# "), "text")).otherwise(F.col("text")))
+    return source.with_comments(marked).select(*ID, "comment", F.length("text").alias("size"))
+
+
+@query(
+    f"WITH {LINES}, b AS (SELECT doc_id, sent, replace(text, '&', '') AS text FROM lines), p AS (SELECT doc_id, sent, text, length(replace(text, ' ', ''))::BIGINT AS n FROM b WHERE text <> '' AND NOT starts_with(text, '# ')), e AS (SELECT doc_id, sent, text, n, (sum(n) OVER (PARTITION BY doc_id ORDER BY sent))::BIGINT AS e, row_number() OVER (PARTITION BY doc_id ORDER BY sent DESC) AS last FROM p), g AS (SELECT doc_id, sum(e - n + q - row_n)::BIGINT AS total, count(*) AS cnt FROM (SELECT doc_id, sent, e, n, q, row_number() OVER (PARTITION BY doc_id, sent ORDER BY q) AS row_n FROM (SELECT doc_id, sent, e, n, unnest(list_filter(range(1, length(text) + 1), lambda i: text[i] = ' ')) AS q FROM e)) GROUP BY doc_id) SELECT e.doc_id, sum(n)::BIGINT AS size, (count(*) - 1)::BIGINT AS n_breaks, coalesce(sum(e) FILTER (last > 1), 0)::BIGINT AS breaks, coalesce(max(cnt), 0)::BIGINT AS n_glued, coalesce(max(total), 0)::BIGINT AS glued FROM e LEFT JOIN g ON e.doc_id = g.doc_id GROUP BY e.doc_id"
+)
+def partial_source(spark, sf_dir):
+    """Documents read as partial annotations: sure breaks between lines, none at spaces."""
+    marked = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", " &", "&").alias("text"))
+    p = source.partial_examples(marked)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    long = lambda c: c.cast("long")
+    return p.select("doc_id", long(F.length("surface")).alias("size"), long(F.size("must_break")).alias("n_breaks"), total("must_break").alias("breaks"), long(F.size("no_break")).alias("n_glued"), total("no_break").alias("glued"))
+
+
+@query(f"WITH {HASHED}, w AS (SELECT DISTINCT idx, (idx * 40503 % 2001 - 1000)::BIGINT AS w FROM hashed) SELECT count(*) AS n, sum(w)::BIGINT AS total, min(w) AS least, max(w) AS most, count(*) FILTER (w = 0) AS zeros FROM w")
+def weight_report(spark, sf_dir):
+    return formats.weight_report(_coded(spark, sf_dir).select("idx", (F.col("idx") * 40503 % 2001 - 1000).alias("w")).distinct())
+
+
+@query(
+    f"WITH {GOLD}, n AS (SELECT doc_id, sent, string_agg('n' || lpad(pos::VARCHAR, 6, '0') || ' [label=\"' || replace(surface, '\"', '\\\"') || '\"]', chr(10) ORDER BY pos) AS n, string_agg('n' || lpad((pos - 1)::VARCHAR, 6, '0') || ' -> n' || lpad(pos::VARCHAR, 6, '0') || CASE WHEN pos % 2 = 0 THEN ' [color=red]' ELSE '' END, chr(10) ORDER BY pos) FILTER (pos > 0) AS e FROM gold GROUP BY doc_id, sent) SELECT doc_id, sent, 'digraph {{' || chr(10) || n || chr(10) || coalesce(e, '') || chr(10) || '}}' AS out FROM n"
+)
+def graphviz(spark, sf_dir):
+    t = gold(spark, sf_dir)
+    e = t.where("pos > 0").select(*ID, (F.col("pos") - 1).alias("l_node"), F.col("pos").alias("r_node"), (F.col("pos") % 2 == 0).alias("best"))
+    return formats.graphviz(t.select(*ID, F.col("pos").alias("node"), "surface"), e, ID)
+
+
+@query(f"WITH {GOLD} SELECT doc_id, sent, string_agg(surface, ' ' ORDER BY pos) AS out FROM gold GROUP BY doc_id, sent")
+def format_segmented(spark, sf_dir):
+    return formats.segmented(gold(spark, sf_dir), ID)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
