@@ -62,6 +62,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct()
     )
     seen = None
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -262,6 +262,14 @@ def test_url_filters(spark):
     assert url_reputation.filter_urls(pages.where("false"), labels).count() == 0
 
 
+def test_line_simhash(spark):
+    rows = [(" ".join(f"word{(i * 7 + j * j) % 50}" for j in range(n)),) for i, n in enumerate([5, 6, 9, 40, 63, 64, 300, 20000, 3])] + [("a b c d e",)]
+    df = spark.createDataFrame(rows, "norm string").withColumn("words", F.split("norm", " "))
+    for r in line_dedup.with_simhash(df, "words").withColumn("h", F.transform("words", lambda w: F.xxhash64(w))).collect():
+        ones = np.unpackbits(np.array(r.h, ">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(0)
+        assert r.sim == int.from_bytes(np.packbits(2 * ones > len(r.h)).tobytes(), "big", signed=True)
+
+
 def test_line_dedup(spark):
     rnd = random.Random(7)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 9))) for _ in range(500)]
@@ -294,7 +302,7 @@ def test_lines_linked_against_brute_force(spark):
         rows.append((k, " ".join(w), "en"))
     df = docs(spark, rows)
     lines = line_dedup.lines_of(df, "doc_id", "text").cache()
-    classes = line_dedup.simhashes(lines).collect()
+    classes = line_dedup.classes_of(lines).collect()
     norm = {r.cid: r.norm for r in lines.collect()}
 
     def edits(a, b):
