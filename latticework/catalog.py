@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import chars, hashing, kana
-from latticework.operators import dictionary, evaluation, formats, search, seeds
+from latticework.operators import dictionary, evaluation, formats, learning, search, seeds
 from latticework.sources import text as source
 
 ID = ["doc_id", "sent"]
@@ -403,6 +403,17 @@ def format_segmented(spark, sf_dir):
     return formats.segmented(gold(spark, sf_dir), ID)
 
 
+@query()
+def trained_levels(spark, sf_dir):
+    """Weights are learned on at most 300 sentences; all are then segmented and held against gold."""
+    spans = gold(spark, sf_dir).groupBy(*ID).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gold"))
+    made = _lattices(spark, sf_dir)
+    weights, _ = learning.train(made.join(spans, ID).where("length(text) between 1 and 400"), ID, epochs=2, batch=100, most=300)
+    shared = spark.sparkContext.broadcast(weights)
+    found = search.n_best(made, ID, keep=1, beam=3, global_beam=6, weights=lambda i: shared.value[i], bits=learning.BITS)
+    return evaluation.levels(found, gold(spark, sf_dir), ID, [])
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -132,7 +132,7 @@ def beam_paths(text: str, edges, weights, beam: int = BEAM, keep: int = 1, globa
     return out
 
 
-def n_best(lattices: DataFrame, ids: list[str], keep: int = 3, beam: int = BEAM, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, weights=synthetic_weight) -> DataFrame:
+def n_best(lattices: DataFrame, ids: list[str], keep: int = 3, beam: int = BEAM, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, weights=synthetic_weight, bits: int = WEIGHT_BITS) -> DataFrame:
     """(<ids>, rank, score, pos, start, end, surface) of each sentence's best paths."""
     kinds = [lattices.schema[c].dataType.simpleString() for c in ids]
 
@@ -140,7 +140,7 @@ def n_best(lattices: DataFrame, ids: list[str], keep: int = 3, beam: int = BEAM,
         for part in parts:
             out = []
             for row in part.itertuples(index=False):
-                for r, (score, path) in enumerate(beam_paths(row.text, row.edges, weights, beam, keep, global_beam, right_check, right_beam)):
+                for r, (score, path) in enumerate(beam_paths(row.text, row.edges, weights, beam, keep, global_beam, right_check, right_beam, bits)):
                     out += [(*[getattr(row, c) for c in ids], r + 1, score, k, s, e, row.text[s:e]) for k, (s, e) in enumerate(path)]
             yield pd.DataFrame(out, columns=[*ids, "rank", "score", "pos", "start", "end", "surface"])
 

@@ -178,3 +178,22 @@ def test_violation(spark):
 
 def test_every_query_is_named_once():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_training_lowers_the_loss(spark):
+    from latticework.operators.learning import train
+
+    rnd = random.Random(5)
+    vocabulary = ["ab", "aba", "ba", "b", "abab"]
+    rows = []
+    for k in range(30):
+        tokens = [rnd.choice(vocabulary) for _ in range(6)]
+        text, ends = "".join(tokens), list(itertools.accumulate(map(len, tokens)))
+        gold = list(zip([0, *ends], ends))
+        edges = sorted({(s, s + len(w)) for w in vocabulary for s in range(len(text)) if text.startswith(w, s)})
+        rows.append((k, text, edges, gold))
+    span = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(rows, f"id int, text string, edges {span}, gold {span}")
+    weights, losses = train(df, ID, epochs=4, batch=10)
+    assert losses[-1] < 0.6 * losses[0] and weights.any()
+    assert train(df, ID, epochs=2, batch=10)[1] == losses[:2]
