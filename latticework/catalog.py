@@ -334,9 +334,9 @@ def variance(spark, sf_dir):
 @query(
     f"WITH {GOLD} SELECT doc_id, sent, string_agg((CASE WHEN pos % 5 = 4 THEN '@ ' ELSE '' END) || surface || ' ' || lower(surface) || ' ' || {KIND_SQL} || ' ' || length(surface), chr(10) ORDER BY pos) || chr(10) || 'EOS' || chr(10) AS out FROM gold GROUP BY doc_id, sent"
 )
-def format_juman(spark, sf_dir):
+def format_columns(spark, sf_dir):
     t = gold(spark, sf_dir).withColumns({"alias_no": F.when(F.col("pos") % 5 == 4, 1).otherwise(0), "base": F.lower("surface"), "kind": kind(F.col("surface")), "size": F.length("surface").cast("string")})
-    return formats.juman(t, ID, ["base", "kind", "size"])
+    return formats.columns(t, ID, ["base", "kind", "size"])
 
 
 @query(f"WITH {GOLD} SELECT doc_id, sent, string_agg(surface || '_' || lower(surface) || '_' || {KIND_SQL}, ' ' ORDER BY pos) AS out FROM gold GROUP BY doc_id, sent")

@@ -11,7 +11,7 @@ from latticework.operators import dictionary, formats, search
 FORMATS = {
     "segmented": lambda t, ids: formats.segmented(t, ids),
     "morph": lambda t, ids: formats.morph(t, ids, ["surface", "kind"]),
-    "juman": lambda t, ids: formats.juman(t.withColumn("alias_no", F.lit(0)), ids, ["kind"]),
+    "columns": lambda t, ids: formats.columns(t.withColumn("alias_no", F.lit(0)), ids, ["kind"]),
 }
 ERROR = "# ERROR\nEOS\n"
 MOST_BYTES = 4096
