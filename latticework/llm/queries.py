@@ -48,7 +48,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"), by_grams=True)
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"), least_words=1, by_grams=True)
 
 
 def queries() -> dict:
