@@ -14,6 +14,7 @@ KEY = "latticework"
 #: What is detected, in order of precedence.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,48})(?![0-9A-Za-z])"
+SECRET_STARTS = ("sk-", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 CARD = r"(?<![\d.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])"
@@ -38,9 +39,10 @@ ENDS = {"Latin": ("a", "n", "r"), "Cyrillic": ("а", "н", "р"), "Greek": ("α"
 
 
 def entities(text: Column) -> Column:
-    """All entities in order. A text without a digit, `@` or title, told at little cost, has none."""
+    """All entities in order. A text without a digit, `@`, title or start of a secret, told at
+    little cost, has none."""
     maybe = F.contains(text, F.lit("@")) | text.rlike(r"\d") | reduce(lambda a, t: a | F.contains(text, F.lit(t)), MALE + FEMALE, F.lit(False))
-    secret = text.rlike(r"[a-f]{32}")
+    secret = text.rlike(r"[a-f]{32}") | reduce(lambda a, t: a | F.contains(text, F.lit(t)), SECRET_STARTS, F.lit(False))
     return F.when(maybe | secret, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from latticework.llm import line_dedup
+from latticework.llm import line_dedup, pii_surrogates
 
 SCHEMA = "doc_id long, text string"
 
@@ -27,3 +27,10 @@ def test_short_lines_and_lines_without_spaces(spark):
     rows = [(1, "Read more\n今日は天気がいいですね散歩に行きましょう\n---\n\nx"), (2, "read MORE!\n今日は天気がいいですね散歩に行きましょう\n---\n\ny"), (3, "今日は天気がいいですよ散歩に行きましょう\nX")]
     found = {r.doc_id: r.removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), least_words=1, by_grams=True).collect()}
     assert found == {1: [], 2: [0, 1], 3: [0, 1]}
+
+
+def test_secrets_without_a_digit(spark):
+    secrets = ["sk-" + "aBcDeFgHiJ" * 3, "ghp_" + "abcdefghiJKL" * 3, "ghr_" + "abcdefghiJKL" * 3, "AKIA" + "ABCDEFGH" * 2, "abcdef" * 6]
+    df = spark.createDataFrame([(k, f"key {x} here") for k, x in enumerate(secrets)], SCHEMA)
+    found = {r.doc_id: r for r in pii_surrogates.surrogate_documents(df).collect()}
+    assert all(found[k].n_entities == 1 and x not in found[k].text for k, x in enumerate(secrets))
