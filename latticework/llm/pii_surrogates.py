@@ -35,6 +35,8 @@ SYLLABLES = {
     "Cyrillic": "ба бе бо ва ве ви да де до за зе ка ко ла ле ли ма ме ми на не ни па пе ра ре ри са се со та те ти".split(),
     "Greek": "βα βε γα γε δα δε δι κα κο λα λε λι μα με μι να νε νι πα πε ρα ρε ρι σα σε τα τε τι".split(),
 }
+#: From this attempt on, forms may grow: the values of the entity's own form may have run out.
+CROWDED = 10
 ENDS = {"Latin": ("a", "n", "r"), "Cyrillic": ("а", "н", "р"), "Greek": ("α", "ς", "ς")}
 
 
@@ -103,14 +105,17 @@ def name_like(kind: Column, word: Column, at: Column, attempt: int) -> Column:
 
 
 def candidate(attempt: int, key: str) -> Column:
-    """The surrogate's letters and digits, of columns kind, canonical and at (a digest)."""
+    """The surrogate's letters and digits, of columns kind, canonical and at (a digest). From
+    attempt CROWDED on, octets have any length, and e-mail addresses and phone numbers a sign more, then
+    two and so on."""
+    more = max(0, 1 + (attempt - CROWDED) // 5)
     kind, canonical, at = F.col("kind"), F.col("canonical"), F.col("at")
     own = bare(canonical)
     each = lambda f: F.array_join(F.transform(F.split(own, ""), f), "")
     kept_end = F.length(own) - F.length(F.substring_index(canonical, ".", -1))  # an address keeps its last label
     email = each(lambda c, i: F.when(i >= kept_end, c).otherwise(like(c, byte(at, i))))
     secret = each(lambda c, i: F.when(c.rlike("^[0-9a-f]$") & own.rlike("^[0-9a-f]+$"), pick(HEX, byte(at, i))).otherwise(F.when((i < 4) & own.rlike("^(akia|gh[pousr]|sk)"), c).otherwise(like(c, byte(at, i)))))
-    octet = lambda o, i: F.when(F.length(o) == 3, 100 + F.pmod(byte(at, i) * 3 + byte(at, i + 8), F.lit(156))).when(F.length(o) == 2, 10 + F.pmod(byte(at, i), F.lit(90))).otherwise(F.pmod(byte(at, i), F.lit(10)))
+    octet = lambda o, i: F.when(F.length(o) == 3, 100 + F.pmod(byte(at, i) * 3 + byte(at, i + 8), F.lit(156))).when(F.length(o) == 2, 10 + F.pmod(byte(at, i), F.lit(90))).otherwise(F.pmod(byte(at, i), F.lit(10))) if not more else byte(at, i)
     ip = F.array_join(F.transform(F.split(canonical, r"\."), lambda o, i: octet(o, i).cast("string")), ".")
     iban = each(lambda c, i: F.when(i < 2, c).otherwise(like(c, byte(at, i))))
     digits = each(lambda c, i: pick(DIGITS, byte(at, i)))
@@ -119,6 +124,9 @@ def candidate(attempt: int, key: str) -> Column:
     checked = F.concat(first, F.pmod(10 - luhn_sum(F.concat(first, F.lit("0"))), F.lit(10)).cast("string"))
     card = F.when(luhn_sum(own) % 10 == 0, checked).otherwise(digits)
     person = name_like(kind, canonical, at, min(attempt, 20))
+    if more:
+        email = F.concat(*[like(F.substring(own, 1, 1), byte(at, F.lit(63 - k))) for k in range(more)], email)
+        phone = F.concat(phone, *[pick(DIGITS, byte(at, F.lit(63 - k))) for k in range(more)])
     return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", digits).otherwise(person)
 
 
@@ -161,8 +169,13 @@ def canonical(kind: Column, surface: Column) -> Column:
 
 
 def rendered(kind: Column, surface: Column, surrogate: Column) -> Column:
-    """The surrogate in the surface's format: its signs between letters and digits, its case."""
-    signs = F.regexp_replace(surrogate, r"[^\p{L}\p{N}]", "")
+    """The surrogate in the surface's format: its signs between letters and digits, its case.
+    What an address or a number has more than the surface leads or ends it."""
+    all_signs = F.regexp_replace(surrogate, r"[^\p{L}\p{N}]", "")
+    extra = F.greatest(F.length(all_signs) - F.length(F.regexp_replace(surface, r"[^\p{L}\p{N}]", "")), F.lit(0))
+    lead = F.when(kind == "email", F.substring(all_signs, F.lit(1), extra)).otherwise("")
+    signs = F.substring(all_signs, F.length(lead) + 1, F.length(all_signs))
+    end = F.when(kind == "phone", F.substring(signs, F.length(signs) - extra + 1, extra)).otherwise("")
     put = lambda c, x: F.when(c.rlike(r"^\p{Lu}$"), F.upper(x)).otherwise(x)
     filled = F.aggregate(
         F.split(surface, ""),
@@ -171,7 +184,7 @@ def rendered(kind: Column, surface: Column, surrogate: Column) -> Column:
         lambda a: a["out"],
     )
     name = F.when(surface == F.upper(surface), F.upper(surrogate)).otherwise(F.initcap(surrogate))
-    return F.when(kind.startswith("given") | (kind == "family"), name).otherwise(filled)
+    return F.when(kind.startswith("given") | (kind == "family"), name).when(kind == "ip", surrogate).otherwise(F.concat(lead, filled, end))
 
 
 def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
@@ -202,7 +215,8 @@ def surrogate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and titled names in the whole text become surrogates that depend on the key and the
     entity: the same entity, in whatever format or case, has the same one everywhere, and two
     entities of a kind never share one, nor is it a real value of the table. A surrogate keeps
-    the entity's format, script and case, and, but for names, its length; an address its last label, an international
+    the entity's format, script and case, and, but for names and for forms whose values run
+    out (addresses and phone numbers then grow), its length; an address its last label, an international
     number its first digit, a valid card number its validity; a given name the gender that the
     title tells, and a family name alone is the same person's as with a given name. Null text
     stays null, texts without entities stay as they are; repeated rows and null ids are

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from latticework.llm import line_dedup, pii_surrogates
 
@@ -34,3 +35,13 @@ def test_secrets_without_a_digit(spark):
     df = spark.createDataFrame([(k, f"key {x} here") for k, x in enumerate(secrets)], SCHEMA)
     found = {r.doc_id: r for r in pii_surrogates.surrogate_documents(df).collect()}
     assert all(found[k].n_entities == 1 and x not in found[k].text for k, x in enumerate(secrets))
+
+
+def test_surrogates_of_a_form_whose_values_are_all_taken(spark):
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{a}@{b}.co" for a in abc for b in abc] + [f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}" for i in range(10000)] + [f"+{i // 10000} {i // 100 % 100:02d} {i % 100:02d}" for i in range(10000, 20000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    found = [r.text for r in pii_surrogates.surrogate_documents(rows).collect()]
+    assert len(found) == len(set(found)) == len(texts) and not set(found) & set(texts)
+    df = spark.createDataFrame([(x,) for x in found], "text string")
+    assert df.where(~F.col("text").rlike("^(?:" + pii_surrogates.ANY + ")$")).count() == 0
