@@ -198,12 +198,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def grouped(marked: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Rows (doc_id, fp, ...) with their component_id."""
+    """Rows (doc_id, fp, ...) with their component_id and its root, a fingerprint that tells
+    components apart even if no member has an id."""
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(links(classes.select("fp"), budget))
     rooted = classes.join(groups, classes.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(named, "root").select("fp", "component_id")
+    of = rooted.join(named, "root").select("fp", "component_id", "root")
     return marked.join(of, "fp")
 
 
@@ -222,7 +223,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     rows = named.select(F.col(id_col).cast("string").alias("doc_id"), F.col(key).alias("key"), F.col(text_col).alias("text"))
     marked = cut(rows.mapInPandas(each, "doc_id string, key string, fp long").withColumn("doc_id", F.col("doc_id").cast(kind)))
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")
-    kept = grouped(marked, budget).groupBy(F.coalesce("component_id", F.lit(None).cast(kind)).alias("c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(order).alias("first"))
+    kept = grouped(marked, budget).groupBy("root").agg(F.min(order).alias("first"))
     times = marked.groupBy("key").count()
     kept = cut(kept.select(F.col("first.key").alias("key")).join(times, "key").select(F.col("key").alias(key), "count"))
     once, often = kept.where("count = 1").select(key), kept.where("count > 1").select(key)

@@ -1,11 +1,13 @@
 """Cases in which operators once did less than the whole job."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.llm import line_dedup, pii_surrogates
+from latticework.llm import line_dedup, pii_surrogates, simhash_trie
 
 SCHEMA = "doc_id long, text string"
 
@@ -45,3 +47,15 @@ def test_surrogates_of_a_form_whose_values_are_all_taken(spark):
     assert len(found) == len(set(found)) == len(texts) and not set(found) & set(texts)
     df = spark.createDataFrame([(x,) for x in found], "text string")
     assert df.where(~F.col("text").rlike("^(?:" + pii_surrogates.ANY + ")$")).count() == 0
+
+
+def test_near_copies_without_ids_leave_one(spark):
+    rnd = random.Random(1)
+    words = [f"word{rnd.randrange(10**6)}" for _ in range(3000)]
+    texts = {" ".join([*words, f"end{k}"]) for k in range(40)}
+    fps = {t: int.from_bytes(simhash_trie.fingerprint(t), "big") for t in texts}
+    a = max(texts)
+    b = next(t for t in sorted(texts) if 0 < (fps[t] ^ fps[a]).bit_count() <= simhash_trie.BUDGET)
+    df = spark.createDataFrame([(None, a), (None, b), (1, "something else"), (1, "of the same id and far away from it")], SCHEMA)
+    kept = Counter(r.doc_id for r in simhash_trie.keep_one(df).collect())
+    assert kept == {None: 1, 1: 2}
