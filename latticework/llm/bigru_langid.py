@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import free_name
@@ -176,11 +176,21 @@ def windowed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> BiGru | None:
     """A network fitted on at most `sample_docs` labelled documents outside the held-out fold,
-    those whose ids hash lowest, SAMPLE_WINDOWS windows of each. None if there are none."""
+    SAMPLE_WINDOWS windows of each. Each language has a quota of documents (see quotas()), those
+    whose ids hash lowest. None if there are none."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("id")))
-    ids = rows.select("id").orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample_docs).distinct()
-    chosen = rows.join(F.broadcast(ids), "id", "left_semi")  # sample_docs ids at most
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).where("n > 0").orderBy(F.desc("n"), "lang").limit(sample_docs)
+    sizes = {r.lang: r.n for r in counted.collect()}  # sample_docs rows at most
+    if not sizes:
+        return None
+    # Hashes under a share somewhat above the quota's are few, and hold it but for odd chance.
+    wanted = [(lang, q, min(1.0, (1.2 * q + 4 * q**0.5 + 16) / sizes[lang])) for lang, q in quotas(sizes, sample_docs).items()]
+    drawing = F.broadcast(docs.sparkSession.createDataFrame(wanted, "lang string, quota int, share double"))
+    hashed = rows.select("id", "lang", F.xxhash64("id", F.lit(SEED)).alias("h")).where("id is not null")
+    some_ids = hashed.join(drawing, "lang").where(F.col("h") / 2.0**64 + 0.5 <= F.col("share")).select("id", "lang", "h", "quota").distinct()
+    ids = some_ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where("k <= quota").select("id", "lang")
+    chosen = rows.join(F.broadcast(ids), ["id", "lang"], "left_semi")  # sample_docs ids at most
 
     def some(parts):
         for part in parts:
@@ -203,6 +213,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return net
 
 
+def quotas(sizes: dict[str, int], docs: int) -> dict[str, int]:
+    """How many documents to draw of each language, `docs` in all at most: a quarter is dealt
+    out evenly, the rest in proportion; never more than there are."""
+    even = max(1, docs // (4 * len(sizes)))
+    least = {lang: min(n, even) for lang, n in sizes.items()}
+    left, rest = docs - sum(least.values()), sum(sizes.values()) - sum(least.values())
+    return {lang: least[lang] + min(n - least[lang], left * (n - least[lang]) // max(rest, 1)) for lang, n in sizes.items()}
+
+
 def held_out(doc_id) -> F.Column:
     """crc32 of the id as text, mod 5, is 0; a null id isn't."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

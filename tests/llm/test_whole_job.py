@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.llm import line_dedup, pii_surrogates, simhash_trie
+from latticework.llm import bigru_langid, line_dedup, pii_surrogates, simhash_trie
 
 SCHEMA = "doc_id long, text string"
 
@@ -59,3 +59,12 @@ def test_near_copies_without_ids_leave_one(spark):
     df = spark.createDataFrame([(None, a), (None, b), (1, "something else"), (1, "of the same id and far away from it")], SCHEMA)
     kept = Counter(r.doc_id for r in simhash_trie.keep_one(df).collect())
     assert kept == {None: 1, 1: 2}
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "kako tona " * 3, "aa") for i in range(3000)] + [(5000 + i, "schung verein " * 3, "bb") for i in range(10)] + [(5000, "schung", "bb")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert bigru_langid.train(df, sample_docs=60).langs == ["aa", "bb"]
+    for sizes in ({"a": 10**9, "b": 3, "c": 1}, {"a": 5, "b": 4}, {f"l{k}": 7 for k in range(100)}):
+        dealt = bigru_langid.quotas(sizes, 200)
+        assert sum(dealt.values()) <= 200 and all(0 < q <= sizes[x] for x, q in dealt.items())
