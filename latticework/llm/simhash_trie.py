@@ -17,6 +17,8 @@ BUDGET = 2
 #: that the top may use: at most 2^TOP_BITS nodes, so its size has a bound at any input.
 SUBTREE = 4096
 LEAST_BITS, TOP_BITS = 5, 12
+#: Only subtrees below the top of over DEEP_SUBTREE fingerprints are split too, STEP bits at a time.
+DEEP_SUBTREE, STEP = 16 * SUBTREE, 4
 #: Node pairs that one step of the traversal holds.
 FRONTIER = 1 << 18
 AT_ONCE = 1 << 16
@@ -55,19 +57,25 @@ def top_pairs(sizes: dict[int, int], bits: int, subtree: int = SUBTREE, least: i
     """(prefix, pair, right side) for pairs of subtrees whose roots differ in at most
     `budget` bits; sizes: fingerprints by their first `bits` bits. The top of the trie is
     split where a node has over `subtree` fingerprints, and traversed in node pairs."""
-    total = {}
-    for prefix, n in sizes.items():
+    return [(p, pair, right) for _, p, pair, right in leaf_pairs({(bits, p): n for p, n in sizes.items()}, bits, subtree, subtree, least, budget)]
+
+
+def leaf_pairs(leaves: dict[tuple[int, int], int], top: int, subtree: int, deep: int, least: int = LEAST_BITS, budget: int = BUDGET) -> list[tuple[int, int, int, bool]]:
+    """(depth, prefix, pair, right side), as top_pairs(), of leaves at different depths, none
+    below another; nodes from depth `top` on are split where they have over `deep` fingerprints."""
+    total, under = {}, {}
+    for (bits, prefix), n in leaves.items():
         for depth in range(bits + 1):
             key = (depth, prefix >> (bits - depth))
             total[key] = total.get(key, 0) + n
-    inner = lambda x: x[0] < bits and (x[0] < min(least, bits) or total[x] > subtree)
-    out, pairs, todo = [], 0, [((0, 0), (0, 0), 0)] if sizes else []
+            under.setdefault(key, []).append((bits, prefix))
+    inner = lambda x: x not in leaves and (x[0] < least or total[x] > (subtree if x[0] < top else deep))
+    out, pairs, todo = [], 0, [((0, 0), (0, 0), 0)] if leaves else []
     while todo:
         a, b, spent = todo.pop()
         if not inner(a) and not inner(b):
-            for side, (depth, prefix) in enumerate((a, b)):
-                below = bits - depth
-                out += [(p, pairs, side == 1) for p in range(prefix << below, (prefix + 1) << below) if p in sizes and (side == 0 or a != b)]
+            for side, x in enumerate((a, b)):
+                out += [(*leaf, pairs, side == 1) for leaf in under[x] if side == 0 or a != b]
             pairs += 1
             continue
         kids = lambda x: [(x[0] + 1, 2 * x[1] + i) for i in (0, 1) if (x[0] + 1, 2 * x[1] + i) in total] if inner(x) else [x]
@@ -160,13 +168,29 @@ def forest(n: int, pairs) -> np.ndarray:
     return root
 
 
-def links(fps: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
+def leaves_of(fps: DataFrame, top: int = TOP_BITS, deep: int = DEEP_SUBTREE, step: int = STEP) -> dict[tuple[int, int], int]:
+    """Fingerprints by (depth, prefix). Prefixes of `top` bits with over `deep` fingerprints, and
+    only these, are counted by the next bits too, level by level: at most 2^top rows come
+    first, then 2^step for each `deep` fingerprints."""
+    count = lambda rows, depth: {r[0]: r[1] for r in rows.groupBy(F.shiftrightunsigned("fp", 64 - depth).alias("p")).count().collect()}
+    leaves, depth, now = {}, top, count(fps, top)
+    while True:
+        hot = [p for p, n in now.items() if n > deep and depth + step < 64]
+        leaves |= {(depth, p): n for p, n in now.items() if n <= deep or depth + step >= 64}
+        if not hot:
+            return leaves
+        among = fps.sparkSession.createDataFrame([(p,) for p in hot], "hot long")
+        now = count(fps.join(F.broadcast(among), F.shiftrightunsigned("fp", 64 - depth) == F.col("hot"), "left_semi"), depth + step)
+        depth += step
+
+
+def links(fps: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE, deep: int = DEEP_SUBTREE) -> DataFrame:
     """Links (a, b) between distinct fingerprints fp, enough to connect all within `budget`
     bits: each pair of subtrees yields a spanning forest of its close pairs, so a cluster
     gives as many links as it has members, not all its pairs."""
-    prefix = F.shiftrightunsigned("fp", 64 - TOP_BITS).cast("int")
-    sizes = {r[0]: r[1] for r in fps.groupBy(prefix.alias("p")).count().collect()}  # at most 2^TOP_BITS rows
-    pairs = fps.sparkSession.createDataFrame(top_pairs(sizes, TOP_BITS, subtree, budget=budget), "prefix int, pair int, right boolean")
+    leaves = leaves_of(fps, deep=deep)
+    table = leaf_pairs(leaves, TOP_BITS, subtree, deep, budget=budget)
+    pairs = fps.sparkSession.createDataFrame(table, "depth int, prefix long, pair int, right boolean")
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         left = np.unique(part.fp[~part.right].to_numpy().view(np.uint64))
@@ -177,8 +201,11 @@ def links(fps: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> DataF
         at = np.nonzero(root != np.arange(len(both)))[0]
         return pd.DataFrame({"a": both[at].view(np.int64), "b": both[root[at]].view(np.int64)})
 
-    # The table of pairs has at most 2^TOP_BITS prefixes in 79 pairs each, whatever the input.
-    dealt = fps.select("fp", prefix.alias("prefix")).join(F.broadcast(pairs), "prefix")
+    # The table of pairs has at most 2^TOP_BITS prefixes in 79 pairs each, and more only below
+    # prefixes of over `deep` fingerprints, in proportion to these.
+    depths = sorted({depth for depth, _ in leaves} | {TOP_BITS})
+    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftrightunsigned("fp", 64 - d).alias("prefix")) for d in depths]))
+    dealt = fps.select("fp", at.alias("at")).select("fp", "at.*").join(F.broadcast(pairs), ["depth", "prefix"])
     return dealt.select("pair", "fp", "right").groupBy("pair").applyInPandas(join, "a long, b long")
 
 

@@ -68,3 +68,22 @@ def test_rare_languages_are_learned(spark):
     for sizes in ({"a": 10**9, "b": 3, "c": 1}, {"a": 5, "b": 4}, {f"l{k}": 7 for k in range(100)}):
         dealt = bigru_langid.quotas(sizes, 200)
         assert sum(dealt.values()) <= 200 and all(0 < q <= sizes[x] for x, q in dealt.items())
+
+
+def test_prefixes_of_many_near_copies_are_split(spark):
+    rng = np.random.default_rng(5)
+    flip = lambda x, n: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 52, (n, len(x)), dtype=np.uint64))
+    near = np.full(1500, 0x123456789ABCDEF0, np.uint64)
+    fps = np.unique(np.concatenate([flip(near, 5), flip(near, 2), rng.integers(0, 1 << 64, 500, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    leaves = simhash_trie.leaves_of(df, deep=200)
+    assert sum(leaves.values()) == len(fps) and max(leaves.values()) <= 200 and max(d for d, _ in leaves) > simhash_trie.TOP_BITS
+    in_pair = Counter()
+    for depth, prefix, pair, right in simhash_trie.leaf_pairs(leaves, simhash_trie.TOP_BITS, 100, 200):
+        in_pair[pair, right] += leaves[depth, prefix]
+    assert max(in_pair.values()) <= 200
+    found = {(r.a, r.b) for r in simhash_trie.links(df, subtree=100, deep=200).collect()}
+    index = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+    groups = lambda pairs: simhash_trie.forest(len(fps), [tuple(np.array(sorted(pairs)).T)]).tolist()
+    close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    assert groups({(index[a], index[b]) for a, b in found}) == groups({(int(i), int(j)) for i, j in zip(*np.nonzero(close))})
