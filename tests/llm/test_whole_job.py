@@ -22,13 +22,13 @@ def test_lines_with_one_changed_letter_are_linked(spark, n_words):
         at = rnd.choice([i for i, w in enumerate(line) if len(w) >= 4] or [0])
         other = [*line[:at], "z" + line[at][1:], *line[at + 1 :]]
         rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
-    found = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), by_grams=True).collect() if r.n_removed}
+    found = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect() if r.n_removed}
     assert found == {2 * k + 1 for k in range(40)}
 
 
 def test_short_lines_and_lines_without_spaces(spark):
     rows = [(1, "Read more\n今日は天気がいいですね散歩に行きましょう\n---\n\nx"), (2, "read MORE!\n今日は天気がいいですね散歩に行きましょう\n---\n\ny"), (3, "今日は天気がいいですよ散歩に行きましょう\nX")]
-    found = {r.doc_id: r.removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), least_words=1, by_grams=True).collect()}
+    found = {r.doc_id: r.removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == {1: [], 2: [0, 1], 3: [0, 1]}
 
 
