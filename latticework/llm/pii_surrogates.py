@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import cut, free_name
+from latticework.llm.common import cut, free_name, written
 
 KEY = "latticework"
-#: What is detected, in order of precedence.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+#: What is detected, in order of precedence. Repeated groups are bounded, by the
+#: standard's lengths in addresses, since the JVM matches them by recursion.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){0,125}\.\p{L}{2,63}"
 SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,48})(?![0-9A-Za-z])"
 SECRET_STARTS = ("sk-", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
@@ -87,6 +88,17 @@ def luhn_sum(digits: Column) -> Column:
     )
 
 
+def mod_97(account: Column) -> Column:
+    """Remainder of letters and digits read as a number, a letter as 10 to 35."""
+    step = lambda a, c: F.when(c.rlike("^[0-9]$"), (a * 10 + F.ascii(c) - 48) % 97).when(c.rlike("^[A-Z]$"), (a * 100 + F.ascii(c) - 55) % 97).otherwise(a)
+    return F.aggregate(F.split(F.upper(account), ""), F.lit(0), step)
+
+
+def is_real(kind: Column, canonical: Column) -> Column:
+    """Whether it is what it looks like: a card number has the right check digit."""
+    return (kind != "card") | (luhn_sum(canonical) % 10 == 0)
+
+
 def script_of(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "Cyrillic").when(word.rlike(r"\p{IsGreek}"), "Greek").otherwise("Latin")
 
@@ -118,16 +130,19 @@ def candidate(attempt: int, key: str) -> Column:
     octet = lambda o, i: F.when(F.length(o) == 3, 100 + F.pmod(byte(at, i) * 3 + byte(at, i + 8), F.lit(156))).when(F.length(o) == 2, 10 + F.pmod(byte(at, i), F.lit(90))).otherwise(F.pmod(byte(at, i), F.lit(10))) if not more else byte(at, i)
     ip = F.array_join(F.transform(F.split(canonical, r"\."), lambda o, i: octet(o, i).cast("string")), ".")
     iban = each(lambda c, i: F.when(i < 2, c).otherwise(like(c, byte(at, i))))
+    country, account, n = F.substring(own, 1, 2), F.substring(iban, F.lit(5), F.length(own)), F.length(own)
+    check = F.lpad((98 - mod_97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    valid = mod_97(F.concat(F.substring(own, F.lit(5), n), F.substring(own, 1, 4))) == 1
+    iban = F.when(valid, F.concat(country, check, account)).otherwise(iban)
     digits = each(lambda c, i: pick(DIGITS, byte(at, i)))
     phone = F.when(canonical.startswith("+"), F.concat(F.substring(own, 1, 1), F.substring(digits, F.lit(2), F.length(own)))).otherwise(digits)
     first = F.substring(digits, F.lit(1), F.length(own) - 1)
     checked = F.concat(first, F.pmod(10 - luhn_sum(F.concat(first, F.lit("0"))), F.lit(10)).cast("string"))
-    card = F.when(luhn_sum(own) % 10 == 0, checked).otherwise(digits)
     person = name_like(kind, canonical, at, min(attempt, 20))
     if more:
         email = F.concat(*[like(F.substring(own, 1, 1), byte(at, F.lit(63 - k))) for k in range(more)], email)
         phone = F.concat(phone, *[pick(DIGITS, byte(at, F.lit(63 - k))) for k in range(more)])
-    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", digits).otherwise(person)
+    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", checked).when(kind == "phone", phone).when(kind == "ssn", digits).otherwise(person)
 
 
 def surrogates(entities: DataFrame, key: str = KEY, make=candidate, rounds: int = 100) -> DataFrame:
@@ -191,20 +206,21 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with each entity in text_col replaced, and a column n_entities (int); see
     surrogate_documents(). If docs has a column of that name, underscores are added."""
     names = list(docs.columns)
-    row, found, new = (free_name(names, x) for x in ("_row", "_found", "_new"))
+    row, found, new, real = (free_name(names, x) for x in ("_row", "_found", "_new", "_real"))
     count = free_name(names, "n_entities")
-    marked = docs.withColumn(found, entities(F.coalesce(F.col(text_col), F.lit(""))))
+    marked = written(docs.withColumn(found, entities(F.coalesce(F.col(text_col), F.lit("")))))
     plain = marked.where(F.size(found) == 0).select(*[F.col(f"`{c}`") for c in names], F.lit(0).alias(count))
     some = marked.where(F.size(found) > 0).withColumn(row, F.sha2(F.concat_ws("\x1f", F.col(id_col).cast("string"), F.col(text_col)), 256))
     parts = some.select(F.col(row).alias("row"), F.posexplode(found).alias("k", "entity")).select("row", "k", F.posexplode(parts_of(F.col("entity"))).alias("j", "part"))
     parts = cut(parts.select("row", "k", "j", "part.lead", "part.kind", "part.surface", canonical(F.col("part.kind"), F.col("part.surface")).alias("canonical")).distinct())
-    of = surrogates(parts.select("kind", "canonical"), key)
-    done = parts.join(of, ["kind", "canonical"]).select("row", "k", "j", F.concat("lead", rendered(F.col("kind"), F.col("surface"), F.col("surrogate"))).alias("text"))
-    whole = done.groupBy("row", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "text"))), lambda x: x["text"]), "").alias("text"))
-    listed = whole.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias(new)).withColumnRenamed("row", row)
+    of = surrogates(parts.where(is_real(F.col("kind"), F.col("canonical"))).select("kind", "canonical"), key)
+    made = rendered(F.col("kind"), F.col("surface"), F.col("surrogate"))
+    done = parts.join(of, ["kind", "canonical"], "left").select("row", "k", "j", F.col("surrogate").isNotNull().cast("int").alias("real"), F.concat("lead", F.coalesce(made, "surface")).alias("text"))
+    whole = done.groupBy("row", "k").agg(F.max("real").alias("real"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "text"))), lambda x: x["text"]), "").alias("text"))
+    listed = whole.groupBy("row").agg(F.sum("real").cast("int").alias(real), F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias(new)).withColumnRenamed("row", row)
     between = F.split(F.col(text_col), ANY, -1)
     joined = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(F.col(new), i), F.lit("")))), "")
-    changed = some.join(listed, row).select(*[(joined if c == text_col else F.col(f"`{c}`")).alias(c) for c in names], F.size(found).alias(count))
+    changed = some.join(listed, row).select(*[(joined if c == text_col else F.col(f"`{c}`")).alias(c) for c in names], F.col(real).alias(count))
     return plain.unionByName(changed)
 
 
@@ -217,12 +233,15 @@ def surrogate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entities of a kind never share one, nor is it a real value of the table. A surrogate keeps
     the entity's format, script and case, and, but for names and for forms whose values run
     out (addresses and phone numbers then grow), its length; an address its last label, an international
-    number its first digit, a valid card number its validity; a given name the gender that the
+    number its first digit, a card number and a valid bank account number their check digits'
+    validity; numbers that look like a card's but fail its check digit are left alone; a given name the gender that the
     title tells, and a family name alone is the same person's as with a given name. Null text
     stays null, texts without entities stay as they are; repeated rows and null ids are
     returned as they are; an empty table gives an empty result; other columns are ignored.
 
-    Only documents with entities are shuffled. A frequent entity is one row of the table of
+    Texts of any length are searched; the local part of an address has up to 64 characters, its
+    host up to 126 labels of up to 63, as the standards have it. Texts are searched once, and
+    written with what was found. Only documents with entities are shuffled. A frequent entity is one row of the table of
     distinct entities; Spark can split its occurrences, which are narrow rows, in the join.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -87,3 +87,38 @@ def test_prefixes_of_many_near_copies_are_split(spark):
     groups = lambda pairs: simhash_trie.forest(len(fps), [tuple(np.array(sorted(pairs)).T)]).tolist()
     close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
     assert groups({(index[a], index[b]) for a, b in found}) == groups({(int(i), int(j)) for i, j in zip(*np.nonzero(close))})
+
+
+def test_long_texts_with_and_without_entities(spark):
+    n = 100_000
+    texts = ["x@" + "a." * n + "com", "a" * n * 10, "1" * n * 10, "1-" * n, "+1" + " 22" * n, "A1" * n, "Mr. " + "X" * n, "x" * n + "@y.com", " ".join(["bob@mail.org"] * 5000), "(" * n, "1.2." * n, "sk-" * n]
+    found = {r.doc_id: r for r in pii_surrogates.surrogate_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert len(found) == len(texts) and found[1].text == texts[1] and found[9].text == texts[9]
+    assert found[8].n_entities == 5000 and len(set(found[8].text.split())) == 1 and "bob" not in found[8].text
+
+
+def test_check_digits(spark):
+    texts = ["4111 1111 1111 1111", "4111 1111 1111 1112", "DE89 3704 0044 0532 0130 00", "DE88370400440532013000"]
+    found = {r.doc_id: r for r in pii_surrogates.surrogate_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    rest = lambda x: int("".join(str(int(c, 36)) for c in (x[4:] + x[:4]).replace(" ", ""))) % 97
+    assert found[0].text != texts[0] and (found[1].text, found[1].n_entities) == (texts[1], 0)
+    assert found[2].text != texts[2] and rest(found[2].text) == 1 and found[2].text[:2] == "DE" and found[2].text[4] == " "
+    assert found[3].text != texts[3] and found[3].n_entities == 1
+
+
+def test_replacement_against_brute_force(spark):
+    """Each occurrence, whatever its format, has what the table of surrogates says, and nothing else changes."""
+    rnd = random.Random(4)
+    kinds = {"ssn": lambda: f"{rnd.randint(100, 999)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}", "email": lambda: f"u{rnd.randint(1, 40)}@h{rnd.randint(1, 9)}.net"}
+    pool = [(k, make()) for k, make in kinds.items() for _ in range(60)]
+    rows = [(i, " ".join(x for _ in range(rnd.randint(0, 5)) for x in ("word", rnd.choice(pool)[1], "3.14,"))) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = {x for _, t in rows for x in t.split()}
+    some = sorted({(k, x) for k, x in pool if x in seen})
+    entities = spark.createDataFrame(some, "kind string, surface string").withColumn("canonical", pii_surrogates.canonical(F.col("kind"), F.col("surface")))
+    made = {r.canonical: r.surrogate for r in pii_surrogates.surrogates(entities).collect()}
+    shaped = lambda x, s: "".join(next(it) if c.isalnum() else c for it in [iter(s)] for c in x)
+    of = {r.surface: shaped(r.surface, made[r.canonical]) for r in entities.collect()}
+    assert len(set(of.values())) == len(of) == len(some) and not set(of.values()) & set(of)
+    want = {i: " ".join(of.get(w, w) for w in t.split(" ")) for i, t in rows}
+    assert {r.doc_id: r.text for r in pii_surrogates.surrogate_documents(df).collect()} == want
