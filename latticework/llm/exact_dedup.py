@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import cut
+from latticework.llm.common import cut, marked
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -28,10 +28,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of a group: of rows that repeat both id and text, one is kept. An empty table gives an
     empty result. Other columns of docs are ignored, whatever their names.
 
-    Only ids and hashes of all rows are shuffled. Texts are read again, and shuffled, only
-    where a hash occurs more than once; they are grouped by hash and bytes, which Spark
-    combines before its shuffle, so a text repeated in a third of all rows crosses once for
-    each task. Where one hash has several texts, its rows are matched by their bytes.
+    Only ids and hashes of all rows are shuffled. Texts are read again where a hash occurs more
+    than once, which a broadcast bitmap of 8 MB tells (and lets a few others through), and are
+    grouped by hash and bytes before their shuffle, so a text repeated in a third of all rows
+    crosses once for each task. Where one hash has several texts, its rows are matched by their
+    bytes; if there is no such hash, as is usual, that step is left out.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     rows = rows.select("doc_id", "norm", hash_of(F.col("norm")).alias("h"))
@@ -45,18 +46,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"), F.count("*").alias("members")
         )
     )
-    repeated = groups.where("group_size > 1").select("h")
-    texts = rows.join(repeated, "h", "left_semi").groupBy("h", "norm").agg(F.min("doc_id").alias("text_keep"), F.count("*").alias("text_size"))
+    repeated = groups.where("group_size > 1").select(F.xxhash64("h").alias("k"))
+    texts = marked(rows.withColumn("k", F.xxhash64("h")), "k", repeated).groupBy("h", "norm").agg(F.min("doc_id").alias("text_keep"), F.count("*").alias("text_size"))
     clashing = cut(texts.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h"))
-    plain = listed.join(clashing, "h", "left_anti").join(groups.drop("members"), "h")
-    split = (
-        rows.join(clashing, "h", "left_semi")
-        .groupBy("h", "norm", "doc_id")
-        .agg(F.count("*").alias("times"))
-        .join(texts.join(clashing, "h", "left_semi"), ["h", "norm"])
-        .select("h", "doc_id", F.sha2("norm", 256).alias("text_sha256"), "times", F.col("text_keep").alias("keep_id"), F.col("text_size").alias("group_size"))
-    )
-    both = plain.unionByName(split)
+    both = listed.join(groups.drop("members"), "h")
+    if not clashing.isEmpty():
+        some = marked(rows.withColumn("k", F.xxhash64("h")), "k", clashing.select(F.xxhash64("h").alias("k"))).drop("k")
+        split = (
+            some.groupBy("h", "norm", "doc_id")
+            .agg(F.count("*").alias("times"))
+            .join(clashing, "h", "left_semi")
+            .join(texts.join(clashing, "h", "left_semi"), ["h", "norm"])
+            .select("h", "doc_id", F.sha2("norm", 256).alias("text_sha256"), "times", F.col("text_keep").alias("keep_id"), F.col("text_size").alias("group_size"))
+        )
+        both = both.join(clashing, "h", "left_anti").unionByName(split)
     return both.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(
         "doc_id",
         "keep_id",
