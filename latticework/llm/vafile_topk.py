@@ -13,6 +13,8 @@ SCALE = 1024
 CELL_BITS = 8
 BLOCK_ROWS = 4096
 QUERY_BLOCK_ROWS = 4096
+#: Stripes that the file is dealt over at most; each meets all blocks of queries.
+MOST_STRIPES = 64
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -36,13 +38,13 @@ def packed(vectors: DataFrame, shift: int, cells: bool, rows: int) -> DataFrame:
                     some = group.iloc[at : at + rows]
                     m = np.array(some.v.tolist(), dtype=np.int64)
                     data = (m >> shift).astype(np.int16) if cells else m
-                    yield pd.DataFrame({"dim": [int(dim)], "ids": [some.vec_id.to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
+                    yield pd.DataFrame({"dim": [int(dim)], "ids": [some["row"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
 
     return vectors.mapInPandas(pack, "dim int, ids binary, data binary")
 
 
 def scan(pairs: DataFrame, shift: int, k: int) -> DataFrame:
-    """(query_id, vec_id, low, high) for each query and block of the file: bounds of the score
+    """(q, c, low, high), numbers of rows, for each query and block of the file: bounds of the score
     of those vectors whose upper bound reaches the block's k-th largest lower bound.
 
     A cell c holds the integers from c << shift on, 2^shift of them, so a query q's score lies
@@ -65,9 +67,9 @@ def scan(pairs: DataFrame, shift: int, k: int) -> DataFrame:
                     high[own[:, None] == ids[None, :]] = -np.inf
                     least = np.partition(low, max(0, low.shape[1] - k), axis=1)[:, max(0, low.shape[1] - k)]
                     i, j = np.nonzero((high >= least[:, None]) & np.isfinite(high))
-                    yield pd.DataFrame({"query_id": own[i], "vec_id": ids[j], "low": low[i, j].astype(np.int64), "high": high[i, j].astype(np.int64)})
+                    yield pd.DataFrame({"q": own[i], "c": ids[j], "low": low[i, j].astype(np.int64), "high": high[i, j].astype(np.int64)})
 
-    return pairs.mapInPandas(bounds, "query_id long, vec_id long, low long, high long")
+    return pairs.mapInPandas(bounds, "q long, c long, low long, high long")
 
 
 def score(a: Column, b: Column) -> Column:
@@ -78,51 +80,57 @@ def exact_top_k(embeddings: DataFrame, k: int = 10, every: int = 100, first: int
     """The k highest scores of each query among all other rows, ties to the smaller vec_id:
     (query_id, rank, vec_id, score).
 
-    Queries are the rows whose vec_id is divisible by `every`. A row is no candidate of the
-    query with its own vec_id, so rows that repeat a vec_id aren't each other's; repeated rows
-    are taken once. A query with fewer candidates has fewer rows; only vectors of its length
-    are candidates. Empty tables give an empty result; extra columns are ignored.
+    Queries are the rows whose vec_id is divisible by `every`. Every row but the query's own is
+    a candidate, another of the same vec_id too; rows that repeat a vec_id are queries, and
+    candidates, each. A query with fewer candidates has fewer rows; only vectors of its length
+    are candidates, empty ones are left out. Components are exact below 2^40. Empty tables give an empty result; extra columns are ignored.
 
-    The file of 8-bit cells is scanned in blocks of vectors by blocks of queries. It yields
-    bounds; the k-th largest lower bound of a query prunes. Exact vectors are then read in
+    Of equal vectors only the k + 1 of the smallest vec_id can be in a result, so only these are
+    in the file; a common vector is cut down to them before its shuffle. The file of 8-bit cells
+    is scanned in blocks of vectors by blocks of queries, dealt out as a grid. It yields bounds; the k-th largest lower bound of a query prunes. Exact vectors are then read in
     order of their bounds: the best `first` (2k) of each query, and after them only those
     whose bound still reaches the k-th exact score found, which makes the result certain.
     """
-    vectors = cut(integer_vectors(embeddings).dropDuplicates(["vec_id"]))
+    spark = embeddings.sparkSession
+    vectors = cut(integer_vectors(embeddings).withColumn("row", F.monotonically_increasing_id()))
     most = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
     shift = max(0, int(most).bit_length() + 1 - CELL_BITS)
     queries = vectors.where(F.col("vec_id") % every == 0)
-    cells = packed(vectors, shift, True, BLOCK_ROWS)
-    blocks = packed(queries, 0, False, QUERY_BLOCK_ROWS).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    found = cut(scan(cells.join(blocks, "dim"), shift, k))
-
-    by_low = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
-    by_high = Window.partitionBy("query_id").orderBy(F.desc("high"), "vec_id")
-    least = found.withColumn("n", F.row_number().over(by_low)).where(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("low")).alias("least"))
-    left = found.join(least, "query_id").where("least is null or high >= least")
-    left = cut(left.select("query_id", "vec_id", "high", F.row_number().over(by_high).alias("n")))
+    among_equal = F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "row"))
+    file = vectors.withColumn("n", among_equal).where(F.col("n") <= k + 1).drop("n")
+    grid = min(MOST_STRIPES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = packed(file, shift, True, BLOCK_ROWS).withColumn("stripe", F.pmod(F.xxhash64("ids"), F.lit(grid)))
+    blocks = packed(queries, 0, False, QUERY_BLOCK_ROWS).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(grid - 1)).cast("array<long>")).alias("stripe"))
+    found = cut(scan(cells.join(blocks, ["dim", "stripe"]), shift, k))
+
+    by_low = Window.partitionBy("q").orderBy(F.desc("low"), "c")
+    by_high = Window.partitionBy("q").orderBy(F.desc("high"), "c")
+    least = found.withColumn("n", F.row_number().over(by_low)).where(F.col("n") <= k).groupBy("q").agg(F.when(F.count("*") >= k, F.min("low")).alias("least"))
+    left = found.join(least, "q").where("least is null or high >= least")
+    left = cut(left.select("q", "c", "high", F.row_number().over(by_high).alias("n")))
 
     def exactly(rows: DataFrame) -> DataFrame:
-        q = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-        return rows.join(q, "query_id").join(vectors, "vec_id").select("query_id", "vec_id", score(F.col("q"), F.col("v")).alias("score"))
+        q = queries.select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+        c = vectors.select(F.col("row").alias("c"), "vec_id", "v")
+        return rows.select("q", "c").join(q, "q").join(c, "c").select("q", "query_id", "vec_id", score(F.col("qv"), F.col("v")).alias("score"))
 
     first = first or 2 * k
     early = cut(exactly(left.where(F.col("n") <= first)))
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    sure = early.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select("query_id", F.col("score").alias("sure"))
-    late = exactly(left.where(F.col("n") > first).join(sure, "query_id", "left").where("sure is null or high >= sure").select("query_id", "vec_id"))
+    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    sure = early.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select("q", F.col("score").alias("sure"))
+    late = exactly(left.where(F.col("n") > first).join(sure, "q", "left").where("sure is null or high >= sure"))
     return early.unionByName(late).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.n <> c.n
 ), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+  SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
