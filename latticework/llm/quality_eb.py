@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.common import cut
+from latticework.llm.url_reputation import strength
 
 #: Bound of the labelled rows that the document classifier is fitted on.
 TRAIN_ROWS = 8000
-#: Weight of the prior, in labelled documents, of a host and of a path.
-HOST_PRIOR, PATH_PRIOR = 20.0, 20.0
 KEEP = 0.5
 FEATURES = ("upper", "digit", "mark", "odd", "bar", "space", "word", "varied", "repeated", "lines")
 _MARKS = np.frombuffer(b".,;:!?'\"-()", np.uint8)
@@ -60,16 +59,18 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_posteriors(outcomes: DataFrame, host_prior: float = HOST_PRIOR, path_prior: float = PATH_PRIOR) -> tuple[float, DataFrame, DataFrame]:
+def site_posteriors(outcomes: DataFrame, host_prior: float | None = None, path_prior: float | None = None) -> tuple[float, DataFrame, DataFrame]:
     """(global rate, (host, host_rate), (host, path, path_rate)) from (host, path, good).
 
     A host's rate of good documents is shrunk to the global rate, a path's to its host's, each
-    by a prior worth so many documents; sparse sites stay near the level above. Only counts by
-    site are shuffled, so a host of a third of all rows costs a row for each task."""
+    by a beta-binomial prior; its strength, in labelled documents, is fitted by moments at its
+    level, if not given. Sparse sites stay near the level above. Only counts by site are shuffled, so a host of a third of all rows costs a row for each task."""
     paths = cut(outcomes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("good")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     n, good = hosts.agg(F.sum("n"), F.sum("good")).first()
     rate = (good + 1) / (n + 2) if n else 0.5
+    fitted = lambda sites: strength(sites.withColumn("bad", F.col("n") - F.col("good")))[1]
+    host_prior, path_prior = host_prior or fitted(hosts), path_prior or fitted(paths)
     by_host = hosts.select("host", ((F.col("good") + host_prior * rate) / (F.col("n") + host_prior)).alias("host_rate"))
     by_path = paths.join(by_host, "host").select("host", "path", ((F.col("good") + F.col("host_rate") * path_prior) / (F.col("n") + path_prior)).alias("path_rate"))
     return rate, by_host, by_path
@@ -98,7 +99,10 @@ def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_
     told = labels.where("quality is not null").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.min("quality").cast("long").alias("good"))
     known = cut(measured.join(told, "doc_id"))
     rate, by_host, by_path = site_posteriors(known.select("host", "path", "good"))
-    sample = known.where("exists(x, v -> v <> 0)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("doc_id", "x", "good").toPandas().sort_values("doc_id", kind="stable")
+    # Hashes under a share somewhat above the bound's: else each task would send the driver as many rows.
+    share = min(1.0, (1.2 * train_rows + 200) / max(1, known.count()))
+    few = known.where("exists(x, v -> v <> 0)").where(F.xxhash64("doc_id") / 2.0**64 + 0.5 <= share)
+    sample = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("doc_id", "x", "good").toPandas().sort_values("doc_id", kind="stable")
     w, b = fit(np.array(sample.x.tolist()), sample.good.to_numpy(float)) if len(sample) else (np.zeros(3 * len(FEATURES)), 0.0)
     k = len(FEATURES)
     evidence = F.lit(float(b))
