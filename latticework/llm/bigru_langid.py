@@ -43,15 +43,15 @@ class BiGru:
         p |= {"v": make(len(langs), 2 * hidden, s=hidden**-0.5), "b": np.zeros((len(langs), 1), np.float32)}
         return cls(langs, p)
 
-    def run(self, d: str, steps: np.ndarray, trace: bool = False):
+    def run(self, d: str, steps: np.ndarray, sizes: np.ndarray, trace: bool = False):
         """States (time, h, window) of one direction; with trace also what gradients() needs.
-        steps: the windows' bytes (time, window). The logistic function is (1 + tanh(x/2)) / 2;
+        steps: the windows' bytes (time, window); beyond a window's size its state is zero. The logistic function is (1 + tanh(x/2)) / 2;
         the halves are in the weights."""
         x, u, c = (self.p[k + d] * np.float32(0.5) for k in "xuc")
         h = u.shape[1]
         x[2 * h :] *= 2
         n = steps.shape[1]
-        states, kept = np.empty((len(steps), h, n), np.float32), []
+        states, kept, least = np.empty((len(steps), h, n), np.float32), [], sizes.min(initial=len(steps))
         s, g, a, w = (np.zeros((k, n), np.float32) for k in (h, 3 * h, 3 * h, h))
         for t in range(len(steps)) if d == "f" else range(len(steps) - 1, -1, -1):
             np.take(x, steps[t], axis=1, out=g, mode="clip")
@@ -70,6 +70,8 @@ class BiGru:
             w *= gates[:h]
             w *= 0.5
             s = np.add(w, m, out=states[t])
+            if t >= least:
+                s[:, sizes <= t] = 0
         return (states, kept) if trace else states
 
     def position_scores(self, forward: np.ndarray, back: np.ndarray) -> np.ndarray:
@@ -89,7 +91,7 @@ class BiGru:
         up to its size, is labelled with the window's language."""
         h = self.p["uf"].shape[1]
         steps = np.ascontiguousarray(windows.T).astype(np.intp)
-        (hf, tf), (hb, tb) = self.run("f", steps, True), self.run("b", steps, True)
+        (hf, tf), (hb, tb) = self.run("f", steps, sizes, True), self.run("b", steps, sizes, True)
         y = self.position_scores(hf, hb)
         t, _, n = y.shape
         mask = (np.arange(t)[:, None] < sizes[None, :]) * weights[None, :]
@@ -106,6 +108,7 @@ class BiGru:
             ds, one = np.zeros((h, n), np.float32), np.zeros((n, 256), np.float32)
             for k, s, z, r, m, inner in reversed(kept):
                 ds = ds + out[k]
+                ds[:, sizes <= k] = 0
                 dm = ds * (1 - z) * (1 - m * m)
                 dz = ds * (s - m) * z * (1 - z)
                 dr = dm * inner * r * (1 - r)
@@ -152,7 +155,7 @@ class BiGru:
         for at in range(0, len(windows), AT_ONCE):
             w, s = windows[at : at + AT_ONCE], sizes[at : at + AT_ONCE]
             steps = np.ascontiguousarray(w.T).astype(np.intp)
-            y = self.position_scores(self.run("f", steps), self.run("b", steps))
+            y = self.position_scores(self.run("f", steps, s), self.run("b", steps, s))
             if (s < WINDOW).any():
                 y *= (np.arange(WINDOW)[:, None] < s[None, :])[:, None, :]
             sums[at : at + len(w)] = y.sum(axis=0).T
@@ -202,7 +205,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     out.append((lang, windows[k].tobytes(), int(sizes[k])))
             yield pd.DataFrame(out, columns=["lang", "window", "size"])
 
-    drawn = chosen.mapInPandas(some, "lang string, window binary, size int").limit(sample_docs * SAMPLE_WINDOWS)
+    drawn = chosen.mapInPandas(some, "lang string, window binary, size int").orderBy(F.xxhash64("window"), "lang", "window", "size").limit(sample_docs * SAMPLE_WINDOWS)
     found = drawn.toPandas().sort_values(["lang", "window", "size"])
     if found.empty:
         return None

@@ -49,9 +49,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels (no list of public suffixes is at hand)."""
-    return F.substring_index(host, ".", -2)
+def site_name(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(host, "^.*@|:[0-9]*$", "")
+
+
+def registered_domain(host: Column, suffixes: tuple[str, ...] = ()) -> Column:
+    """The last two labels, or three if the last two are one of the suffixes (no list of public
+    suffixes is at hand, so none is the default); an address as a whole."""
+    name = site_name(host)
+    three = F.substring_index(name, ".", -2).isin(*suffixes) if suffixes else F.lit(False)
+    return F.when(is_address(name), name).when(three, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+
+
+def is_address(name: Column) -> Column:
+    return name.rlike(r"^[0-9.]+$") | name.startswith("[")
 
 
 def strength(groups: DataFrame) -> tuple[float, float]:
@@ -68,16 +80,16 @@ def strength(groups: DataFrame) -> tuple[float, float]:
     return p, (1 - rho) / rho
 
 
-def reputation(outcomes: DataFrame, lift: float = 1.25, z: float = 1.645) -> DataFrame:
+def reputation(outcomes: DataFrame, lift: float = 1.25, z: float = 1.645, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """(host, risk_bound, blocked) from (host, bad): labelled pages by host, bad 0 or 1.
 
     A host's rate of bad pages is shrunk to its registered domain's, that to its suffix's and
     that to the overall rate, each by a beta-binomial prior whose strength is fitted by
-    moments at its level. A host is blocked if the lower posterior bound, mean less z standard
-    deviations, exceeds `lift` times the overall rate. Only counts by host are shuffled.
+    moments at its level. A host is blocked if the lower posterior bound, by the normal
+    approximation mean less z standard deviations, exceeds `lift` times the overall rate. Only counts by host are shuffled.
     """
     hosts = cut(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").alias("bad")).where("host is not null and n > 0"))
-    hosts = hosts.select("host", registered_domain(F.col("host")).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"), "n", "bad")
+    hosts = hosts.select("host", registered_domain(F.col("host"), suffixes).alias("domain"), F.when(is_address(site_name(F.col("host"))), site_name(F.col("host"))).otherwise(F.substring_index(site_name(F.col("host")), ".", -1)).alias("suffix"), "n", "bad")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     overall, by_suffix = strength(suffixes)
@@ -93,7 +105,7 @@ def reputation(outcomes: DataFrame, lift: float = 1.25, z: float = 1.645) -> Dat
     return hosts.join(at_domain, "domain").select("host", bound.alias("risk_bound"), (bound > lift * overall).alias("blocked"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, lift: float = 1.25, z: float = 1.645) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, lift: float = 1.25, z: float = 1.645, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of pages (page_id, url): (page_id, host, path, rule, verdict).
 
     labels (doc_id, quality, toxic) has outcomes of pages, doc_id being the page's id: a page
@@ -106,7 +118,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, lift: float =
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
     outcome = labels.select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("bad"))
     outcome = outcome.groupBy("page_id").agg(F.max("bad").alias("bad"))
-    known = reputation(judged.select("page_id", "host").join(outcome, "page_id").select("host", "bad"), lift, z)
+    known = reputation(judged.select("page_id", "host").join(outcome, "page_id").select("host", "bad"), lift, z, suffixes)
     fitted = rule_of(F.col("host"), F.col("path"), rules)
     return (
         judged.withColumn("fitted", fitted)
@@ -125,7 +137,7 @@ WITH u AS (
   SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad
   FROM labels GROUP BY doc_id
 ), h AS (
-  SELECT host, string_split(host, '.') AS parts, count(bad)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM u JOIN o USING (page_id) GROUP BY host HAVING count(bad) > 0
+  SELECT host, CASE WHEN regexp_matches(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '^[0-9.]+$|^\[') THEN [regexp_replace(host, '^.*@|:[0-9]*$', '', 'g')] ELSE string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') END AS parts, count(bad)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM u JOIN o USING (page_id) GROUP BY host HAVING count(bad) > 0
 ), h2 AS (
   SELECT host, array_to_string(parts[-2:], '.') AS domain, parts[-1] AS suffix, n, bad FROM h
 ), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h2 GROUP BY ALL),

@@ -114,16 +114,18 @@ def test_exact_top_k(spark):
     rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v)] + [(1000, None, 0), (1001, [None] * 8, 0), (1002, [float("nan")] * 8, 0), (0, [float(x) for x in v[0]], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     found = rows_of(vafile_topk.exact_top_k(df))
-    n = np.floor(1024 * v.astype(np.float64)).astype(np.int64)
+    ids = [*range(400), 0]  # the repeated row is a query, and a candidate, of its own
+    n = np.floor(1024 * np.concatenate((v, v[:1])).astype(np.float64)).astype(np.int64)
     want = []
-    for q in range(0, 400, 100):
-        s = n @ n[q]
-        order = sorted((i for i in range(400) if i != q), key=lambda i: (-s[i], i))[:10]
-        want += [(q, r + 1, i, int(s[i])) for r, i in enumerate(order)]
+    for q, i in enumerate(ids):
+        if i % 100 == 0:
+            s = n @ n[q]
+            order = sorted((c for c in range(401) if c != q), key=lambda c: (-s[c], ids[c]))[:10]
+            want += [(i, r + 1, ids[c], int(s[c])) for r, c in enumerate(order)]
     assert found == sorted(want, key=str)
     assert vafile_topk.exact_top_k(df.where("vec_id = 100")).count() == 0
     assert vafile_topk.exact_top_k(df.where("false")).count() == 0
-    assert vafile_topk.exact_top_k(df.where("vec_id < 4")).count() == 3
+    assert vafile_topk.exact_top_k(df.where("vec_id < 4")).count() == 8  # two queries, four other rows each
 
 
 @pytest.fixture(scope="module")
@@ -404,6 +406,84 @@ def test_quality(spark):
 
 def test_site_posteriors_shrink(spark):
     rows = [("a", "x", 1)] * 400 + [("b", "x", 0)] + [("c", "x", 0)] * 400
-    rate, hosts, paths = quality_eb.site_posteriors(spark.createDataFrame(rows, "host string, path string, good long"))
+    rate, hosts, paths = quality_eb.site_posteriors(spark.createDataFrame(rows, "host string, path string, good long"), 20.0, 20.0)
     h = {r.host: r.host_rate for r in hosts.collect()}
     assert h["a"] > 0.95 and h["c"] < 0.05 and abs(h["b"] - rate) < 0.05
+
+
+def test_site_posteriors_against_closed_form(spark):
+    """Strengths fitted by moments at each level, and beta-binomial means with them."""
+    rnd = random.Random(3)
+    rows = [(f"h{h}", f"p{p}", int(rnd.random() < q)) for h in range(12) for q in [rnd.betavariate(6, 3)] for p in range(3) for _ in range(rnd.randint(1, 40))]
+    rate, hosts, paths = quality_eb.site_posteriors(spark.createDataFrame(rows, "host string, path string, good long"))
+
+    def counted(key):
+        out = defaultdict(lambda: [0, 0])
+        for r in rows:
+            out[key(r)][0] += 1
+            out[key(r)][1] += r[2]
+        return dict(out)
+
+    def weight(groups):
+        n, bad = np.array([x[0] for x in groups.values()], float), np.array([x[0] - x[1] for x in groups.values()], float)
+        p, k = bad.sum() / n.sum(), len(n)
+        between = (n * (bad / n - p) ** 2).sum()
+        rho = (between / (p * (1 - p)) - (k - 1)) / (n.sum() - (n * n).sum() / n.sum() - (k - 1))
+        return (1 - min(0.999, max(0.001, rho))) / min(0.999, max(0.001, rho))
+
+    by_host, by_path = counted(lambda r: r[0]), counted(lambda r: r[:2])
+    assert abs(rate - (sum(r[2] for r in rows) + 1) / (len(rows) + 2)) < 1e-12
+    a, b = weight(by_host), weight(by_path)
+    want = {h: (g + a * rate) / (n + a) for h, (n, g) in by_host.items()}
+    assert all(abs(r.host_rate - want[r.host]) < 1e-9 for r in hosts.collect())
+    assert all(abs(r.path_rate - (by_path[r.host, r.path][1] + b * want[r.host]) / (by_path[r.host, r.path][0] + b)) < 1e-9 for r in paths.collect())
+
+
+def test_registered_domains(spark):
+    hosts = ["a.example.com", "example.com:8080", "u:p@example.com", "10.0.0.1", "[::1]:80", "a.b.co.uk", "", "com"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    of = lambda *s: [r[0] for r in df.select(url_reputation.registered_domain(F.col("host"), *s)).collect()]
+    assert of() == ["example.com"] * 3 + ["10.0.0.1", "[::1]", "co.uk", "", "com"]
+    assert of(("co.uk",))[5] == "b.co.uk"
+
+
+def test_top_k_of_repeated_ids_and_a_common_vector(spark):
+    rng = np.random.default_rng(6)
+    v = rng.integers(-50, 50, (300, 4)) / 16.0
+    v[20:220] = v[100]
+    ids = [*range(290), 0, 0, 100, 5, 5, 7, 300, 300, 300, 9]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in zip(ids, v)], "vec_id long, embedding array<float>").repartition(5)
+    n = np.floor(1024 * v).astype(np.int64)
+    want = []
+    for q, i in enumerate(ids):
+        if i % 100 == 0:
+            order = sorted((-int(n[q] @ n[c]), ids[c]) for c in range(300) if c != q)[:10]
+            want += [(i, r + 1, c, -s) for r, (s, c) in enumerate(order)]
+    assert rows_of(vafile_topk.exact_top_k(df)) == sorted(want, key=str)
+
+
+def test_language_of_long_texts_against_a_plain_loop():
+    """Each byte of each window, one at a time, both ways from a zero state."""
+    net = bigru_langid.BiGru.new(["a", "b", "c"], hidden=4)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    texts = [bytes(np.random.default_rng(k).integers(1, 256, n, dtype=np.uint8)) for k, n in enumerate((1, 63, 64, 65, 200, 3000))]
+
+    def states(d, window):
+        x, u, c = net.p[f"x{d}"], net.p[f"u{d}"], net.p[f"c{d}"][:, 0]
+        s, out = np.zeros(4), {}
+        for t in range(len(window)) if d == "f" else range(len(window) - 1, -1, -1):
+            i, r = x[:, window[t]], u @ s
+            z, g = sig(i[:4] + r[:4]), sig(i[4:8] + r[4:8])
+            s = z * s + (1 - z) * np.tanh(i[8:] + g * (r[8:] + c))
+            out[t] = s
+        return out
+
+    for text, found in zip(texts, net.documents(texts)):
+        total = np.zeros(3)
+        for at in range(0, len(text), bigru_langid.WINDOW):
+            window = text[at : at + bigru_langid.WINDOW]
+            f, b = states("f", window), states("b", window)
+            for t in range(len(window)):
+                y = np.exp(net.p["v"] @ np.concatenate((f[t], b[t])) + net.p["b"][:, 0])
+                total += y / y.sum()
+        assert np.abs(found - total / len(text)).max() < 1e-4
