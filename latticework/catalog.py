@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import chars, hashing, kana
 from latticework.operators import dictionary, evaluation, formats, learning, search, seeds
+from latticework.sources import dictionary as dic_source
 from latticework.sources import text as source
 
 ID = ["doc_id", "sent"]
@@ -220,7 +221,9 @@ def beam_topk(spark, sf_dir):
     return search.top_connections(e, [*ID, "r_start", "r_end"], 2).groupBy("doc_id", "rank").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {BARE}, {WORDS}, {HITS}, h AS MATERIALIZED (SELECT DISTINCT doc_id, sent, start, \"end\" FROM hits), reach(doc_id, sent, pos) AS (SELECT doc_id, sent, 0 FROM bare UNION SELECT r.doc_id, r.sent, h.\"end\" FROM reach r JOIN h ON r.doc_id = h.doc_id AND r.sent = h.sent AND r.pos = h.start) SELECT b.doc_id, b.sent, bool_or(r.pos = length(b.text)) AS connects FROM bare b JOIN reach r USING (doc_id, sent) GROUP BY ALL"
+)
 def connectable(spark, sf_dir):
     """Sentences that dictionary words alone cover, and how many don't connect."""
     u = unsegmented(spark, sf_dir)
@@ -407,6 +410,108 @@ def format_segmented(spark, sf_dir):
     return formats.segmented(gold(spark, sf_dir), ID)
 
 
+@query(
+    "SELECT p_partkey AS row_no, p_name AS surface, nullif(p_brand, 'Brand#11') AS brand, p_size AS size, array_to_string(list_sort(list_distinct(string_split(p_type, ' '))), ' ') AS kinds FROM part"
+)
+def dict_source(spark, sf_dir):
+    """Parts as lines of a dictionary, read again as typed entries; one brand stands for none."""
+    quoted = lambda c: formats.csv_quoted(F.col(c).cast("string"))
+    lines_ = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"), F.concat_ws(",", *map(quoted, ("p_name", "p_retailprice", "p_brand", "p_type", "p_size"))).alias("line"))
+    read = dic_source.entries(lines_, {"surface": (1, "string"), "brand": (3, "string"), "kinds": (4, "list"), "size": (5, "int")}, empty="Brand#11")
+    return read.select("row_no", "surface", "brand", "size", F.array_join("kinds", " ").alias("kinds"))
+
+
+@query(f"WITH {GOLD}, {OTHER} SELECT coalesce(g.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'gold' WHEN g.doc_id IS NULL THEN 'top' ELSE 'both' END AS step, count(*) AS n, sum(coalesce(g.start, o.start))::BIGINT AS total FROM gold g FULL JOIN other o ON g.doc_id = o.doc_id AND g.sent = o.sent AND g.start = o.start AND g.\"end\" = o.\"end\" GROUP BY ALL")
+def aligned_steps(spark, sf_dir):
+    return evaluation.aligned(other(spark, sf_dir), gold(spark, sf_dir), ID).groupBy("doc_id", "step").agg(F.count("*").alias("n"), F.sum("start").alias("total"))
+
+
+@query(
+    f"WITH {GOLD}, {OTHER}, e AS (SELECT doc_id, sent, start, \"end\", {KIND_SQL} AS kind, 1 AS s FROM other UNION ALL SELECT doc_id, sent, start, \"end\", {KIND_SQL}, 0 FROM gold), c AS (SELECT *, (SELECT min(x.\"end\") FROM (SELECT doc_id, sent, \"end\" FROM e GROUP BY ALL HAVING count(DISTINCT s) = 2) x WHERE x.doc_id = e.doc_id AND x.sent = e.sent AND x.\"end\" >= e.\"end\") AS run FROM e), r AS (SELECT doc_id, sent, run, count(*) FILTER (s = 1) AS system, count(*) FILTER (s = 0) AS gold, count(DISTINCT kind) AS tags, count(DISTINCT start) AS starts FROM c GROUP BY doc_id, sent, run) SELECT doc_id, CASE WHEN run IS NOT NULL AND system = 1 AND gold = 1 AND starts = 1 AND tags = 1 THEN 'EQUAL' WHEN run IS NOT NULL AND system = 1 AND gold = 1 AND starts = 1 THEN 'DIFF1' ELSE 'DIFF0' END AS kind, count(*) AS n, sum(system)::BIGINT AS system, sum(gold)::BIGINT AS gold FROM r GROUP BY ALL"
+)
+def aligned_runs(spark, sf_dir):
+    tag = lambda df: df.withColumn("kind", kind(F.col("surface"))).withColumnRenamed("kind", "tag")
+    found = evaluation.runs(tag(other(spark, sf_dir)), tag(gold(spark, sf_dir)), ID, "tag")
+    return found.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum("system").alias("system"), F.sum("gold").alias("gold"))
+
+
+@query(
+    f"WITH {GOLD}, {OTHER}, m AS (SELECT o.doc_id, o.sent, o.start, length(o.surface) AS weight FROM other o ANTI JOIN gold g ON g.doc_id = o.doc_id AND g.sent = o.sent AND g.start = o.start AND g.\"end\" = o.\"end\"), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent ORDER BY weight DESC, start) AS k FROM m) SELECT doc_id, sent, weight::INTEGER AS weight, start FROM r WHERE k = 1"
+)
+def worst_mismatch(spark, sf_dir):
+    keys = [*ID, "start", "end"]
+    wrong = other(spark, sf_dir).join(gold(spark, sf_dir).select(*keys), keys, "left_anti").withColumn("size", F.length("surface"))
+    return evaluation.worst(wrong, ID, "size")
+
+
+@query(f"WITH {HASHED} SELECT doc_id, sent, pos, (sum(idx * 40503 % 2001 - 1000) OVER (PARTITION BY doc_id, sent ORDER BY pos))::BIGINT AS total FROM hashed")
+def gold_prefix_sums(spark, sf_dir):
+    scored = _coded(spark, sf_dir).withColumn("score", F.col("idx") * 40503 % 2001 - 1000)
+    return evaluation.prefix_sums(scored, ID, "score").select(*ID, "pos", "total")
+
+
+@query(f"WITH {GOLD} SELECT doc_id, count(*) FILTER (NOT (start % 7 = 3 OR \"end\" % 7 = 3)) AS valid, count(*) AS n FROM gold GROUP BY doc_id")
+def valid_boundaries(spark, sf_dir):
+    """Words that neither begin nor end where every seventh position, from 3 on, forbids it."""
+    t = gold(spark, sf_dir)
+    no_break = F.transform(F.sequence(F.lit(0), F.floor(F.col("end") / 7).cast("int")), lambda k: k * 7 + 3)
+    ok = evaluation.valid_boundary(F.col("start"), no_break) & evaluation.valid_boundary(F.col("end"), no_break)
+    return t.groupBy("doc_id").agg(F.count_if(ok).alias("valid"), F.count("*").alias("n"))
+
+
+@query(f"WITH {GOLD}, {WORDS} SELECT doc_id, sent, bool_or(w.surface IS NULL) AS unknown FROM (SELECT doc_id, sent, lower(surface) AS surface FROM gold) g LEFT JOIN words w USING (surface) GROUP BY doc_id, sent")
+def unknown_paths(spark, sf_dir):
+    return search.has_unknown(gold(spark, sf_dir).withColumn("surface", F.lower("surface")), words(spark, sf_dir), ID)
+
+
+@query(
+    f"WITH {BARE}, {WORDS}, {HITS}, e AS (SELECT b.doc_id, b.sent, b.start, a.start AS l_start, ((a.\"end\" - a.start) * 7 + (b.\"end\" - b.start) * 5 + unicode(a.surface)) % 11 AS score FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.\"end\" = b.start), r AS (SELECT doc_id, sent, start, l_start, max(score) AS score FROM e GROUP BY ALL) SELECT doc_id, count(*) AS n, sum(score)::BIGINT AS total FROM r GROUP BY doc_id"
+)
+def beam_lefts(spark, sf_dir):
+    hits = dictionary.lookup(unsegmented(spark, sf_dir), words(spark, sf_dir), ID)
+    e = seeds.connections(hits, ID).withColumn("score", ((F.col("l_end") - F.col("l_start")) * 7 + (F.col("r_end") - F.col("r_start")) * 5 + F.ascii("l_surface")) % 11)
+    return search.best_by_left(e, [*ID, "r_start"], ["l_start"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+
+
+@query("SELECT p_partkey, length(p_name)::INTEGER AS n_name, len(string_split(p_type, ' '))::INTEGER AS n_kinds, CASE WHEN p_size >= 25 THEN length(p_name) ELSE strlen(p_type) END::INTEGER AS chosen FROM part")
+def field_lengths(spark, sf_dir):
+    """Lengths of fields, in codepoints or in items of a list, and a feature that a condition picks."""
+    n = F.char_length("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", n.alias("n_name"), F.size(F.split("p_type", " ")).alias("n_kinds"), F.when(F.col("p_size") >= 25, n).otherwise(F.octet_length("p_type")).alias("chosen"))
+
+
+@query(
+    f"WITH {GOLD}, {WORDS}, t AS (SELECT doc_id, lower(surface) AS value FROM gold), k AS (SELECT surface AS value, row_number() OVER (ORDER BY surface) AS id FROM words), u AS (SELECT value, -1 - row_number() OVER (ORDER BY count(*) DESC, value) AS id FROM t ANTI JOIN k USING (value) GROUP BY value) SELECT doc_id, value, id, count(*) AS n FROM t JOIN (SELECT * FROM k UNION ALL SELECT * FROM u) USING (value) GROUP BY ALL"
+)
+def gold_field_ids(spark, sf_dir):
+    known = dictionary.encode(words(spark, sf_dir).withColumnRenamed("surface", "value")).select("value", "id")
+    t = gold(spark, sf_dir).select("doc_id", F.lower("surface").alias("value"))
+    return dictionary.field_ids(t, known, "value").groupBy("doc_id", "value", "id").agg(F.count("*").alias("n"))
+
+
+POS_IDS = {"head": 6, "tail": 1}
+POS_SQL = f"CASE {KIND_SQL} WHEN 'head' THEN 6 WHEN 'tail' THEN 1 ELSE 0 END"
+
+
+@query(
+    f"WITH {GOLD} SELECT doc_id, sent, string_agg((CASE WHEN pos % 5 = 4 THEN '@ ' ELSE '' END) || surface || ' ' || lower(surface) || ' ' || lower(surface) || ' ' || {KIND_SQL} || ' ' || {POS_SQL} || ' * 0 * 0 ' || (CASE WHEN length(surface) > 3 THEN 'long 0 \"size:' || length(surface) || '\"' ELSE '* 0 NIL' END), chr(10) ORDER BY pos) || chr(10) || 'EOS' || chr(10) AS out FROM gold GROUP BY doc_id, sent"
+)
+def format_full(spark, sf_dir):
+    """All twelve columns, numbers looked up in a table, 0 for names that it hasn't."""
+    t = gold(spark, sf_dir).withColumns({"alias_no": F.when(F.col("pos") % 5 == 4, 1).otherwise(0), "base": F.lower("surface"), "reading": F.lower("surface"), "pos_name": kind(F.col("surface"))})
+    more = F.length("surface") > 3
+    t = t.withColumns({"subpos": F.lit(""), "conjtype": F.lit(None).cast("string"), "conjform": F.when(more, "long"), "features": F.when(more, F.concat(F.lit("size:"), F.length("surface").cast("string")))})
+    pos = spark.createDataFrame(list(POS_IDS.items()), "pos_name string, id int")
+    t = dictionary.with_ids(t, pos, "pos_name", "pos_name_id")
+    return formats.full_columns(t.withColumns({f"{c}_id": F.lit(0) for c in ("subpos", "conjtype", "conjform")}), ID)
+
+
+@query(f"WITH {GOLD} SELECT doc_id, sent, string_agg(surface || chr(9) || {KIND_SQL} || ',*,' || lower(surface), chr(10) ORDER BY pos) || chr(10) || 'EOS' || chr(10) AS out FROM gold GROUP BY doc_id, sent")
+def format_tabbed(spark, sf_dir):
+    t = gold(spark, sf_dir).withColumns({"kind": kind(F.col("surface")), "none": F.lit(""), "base": F.lower("surface")})
+    return formats.tabbed(t, ID, ["kind", "none", "base"])
+
+
 @query()
 def trained_levels(spark, sf_dir):
     """Weights are learned on at most 300 sentences; all are then segmented and held against gold."""

@@ -40,6 +40,19 @@ def match_rows(entries: DataFrame, table: DataFrame, keys: list[str], bit: str)
     return entries.join(table.select(*keys).distinct().withColumn(bit, F.lit(1)), keys, "left").fillna(0, [bit])
 
 
+def field_ids(tokens: DataFrame, known: DataFrame, field: str) -> DataFrame:
+    """tokens with `id`: that of their field in known (value, id), or, for a value it hasn't,
+    below zero, -1 - k for the k-th unknown value (from 1, the frequent ones first)."""
+    of = tokens.withColumnRenamed(field, "value")
+    unknown = encode(of.join(known.select("value"), "value", "left_anti")).select("value", (-1 - F.col("id")).alias("id"))
+    return of.join(known.select("value", "id").unionByName(unknown), "value").withColumnRenamed("value", field)
+
+
+def with_ids(rows: DataFrame, table: DataFrame, name: str, id_name: str) -> DataFrame:
+    """rows with the number that a small table (<name>, id) has for their name, 0 if it has none."""
+    return rows.join(F.broadcast(table.select(name, F.col("id").alias(id_name))), name, "left").fillna(0, [id_name])
+
+
 def prefixes(words: DataFrame, word: str = "surface") -> DataFrame:
     """(prefix, is_word): all proper and improper prefixes of the words."""
     each = words.select(F.col(word).alias("w"), F.explode(F.sequence(F.lit(1), F.length(word))).alias("n"))

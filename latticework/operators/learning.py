@@ -33,6 +33,12 @@ def loss(path: list[tuple[int, int]], gold: list[tuple[int, int]]) -> float:
     return 1 - len(set(path) & set(gold)) / max(1, len(gold))
 
 
+def annealed_beam(ratio: float, first: int, last: int) -> int:
+    """The global beam when a share `ratio` of the epochs is over: from first down to last."""
+    share = max(0.0, 1.09574 * float(np.exp(-3.04689 * ratio)) - 0.0957439)
+    return last + round((first - last) * share)
+
+
 def train(lattices: DataFrame, ids: list[str], epochs: int = 3, batch: int = 100, most: int = 1000, beam: int = 3, bits: int = BITS, least_loss: float = 1e-3) -> tuple[np.ndarray, list[float]]:
     """(weights, loss of each epoch) from lattices (<ids>, text, edges, gold), gold being the
     array<struct<start, end>> of the right path; its words are candidates in any case.

@@ -159,6 +159,18 @@ def top_connections(edges: DataFrame, node: list[str], k: int, score: str = "sco
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def best_by_left(edges: DataFrame, boundary: list[str], left: list[str], score: str = "score") -> DataFrame:
+    """Of the connections at a boundary, the best score of each left node: what the global beam
+    needs to tell lefts apart. Combined before its shuffle."""
+    return edges.groupBy(*boundary, *left).agg(F.max(score).alias(score))
+
+
+def has_unknown(tokens: DataFrame, words: DataFrame, ids: list[str]) -> DataFrame:
+    """(<ids>, unknown): whether a path has a node that is no dictionary word."""
+    marked = tokens.join(words.select("surface").distinct().withColumn("known", F.lit(True)), "surface", "left")
+    return marked.groupBy(*ids).agg(F.bool_or(F.col("known").isNull()).alias("unknown"))
+
+
 def path_nodes(paths: DataFrame, ids: list[str]) -> DataFrame:
     """Union of the nodes of the best paths: (<ids>, node, start, end, surface, ranks)."""
     joined = paths.groupBy(*ids, "start", "end", "surface").agg(F.array_join(F.array_sort(F.collect_set("rank")), ";").alias("ranks"))

@@ -10,17 +10,18 @@ from latticework.plans.analyse import analyse
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(source, id, text): the lines of text files as they arrive. The id hashes file and line."""
-    lines = spark.readStream.format("text").load(folder)
-    return lines.select(F.input_file_name().alias("source"), F.xxhash64(F.input_file_name(), "value").alias("id"), F.col("value").alias("text"))
+    """(source, text): the lines of text files as they arrive."""
+    return spark.readStream.format("text").load(folder).select(F.input_file_name().alias("source"), F.col("value").alias("text"))
 
 
 def write_analysed(lines: DataFrame, words: DataFrame, out: str, checkpoint: str, output: str = "segmented"):
     """Starts a query that writes each batch's (source, id, out) under out/batch=N. A batch that
-    is run again overwrites its own folder, so each line is written once."""
+    is run again overwrites its own folder, so each line is written once, equal ones too. The id
+    numbers lines within a batch; the batch is kept while it is analysed, so ids don't change."""
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(["source", "id"])
+        rows = batch.withColumn("id", F.monotonically_increasing_id()).persist()
         analyse(rows, words, ["source", "id"], output).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows.unpersist()
 
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
