@@ -300,11 +300,46 @@ def test_line_simhash(spark):
     rows = [(" ".join(f"{'longer' * (j % 2)}word{(i * 7 + j * j) % 50}" for j in range(n)),) for i, n in enumerate([5, 6, 9, 40, 63, 64, 127, 128, 300, 20000, 3])] + [("a b c d e",)]
     df = spark.createDataFrame(rows, "text string")
     found = {tuple(r.h): r for r in line_dedup.classes_of(df).select(F.array("h1", "h2").alias("h"), "sim", "keys").collect()}
-    rows = line_dedup.with_features(df.withColumn("words", F.split("text", " ")), "words")
-    for r in rows.select(F.transform("features", lambda w: F.xxhash64(w)).alias("hashes"), F.array(*line_dedup.identity("text")).alias("h")).collect():
-        ones = np.unpackbits(np.array(r.hashes, ">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(0)
-        assert found[tuple(r.h)].sim == int.from_bytes(np.packbits(2 * ones > len(r.hashes)).tobytes(), "big", signed=True)
-        assert all(k < 0 for k in found[tuple(r.h)].keys)
+    assert len(found) == len(rows)
+    for r in df.select("text", F.array(*line_dedup.identity("text")).alias("h")).collect():
+        words = r.text.split()
+        long = [w for w in words if len(w) >= 7]
+        some = [w for w in words if len(w) >= 4]
+        of = long if len(long) >= 6 else some if len(some) >= 3 else words
+        hashes = np.array([xxhash.xxh64_intdigest(w, seed=42) for w in of], ">u8")
+        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0)
+        mine = found[tuple(r.h)]
+        assert mine.sim == int.from_bytes(np.packbits(2 * ones > len(of)).tobytes(), "big", signed=True)
+        distinct = len(set(zip(of, of[1:]))) or 1
+        assert all(k < 0 for k in mine.keys) and len(mine.keys) >= min(6, distinct)
+
+
+def test_simhash_of_long_and_short_lines():
+    sizes = np.array([1, 254, 255, 256, 4, 1000])
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, sizes.sum(), np.uint64)
+    for sim, own in zip(line_dedup.simhashes(hashes, sizes), np.split(hashes, np.cumsum(sizes)[:-1])):
+        assert sim == sum(1 << k for k in range(64) if 2 * int(((own >> np.uint64(k)) & np.uint64(1)).sum()) > len(own))
+
+
+def test_edits_against_the_table_of_distances():
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for k, y in enumerate(b):
+                last, row[k + 1] = row[k + 1], min(row[k + 1] + 1, row[k] + 1, last + (x != y))
+        return row[-1]
+
+    rnd = random.Random(5)
+    for _ in range(600):
+        a = "".join(rnd.choice("abé語") for _ in range(rnd.randint(0, 90)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 20)):
+            at = rnd.randint(0, len(b))
+            b[at : at + rnd.randint(0, 2)] = [rnd.choice("abé語") for _ in range(rnd.randint(0, 2))]
+        b = "".join(b)
+        d = table(a, b)
+        assert line_dedup.within(a, b, d) and line_dedup.within(b, a, d + 1) and not (d and line_dedup.within(a, b, d - 1))
 
 
 def test_line_dedup(spark):
