@@ -386,6 +386,19 @@ def test_lines_linked_against_brute_force(spark):
     assert found == brute_lines(rows)
 
 
+def test_lines_compared_by_parts(spark, monkeypatch):
+    """Parts of a bucket, pairs that share two keys, and lines of one component."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    rnd = random.Random(9)
+    base = ["".join(rnd.choice("abcdef") for _ in range(30)) for _ in range(3)]
+    texts = [base[k % 3] + f"{k:03d}" for k in range(30)]
+    df = docs(spark, [(k, t, "en") for k, t in enumerate(texts)])
+    classes = line_dedup.classes_of(df).join(df.select("doc_id", *[h.alias(f"h{k + 1}") for k, h in enumerate(line_dedup.identity("text"))]), ["h1", "h2"]).drop("id").withColumnRenamed("doc_id", "id")
+    rows = classes.select(F.explode(F.array(F.lit(5).cast("long"), F.lit(7).cast("long"))).alias("key"), "id", "size", "sim", F.when(F.col("id") < 6, 0).otherwise(F.col("id")).alias("component"))
+    found = sorted((r.a, r.b) for r in line_dedup.compared(rows, classes, df, "text", 0.8).collect())
+    assert found == sorted((a, b) for a in range(30) for b in range(a) if a % 3 == b % 3 and a >= 6)
+
+
 def test_short_and_odd_lines_against_brute_force(spark):
     rnd = random.Random(8)
     pool = ["Read more", "read  more!", "All rights reserved", "ALL RIGHTS RESERVED.", "今日は天気がいいですね散歩に行きましょう", "今日は天気がいいですよ散歩に行きましょう", "---", "", " ", "x", "X", "1", "привет всем друзьям сегодня", "привет всем друзьям сегодни", "a_b", "a b", "ÀÉÎ õü", "àéî õü"]
