@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bits, as a power of two, of the filters that keep rows from being shuffled in vain: 8 MB.
 FILTER_BITS = 26
+#: Rows of a partition, about, of tables that cut_small() made, and between rounds of components().
+PART_ROWS = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_small(df: DataFrame) -> DataFrame:
+    """cut(), then read in no more partitions than its rows need: each partition that a small table
+    has costs all shuffles from it several files."""
+    df = cut(df)
+    return df.coalesce(df.count() // PART_ROWS + 1)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again; for wide tables of
     which later steps read a few columns."""
@@ -91,6 +100,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        # Else each round reads, and shuffles from, as many partitions as there may ever be.
+        now = now.coalesce(state[0] // PART_ROWS + 1)
         if state == seen:
             break
         seen = state

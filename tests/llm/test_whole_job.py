@@ -122,3 +122,34 @@ def test_replacement_against_brute_force(spark):
     assert len(set(of.values())) == len(of) == len(some) and not set(of.values()) & set(of)
     want = {i: " ".join(of.get(w, w) for w in t.split(" ")) for i, t in rows}
     assert {r.doc_id: r.text for r in pii_surrogates.surrogate_documents(df).collect()} == want
+
+
+def test_lines_compared_spanning(spark, monkeypatch):
+    """Left-out pairs change no group, strays among one another and copies of the largest component included."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    rnd = random.Random(10)
+    base = ["".join(rnd.choice("abcdef") for _ in range(30)) for _ in range(3)]
+    texts = [base[k % 3] + f"{k:03d}" for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    identities = df.select(F.col("doc_id").alias("id"), *[h.alias(f"h{k + 1}") for k, h in enumerate(line_dedup.identity("text"))])
+    classes = line_dedup.classes_of(df).drop("id").join(identities, ["h1", "h2"])
+    for known in (0, 9, 29):
+        component = F.when((F.col("id") < known) & (F.col("id") % 3 == 0), 0).otherwise(F.col("id"))
+        rows = classes.select(F.explode(F.array(F.lit(5).cast("long"), F.lit(7).cast("long"))).alias("key"), "id", "size", "sim", component.alias("component"))
+        of = {r.id: r.component for r in rows.collect()}
+        every, some = ({(r.a, r.b) for r in line_dedup.compared(rows, classes, df, "text", 0.8, spanning).collect()} for spanning in (False, True))
+        assert every == {(a, b) for a in range(30) for b in range(a) if a % 3 == b % 3 and of[a] != of[b]}
+        groups = lambda pairs: simhash_trie.forest(30, [tuple(np.array(sorted(pairs | set(of.items()))).T)]).tolist()
+        assert some <= every and groups(some) == groups(every)
+
+
+def test_counts_of_neighbours_bound_edits():
+    rnd = random.Random(6)
+    for _ in range(300):
+        a = "".join(rnd.choice("abé語 ") for _ in range(rnd.randint(1, 60)))
+        b, edits = list(a), rnd.randint(0, 12)
+        for _ in range(edits):
+            at = rnd.randint(0, len(b))
+            b[at : at + rnd.randint(0, 1)] = [rnd.choice("abé語 ")] * rnd.randint(0, 1)
+        x, y = line_dedup.bigrams([a, "".join(b)])
+        assert np.abs(x - y).sum() <= 4 * edits
