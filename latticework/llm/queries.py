@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from latticework.llm import bigru_langid, bin_completion, bpe_chunks, exact_dedup, line_dedup, pii_surrogates, quality_eb, simhash_trie, url_reputation, vafile_topk
+from latticework.llm import bigru_langid, bin_completion, bpe_chunks, exact_dedup, line_dedup, pii_surrogates, prefix_trie, quality_eb, simhash_trie, url_reputation, vafile_topk
 from latticework.llm.common import read
 
 
@@ -51,9 +51,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null roles and texts are empty, rows without conv_id are left out, an empty table has no node."""
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_best_fit_packing, op3_quality_classifier, op4_bpe_chunks, op5_exact_topk, op6_simhash_dedup, op7_language_id, op8_url_filters, op9_exact_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_best_fit_packing, op3_quality_classifier, op4_bpe_chunks, op5_exact_topk, op6_simhash_dedup, op7_language_id, op8_url_filters, op9_exact_dedup, op10_line_dedup, op11_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": vafile_topk.ORACLE_SQL, "op8_url_filters": url_reputation.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op5_exact_topk": vafile_topk.ORACLE_SQL, "op8_url_filters": url_reputation.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL}
