@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from latticework.llm import bigru_langid, bin_completion, bpe_chunks, exact_dedup, line_dedup, pii_surrogates, prefix_trie, quality_eb, simhash_trie, token_alignment, url_reputation, vafile_topk
+from latticework.llm import bigru_langid, bin_completion, bpe_chunks, dom_trees, exact_dedup, line_dedup, pii_surrogates, prefix_trie, quality_eb, simhash_trie, token_alignment, url_reputation, vafile_topk
 from latticework.llm.common import read
 
 
@@ -56,6 +56,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null html and pages without main text have an empty text, repeated rows stay, an empty table gives none."""
+    return dom_trees.main_texts(read(spark, sf_dir, "pages"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and empty texts have zeros, repeated rows count as documents of their own, an empty table gives none."""
     path = public_tokenizers.path
@@ -63,7 +68,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_best_fit_packing, op3_quality_classifier, op4_bpe_chunks, op5_exact_topk, op6_simhash_dedup, op7_language_id, op8_url_filters, op9_exact_dedup, op10_line_dedup, op11_prefix_trie, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_best_fit_packing, op3_quality_classifier, op4_bpe_chunks, op5_exact_topk, op6_simhash_dedup, op7_language_id, op8_url_filters, op9_exact_dedup, op10_line_dedup, op11_prefix_trie, op12_html_extraction, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
