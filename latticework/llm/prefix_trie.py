@@ -21,7 +21,7 @@ HOT = 1000
 #: Ids of a chunk of a node's list of ends, as a power of two.
 CHUNK_BITS = 12
 DIGEST = 16
-NODE = "chain binary, words array<int>, depth int, m long, n long, n_children long, n_leaves long, saved long"
+NODE = "h binary, up binary, chain binary, words array<int>, depth int, m long, n long, n_children long, n_leaves long, saved long"
 
 
 def rebuilt(conversations: DataFrame) -> DataFrame:
@@ -78,34 +78,36 @@ def level(rows: DataFrame, depth: int) -> DataFrame:
         F.any_value("chain").alias("chain"), F.any_value("words").alias("words"), F.lit(depth).alias("depth"), F.min("m").alias("m"), F.sum("n").alias("n"),
         F.sum("n_children").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved"),
     )
-    return found.withColumns({"n_leaves": F.greatest("n_leaves", F.lit(1)), "saved": F.col("saved") + (F.col("n") - 1) * words}).select("chain", "words", "depth", "m", "n", "n_children", "n_leaves", "saved")
+    whole = found.withColumns({"up": prefix(depth - 1) if depth else F.lit(None).cast("binary"), "n_leaves": F.greatest("n_leaves", F.lit(1)), "saved": F.col("saved") + (F.col("n") - 1) * words})
+    return whole.select(F.col("_h").alias("h"), "up", "chain", "words", "depth", "m", "n", "n_children", "n_leaves", "saved")
 
 
 def levels(rows: DataFrame, low: int) -> DataFrame:
-    """The nodes of all levels beyond `low`, from at most ROWS rows, the same way: those that
-    share their first low + 1 turns are peeled in one task, level by level."""
+    """The nodes of all levels from `low` on, from at most ROWS rows, the same way: those that
+    share their first `low` turns are peeled in one task, level by level. Chains go on with
+    the nodes of the last level alone."""
 
-    def peel(part: pd.DataFrame) -> pd.DataFrame:
+    def peel(parts):
         at: dict[int, list] = {}
-        for r in part.itertuples(index=False):
-            at.setdefault(r.depth, []).append((r.chain, r.words, r.m, r.n, r.n_children, r.n_leaves, r.saved))
-        out, depth, up = [], max(at), []
-        while depth > low:
+        for part in parts:
+            for r in part.itertuples(index=False):
+                at.setdefault(r.depth, []).append((r.chain, r.words, r.m, r.n, r.n_children, r.n_leaves, r.saved))
+        out, up = [], []
+        for depth in range(max(at, default=0), low - 1, -1):
             met: dict[bytes, list] = {}
             for chain, words, m, n, children, leaves, saved in [*up, *at.get(depth, ())]:
-                own = met.setdefault(chain[(depth - 1) * DIGEST : depth * DIGEST], [chain[: depth * DIGEST], words[:depth], m, 0, 0, 0, 0])
+                own = met.setdefault(chain[(depth - 1) * DIGEST : depth * DIGEST], [chain, words, m, 0, 0, 0, 0])
                 own[2] = min(own[2], m)
                 for k, v in enumerate((n, children, leaves, saved), 3):
                     own[k] += v
             up = []
-            for chain, words, m, n, children, leaves, saved in met.values():
-                own = (chain, words, m, n, children, max(leaves, 1), saved + (n - 1) * int(words[-1]))
-                out.append((*own[:2], depth, *own[2:]))
-                up.append((*own[:4], 1, *own[5:]))
-            depth -= 1
-        return pd.DataFrame(out, columns=["chain", "words", "depth", "m", "n", "n_children", "n_leaves", "saved"])
+            for h, (chain, words, m, n, children, leaves, saved) in met.items():
+                told = (m, n, children, max(leaves, 1), saved + (n - 1) * int(words[depth - 1]))
+                out.append((h, chain[max(depth - 2, 0) * DIGEST : (depth - 1) * DIGEST], *((chain[: depth * DIGEST], words[:depth]) if depth == low else (None, None)), depth, *told))
+                up.append((chain, words, m, n, 1, *told[3:]))
+        yield pd.DataFrame(out, columns=["h", "up", "chain", "words", "depth", "m", "n", "n_children", "n_leaves", "saved"])
 
-    return rows.groupBy(prefix(low + 1).alias("_top")).applyInPandas(peel, NODE)
+    return rows.repartition(prefix(low)).mapInPandas(peel, NODE)
 
 
 def ends_digests(members: DataFrame) -> DataFrame:
@@ -163,7 +165,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
             rows += ends_at.get(low, 0)
         some = ended.where(F.col("depth").between(low, depth))
         some = some if up is None else some.unionByName(stripped(up, depth))
-        found = levels(some, low - 1) if low < depth else level(some, depth)
+        found = levels(some, low) if low < depth else level(some, depth)
         found.write.parquet(f"{path}/round={k}")
         up = spark.read.schema(NODE).parquet(f"{path}/round={k}").where(F.col("depth") == low)
         depth, alive, k = low - 1, rows, k + 1
@@ -171,7 +173,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")
     nodes = spark.read.schema(NODE).parquet(*[f"{path}/round={i}" for i in range(k)])
     total = nodes.count()
-    named = nodes.select(prefix("depth").alias("h"), F.when(F.col("depth") > 0, prefix_above()).alias("up"), F.col("m").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("n").alias("n_convs"), "n_children", "n_leaves", F.col("saved").alias("saved_tokens"))
+    named = nodes.select("h", "up", F.col("m").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("n").alias("n_convs"), "n_children", "n_leaves", F.col("saved").alias("saved_tokens"))
     parents = named.where("n_children > 0").select(F.col("h").alias("up"), F.col("conv_id").alias("parent_conv_id"), (F.col("n_children") * HOT >= total).alias("hot"))
     hot = F.broadcast(parents.where("hot").select("up", "parent_conv_id"))  # at most HOT rows
     below = named.where("depth > 0")
@@ -181,11 +183,6 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     return whole.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(none)).alias("ends_sha256"))
 
 
-def prefix_above() -> Column:
-    """The digest of a chain but for its last turn."""
-    return F.substring("chain", F.greatest((F.col("depth") - 2) * DIGEST + 1, F.lit(1)), F.when(F.col("depth") > 1, DIGEST).otherwise(0))
-
-
 #: CRC-32 of a string of ASCII characters, bit by bit.
 _CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: unicode({0}[i])::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"
 
