@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 #: What is learned from: so many pages, of each so many characters at most, and so many layouts made of their blocks.
 SAMPLE, SAMPLE_CHARS, LAYOUTS = 200, 200_000, 700
 #: Trees, their depth and rate, steps of a number's scale, penalty on leaves, seed.
-TREES, DEPTH, RATE, STEPS, PENALTY, SEED = 48, 5, 0.25, 24, 2.0, 11
+TREES, DEPTH, RATE, STEPS, PENALTY, SEED = 64, 5, 0.25, 24, 2.0, 11
+#: A page of more nodes weighs as much as one of so many.
+ALIKE = 60
 #: Attribute tokens and tags that are features of a node, and of what it stands in.
-TOKENS = 124
+TOKENS = 184
 #: Characters of pages, about, whose nodes are scored at once.
 AT_ONCE = 1 << 22
 MARK = "\ue000"
@@ -238,7 +240,10 @@ class Trees:
         return np.concatenate(parts, axis=1)
 
     def fit(self, pages: list[Page], x: np.ndarray, y: np.ndarray) -> list[float]:
-        """Newton boosting of the logistic loss; returns the loss after each tree."""
+        """Newton boosting of the logistic loss; returns the loss after each tree. Nodes of a page
+        with more than ALIKE of them weigh less, so that no page outweighs the rest."""
+        sizes = np.array([len(p.parent) for p in pages])
+        weight = np.repeat(np.minimum(1, ALIKE / np.maximum(sizes, 1)), sizes)
         self.steps = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, STEPS + 1)[1:-1])).astype(np.float32) for k in range(x.shape[1])]
         data = self.columns(pages, x)
         n, m = len(NUMBERS), data.shape[1]
@@ -248,7 +253,7 @@ class Trees:
         self.features, self.cuts, self.values = [], [], []
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-score))
-            g, h = p - y, p * (1 - p)
+            g, h = weight * (p - y), weight * p * (1 - p)
             at = np.zeros(len(y), np.int64)
             features, cuts = [], []
             for depth in range(DEPTH):
@@ -399,7 +404,7 @@ def layout(rnd: random.Random, blocks: list[str]) -> str:
                 out.append(f"{said}<br><br>")
             else:
                 out.append(rnd.choice((f"<p><b>{said}<br>", f"<p>{said}", f"<p>{said} {link()} {text(1, 9)}</p>")))
-            if rnd.random() < 0.06:
+            if rnd.random() < 0.12:
                 out.append(rnd.choice((ad, share, side, form, notice))())
         inner = "".join(out)
         if rnd.random() < 0.3:
