@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import chars, hashing, kana
-from latticework.operators import dictionary, evaluation, formats, learning, search, seeds
+from latticework.operators import dictionary, evaluation, formats, learning, search, seeds, trie
 from latticework.sources import dictionary as dic_source
 from latticework.sources import text as source
 
@@ -156,7 +156,7 @@ def dict_prefixes(spark, sf_dir):
 
 @query(f"WITH {BARE}, {WORDS}, {HITS} SELECT doc_id, surface, count(*) AS n, min(start) AS first, sum(start)::BIGINT AS total FROM hits GROUP BY doc_id, surface")
 def prefix_lookup(spark, sf_dir):
-    hits = dictionary.lookup(unsegmented(spark, sf_dir), words(spark, sf_dir), ID)
+    hits = trie.lookup(unsegmented(spark, sf_dir), words(spark, sf_dir), ID)
     return hits.groupBy("doc_id", "surface").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.sum("start").alias("total"))
 
 
@@ -202,13 +202,13 @@ def kana_normal_forms(spark, sf_dir):
 )
 def auto_beam(spark, sf_dir):
     u = unsegmented(spark, sf_dir)
-    m = dictionary.lookup(u, words(spark, sf_dir), ID).groupBy(*ID).agg(F.max(F.col("end") - F.col("start")).alias("longest"), F.count("*").alias("n"))
+    m = trie.lookup(u, words(spark, sf_dir), ID).groupBy(*ID).agg(F.max(F.col("end") - F.col("start")).alias("longest"), F.count("*").alias("n"))
     return u.join(m, ID, "left").select(*ID, F.length("text").cast("long").alias("size"), F.coalesce("n", F.lit(0)).alias("n_hits"), F.coalesce("longest", F.lit(0)).alias("longest"), search.beam_sizes(F.length("text")).alias("beam"))
 
 
 @query(f"WITH {BARE}, {WORDS}, {HITS} SELECT a.doc_id, count(*) AS n_edges, sum(b.\"end\")::BIGINT AS total FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.\"end\" = b.start GROUP BY a.doc_id")
 def edges(spark, sf_dir):
-    hits = dictionary.lookup(unsegmented(spark, sf_dir), words(spark, sf_dir), ID)
+    hits = trie.lookup(unsegmented(spark, sf_dir), words(spark, sf_dir), ID)
     return seeds.connections(hits, ID).groupBy("doc_id").agg(F.count("*").alias("n_edges"), F.sum("r_end").alias("total"))
 
 
@@ -216,7 +216,7 @@ def edges(spark, sf_dir):
     f"WITH {BARE}, {WORDS}, {HITS}, e AS (SELECT b.doc_id, b.sent, b.start, b.\"end\", a.start AS l_start, ((a.\"end\" - a.start) * 7 + (b.\"end\" - b.start) * 5 + unicode(a.surface)) % 11 AS score FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.\"end\" = b.start), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent, start, \"end\" ORDER BY score DESC, l_start DESC) AS rank FROM e) SELECT doc_id, rank::INTEGER AS rank, count(*) AS n, sum(score)::BIGINT AS total FROM r WHERE rank <= 2 GROUP BY ALL"
 )
 def beam_topk(spark, sf_dir):
-    hits = dictionary.lookup(unsegmented(spark, sf_dir), words(spark, sf_dir), ID)
+    hits = trie.lookup(unsegmented(spark, sf_dir), words(spark, sf_dir), ID)
     e = seeds.connections(hits, ID).withColumn("score", ((F.col("l_end") - F.col("l_start")) * 7 + (F.col("r_end") - F.col("r_start")) * 5 + F.ascii("l_surface")) % 11)
     return search.top_connections(e, [*ID, "r_start", "r_end"], 2).groupBy("doc_id", "rank").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 
@@ -227,13 +227,13 @@ def beam_topk(spark, sf_dir):
 def connectable(spark, sf_dir):
     """Sentences that dictionary words alone cover, and how many don't connect."""
     u = unsegmented(spark, sf_dir)
-    made = search.lattice(u, dictionary.lookup(u, words(spark, sf_dir), ID), ID)
+    made = trie.with_edges(u, words(spark, sf_dir), ID)
     return made.select(*ID, seeds.connectable(F.length("text"), F.col("edges")).alias("connects"))
 
 
 def _lattices(spark, sf_dir):
     u = unsegmented(spark, sf_dir)
-    return search.lattice(u, dictionary.lookup(u, words(spark, sf_dir), ID), ID)
+    return trie.with_edges(u, words(spark, sf_dir), ID)
 
 
 @query()
@@ -468,7 +468,7 @@ def unknown_paths(spark, sf_dir):
     f"WITH {BARE}, {WORDS}, {HITS}, e AS (SELECT b.doc_id, b.sent, b.start, a.start AS l_start, ((a.\"end\" - a.start) * 7 + (b.\"end\" - b.start) * 5 + unicode(a.surface)) % 11 AS score FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.\"end\" = b.start), r AS (SELECT doc_id, sent, start, l_start, max(score) AS score FROM e GROUP BY ALL) SELECT doc_id, count(*) AS n, sum(score)::BIGINT AS total FROM r GROUP BY doc_id"
 )
 def beam_lefts(spark, sf_dir):
-    hits = dictionary.lookup(unsegmented(spark, sf_dir), words(spark, sf_dir), ID)
+    hits = trie.lookup(unsegmented(spark, sf_dir), words(spark, sf_dir), ID)
     e = seeds.connections(hits, ID).withColumn("score", ((F.col("l_end") - F.col("l_start")) * 7 + (F.col("r_end") - F.col("r_start")) * 5 + F.ascii("l_surface")) % 11)
     return search.best_by_left(e, [*ID, "r_start"], ["l_start"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +78,25 @@ RULES = (
 )
 
 
+def _class_table() -> np.ndarray:
+    """Class bits of each codepoint below 2^16."""
+    out = np.full(1 << 16, -1, np.int64)
+    for names, ranges in RULES:
+        for r in ranges:
+            some = out[r[0] : r[1] + 1] if isinstance(r, tuple) else out[r : r + 1]
+            some[some < 0] = _family(*names)
+    out[out < 0] = CLASSES["SYMBOL"]
+    return out
+
+
+_TABLE = _class_table()
+
+
+def classes_of(codes: np.ndarray) -> np.ndarray:
+    """Class bits of codepoints, for whole batches."""
+    return np.where(codes < 1 << 16, _TABLE[np.where(codes < 1 << 16, codes, 0)], CLASSES["SYMBOL"])
+
+
 def class_sql(code: str) -> str:
     """SQL for the class bits of the codepoint `code`; both Spark and DuckDB run it."""
     cases = []

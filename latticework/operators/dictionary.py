@@ -59,21 +59,6 @@ def prefixes(words: DataFrame, word: str = "surface") -> DataFrame:
     return each.groupBy(F.substring("w", F.lit(1), F.col("n")).alias("prefix")).agg(F.max((F.length("w") == F.col("n")).cast("int")).alias("is_word"))
 
 
-def lookup(sentences: DataFrame, words: DataFrame, ids: list[str], text: str = "text", word: str = "surface") -> DataFrame:
-    """(<ids>, start, end, surface) of every dictionary word at every start.
-
-    Starts meet words on the word's first three characters (or all, if it has fewer), and
-    then the rest is compared: a row for each start and key length, not for each length."""
-    key = 3
-    dic = words.select(F.col(word).alias("surface"), F.substring(word, 1, key).alias("k")).where("surface <> ''").distinct()
-    longest = dic.agg(F.max(F.length("surface"))).first()[0] or 1
-    at = windows(sentences, ids, longest, text)
-    widths = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(key)), lambda n: F.substring("ahead", F.lit(1), n)))
-    keyed = at.select(*ids, "start", "ahead", F.explode(widths).alias("k"))
-    hits = keyed.join(dic, "k").where(F.startswith("ahead", F.col("surface")))
-    return hits.select(*ids, "start", (F.col("start") + F.length("surface")).alias("end"), "surface")
-
-
 def windows(sentences: DataFrame, ids: list[str], width: int, text: str = "text", where=None) -> DataFrame:
     """(<ids>, start, ahead): for each character, or those for which where(ch) holds, the
     `width` characters from it on. Rows carry that much text, never the whole sentence."""

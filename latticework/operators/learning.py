@@ -13,21 +13,36 @@ from pyspark.sql import functions as F
 
 from latticework.functions.hashing import BOS_PATTERN, PREFIXES, mix_one
 from latticework.operators.evaluation import ConfidenceWeighted
-from latticework.operators.search import beam_paths, node_code
+from latticework.operators.search import Lattices, beam_search, node_codes
+from latticework.operators.trie import codes_of
 
 BITS = 16
 
 
-def features(text: str, path: list[tuple[int, int]], bits: int = BITS) -> Counter:
-    """How often each masked feature occurs on a path, the end of the sentence included."""
+def features(codes: list[int], bits: int = BITS) -> Counter:
+    """How often each masked feature occurs on a path of nodes, the end of the sentence included."""
     mask, t1, t2, out = (1 << bits) - 1, BOS_PATTERN, BOS_PATTERN, Counter()
-    for code in [*(node_code(text[a:b]) for a, b in path), 0]:
+    for code in [*codes, 0]:
         uni, bi, tri = (mix_one(p, code) for p in PREFIXES)
         out.update((uni & mask, mix_one(bi, t1) & mask, mix_one(mix_one(tri, t1), t2) & mask))
         t1, t2 = code, t1
     return out
 
 
+def best_of(texts: list[str], edges: list[list[tuple[int, int]]], weights, beam: int, bits: int) -> tuple[Lattices, list[list[tuple[int, int]]]]:
+    """Sentences as lattices, and each one's best path."""
+    begins, codes = codes_of(texts)
+    found = sorted({(row, *e) for row, of in enumerate(edges) for e in of})
+    row, start, end = np.array(found, np.int64).reshape(-1, 3).T
+    x = Lattices(0, begins, codes, row, start, end)
+    made, paths = beam_search(x, weights, beam, 1, bits=bits), [[] for _ in texts]
+    for rows, _, nodes, _ in made.paths(1):
+        for r, k in zip(rows.tolist(), nodes.tolist()):
+            if made.source[k] != -2:
+                paths[r].append((int(made.start[k]), int(made.end[k])))
+    return x, [p[::-1] for p in paths]
+
+
 def loss(path: list[tuple[int, int]], gold: list[tuple[int, int]]) -> float:
     """The share of gold words that the path hasn't."""
     return 1 - len(set(path) & set(gold)) / max(1, len(gold))
@@ -57,15 +72,15 @@ def train(lattices: DataFrame, ids: list[str], epochs: int = 3, batch: int = 100
 
             def decode(parts, weights=weights):
                 for part in parts:
-                    out = []
-                    for r in part.itertuples(index=False):
-                        gold = [(x["start"], x["end"]) for x in r.gold]
-                        edges = [*r.edges, *({"start": a, "end": b} for a, b in gold)]
-                        path = beam_paths(r.text, edges, lambda i: weights.value[i], beam, 1, bits=bits)[0][1]
-                        diff = features(r.text, gold, bits)
-                        diff.subtract(features(r.text, path, bits))
+                    out, golds = [], [[(e["start"], e["end"]) for e in of] for of in part.gold]
+                    edges = [[*((e["start"], e["end"]) for e in of), *gold] for of, gold in zip(part.edges, golds)]
+                    x, paths = best_of(list(part.text), edges, lambda i: weights.value[i], beam, bits)
+                    coded = lambda k, path: node_codes(x, np.full(len(path), k), *np.array(path, np.int64).reshape(-1, 2).T).tolist()  # noqa: B023, E731
+                    for k, (at, gold, path) in enumerate(zip(part["at"], golds, paths)):
+                        diff = features(coded(k, gold), bits)
+                        diff.subtract(features(coded(k, path), bits))
                         kept = sorted(f for f, n in diff.items() if n)
-                        out.append((r.at, loss(path, gold), kept, [float(diff[f]) for f in kept]))
+                        out.append((at, loss(path, gold), kept, [float(diff[f]) for f in kept]))
                     yield pd.DataFrame(out, columns=["at", "loss", "features", "diff"])
 
             rows = sample.iloc[order[k : k + batch]].assign(at=np.arange(k, min(k + batch, len(order)))).drop(columns="_at")

@@ -1,27 +1,26 @@
-"""Lattices and their best paths. Edges come from joins; the search itself goes from left to
-right within a sentence and runs on arrays inside tasks."""
+"""Best paths through lattices. The search goes from left to right, all sentences of a batch at
+once: at each boundary their connections are scored, ranked and cut as arrays."""
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.functions.hashing import BOS_PATTERN, PREFIXES, mix_one
+from latticework.functions.hashing import BOS_PATTERN, PREFIXES, mix
+from latticework.operators.trie import schema_of, texts_of
 
 WORD_COST, OTHER_COST = 1, 10
 BEAM, GLOBAL_BEAM, RIGHT_CHECK, RIGHT_BEAM = 5, 6, 1, 5
 WEIGHT_BITS = 20
 
 
-def lattice(sentences: DataFrame, hits: DataFrame, ids: list[str]) -> DataFrame:
-    """(<ids>, text, edges array<struct<start, end>>): each sentence with its dictionary words,
-    by start and end. A sentence without any has an empty list."""
-    listed = hits.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("edges"))
-    return sentences.join(listed, ids, "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<start:int,end:int>>")))
+#: The type of a lattice's column of edges.
+EDGES = "array<struct<start:int,end:int>>"
 
 
 def dealt(lattices: DataFrame, ids: list[str]) -> DataFrame:
@@ -30,41 +29,103 @@ def dealt(lattices: DataFrame, ids: list[str]) -> DataFrame:
     return lattices.repartition(int(lattices.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids)
 
 
-def cheapest(n: int, edges, word: int = WORD_COST, other: int = OTHER_COST) -> list[tuple[int, int, bool]]:
-    """The path of least cost from 0 to n over words and, at every character, one for any other
-    sign; of equal costs the one with the longest last words. (start, end, is a word)."""
-    cost, back = np.full(n + 1, 1 << 60, np.int64), [(-1, False)] * (n + 1)
-    cost[0] = 0
-    by_start: dict[int, list[int]] = {}
-    for e in edges:
-        by_start.setdefault(int(e["start"]), []).append(int(e["end"]))
-    for s in range(n):
-        for end, c, known in [(s + 1, other, False), *((e, word, True) for e in by_start.get(s, ()))]:
-            if cost[s] + c < cost[end]:
-                cost[end], back[end] = cost[s] + c, (s, known)
-    path, at = [], n
-    while at:
-        s, known = back[at]
-        path.append((s, at, known))
+@dataclass
+class Lattices:
+    """Sentences of a batch as arrays. low: the first one's row in the batch; begins and codes:
+    their characters; row, start, end: candidates, by row, start and end; more: what else a
+    candidate has."""
+
+    low: int
+    begins: np.ndarray
+    codes: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    more: dict[str, np.ndarray] = field(default_factory=dict)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.begins) - 1
+
+
+def read(batch: pa.RecordBatch, fields: tuple[str, ...] = ()) -> Iterator[Lattices]:
+    """The lattices of a batch (text, edges array<struct<start, end, <fields>>>), stretch by stretch."""
+    edges = batch.column(batch.schema.get_field_index("edges"))
+    offsets, items = edges.offsets.to_numpy(), edges.values
+    column = lambda name: items.field(items.type.get_field_index(name)).to_numpy(zero_copy_only=False)
+    all_of = {name: column(name) for name in ("start", "end", *fields)}
+    for low, begins, codes in texts_of(batch, "text"):
+        n = len(begins) - 1
+        a, z = offsets[low], offsets[low + n]
+        row = np.repeat(np.arange(n), np.diff(offsets[low : low + n + 1]))
+        of = {k: v[a:z] for k, v in all_of.items()}
+        order = np.lexsort((of["end"], of["start"], row))
+        start, end = (of[k][order].astype(np.int64) for k in ("start", "end"))
+        yield Lattices(low, begins, codes, row[order], start, end, {k: of[k][order] for k in fields})
+
+
+def cheapest(x: Lattices, word: int = WORD_COST, other: int = OTHER_COST) -> tuple[np.ndarray, ...]:
+    """(row, start, end, is a word) of each sentence's path of least cost over words and, at every
+    character, one for any other sign; of equal costs the one with the longest last words."""
+    sizes, base = x.sizes, x.begins[:-1]
+    cost = np.full(len(x.codes), 1 << 60, np.int64)
+    back, known = np.zeros(len(x.codes), np.int64), np.zeros(len(x.codes), bool)
+    cost[base] = 0
+    by_start = np.argsort(x.start, kind="stable")
+    longest = int(sizes.max(initial=0))
+    cuts = np.searchsorted(x.start[by_start], np.arange(longest + 1))
+    of, to = base[x.row[by_start]], base[x.row[by_start]] + x.end[by_start]
+    falling = np.argsort(-sizes, kind="stable")
+    going = np.searchsorted(-sizes[falling], -np.arange(longest), side="left")
+    for s in range(longest):
+        at = base[falling[: going[s]]] + s
+        for here, there, price, is_word in ((at, at + 1, other, False), (of[cuts[s] : cuts[s + 1]] + s, to[cuts[s] : cuts[s + 1]], word, True)):
+            price = cost[here] + price
+            better = price < cost[there]
+            cost[there[better]], back[there[better]], known[there[better]] = price[better], s, is_word
+    row, at, out = np.arange(len(sizes)), sizes.copy(), []
+    while True:
+        row, at = row[at > 0], at[at > 0]
+        if not len(row):
+            break
+        s = back[base[row] + at]
+        out.append((row, s, at, known[base[row] + at]))
         at = s
-    return path[::-1]
+    found = [np.concatenate(k) for k in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+    order = np.lexsort((found[1], found[0]))
+    return tuple(k[order] for k in found)
+
+
+def places(*keys: np.ndarray) -> np.ndarray:
+    """The place of each row among those that have the same keys, which are neighbours."""
+    n = len(keys[0])
+    fresh = np.ones(n, bool)
+    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) if n else np.zeros(0, np.int64)
+
+
+def taken(batch: pa.RecordBatch, ids: list[str], rows: np.ndarray) -> list[pa.Array]:
+    return [batch.column(batch.schema.get_field_index(c)).take(pa.array(rows)) for c in ids]
+
+
+def surfaces(x: Lattices, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Stretches of the sentences as strings."""
+    texts = x.codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    at = x.begins[row]
+    return pa.array([texts[a:z] for a, z in zip((at + start).tolist(), (at + end).tolist())], pa.string())
 
 
 def segment(lattices: DataFrame, ids: list[str], word: int = WORD_COST, other: int = OTHER_COST) -> DataFrame:
     """(<ids>, pos, start, end, surface, kind) of each sentence's cheapest path."""
-    kinds = [lattices.schema[c].dataType.simpleString() for c in ids]
 
-    def search(parts):
-        for part in parts:
-            out = []
-            for row in part.itertuples(index=False):
-                text = row.text
-                for k, (s, e, known) in enumerate(cheapest(len(text), row.edges, word, other)):
-                    out.append((*[getattr(row, c) for c in ids], k, s, e, text[s:e], "dic" if known else "unk"))
-            yield pd.DataFrame(out, columns=[*ids, "pos", "start", "end", "surface", "kind"])
+    def search(batches):
+        for batch in batches:
+            for x in read(batch):
+                row, start, end, known = cheapest(x, word, other)
+                columns = [*taken(batch, ids, row + x.low), pa.array(places(row).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), surfaces(x, row, start, end), pa.array(np.where(known, "dic", "unk"))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*ids, "pos", "start", "end", "surface", "kind"])
 
-    schema = ", ".join(f"{c} {k}" for c, k in zip(ids, kinds)) + ", pos int, start int, end int, surface string, kind string"
-    return dealt(lattices.select(*ids, "text", "edges"), ids).mapInPandas(search, schema)
+    return lattices.select(*ids, "text", "edges").mapInArrow(search, f"{schema_of(lattices, ids)}, pos int, start int, end int, surface string, kind string")
 
 
 def synthetic_weight(index: np.ndarray) -> np.ndarray:
@@ -72,80 +133,151 @@ def synthetic_weight(index: np.ndarray) -> np.ndarray:
     return (index.astype(np.int64) * 40503 % 2001) - 1000
 
 
-def node_code(surface: str) -> int:
-    return (len(surface) * 65599 + sum(ord(c) * (i + 1) for i, c in enumerate(surface))) & 0x7FFFFFFF
-
-
-def beam_paths(text: str, edges, weights, beam: int = BEAM, keep: int = 1, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, bits: int = WEIGHT_BITS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """The `keep` best paths [(score, [(start, end)])] under unigram, bigram and trigram weights.
-
-    Each node keeps its `beam` best connections, by score, then left node, then their place.
-    With global_beam only so many of all connections that end at a boundary go on; with
-    right_check right nodes are scored against that many of them first, and only the best
-    right_beam against all."""
-    n, mask = len(text), (1 << bits) - 1
-    nodes: list[tuple[int, int, int]] = [(0, 0, BOS_PATTERN)]
-    ends: dict[int, list[int]] = {0: [0]}
-    starting: dict[int, list[int]] = {}
-    for e in [*({"start": s, "end": s + 1} for s in range(n)), *edges]:
-        s, t = int(e["start"]), int(e["end"])
-        starting.setdefault(s, []).append(t)
-    kept: dict[int, list[tuple[int, int, int, int]]] = {0: [(0, -1, -1, BOS_PATTERN)]}  # score, left node, its place, t2
-
-    def scores(codes: list[int], lefts: list[tuple[int, int, int, int, int]]) -> list[list[int]]:
-        """A row for each right node, a column for each left connection. What features share,
-        their order's prefix and t0, is hashed once."""
-        found = []
-        for c in codes:
-            uni, bi, tri = (mix_one(p, c) for p in PREFIXES)
-            found += [(uni & mask, mix_one(bi, x[3]) & mask, mix_one(mix_one(tri, x[3]), x[4]) & mask) for x in lefts]
-        sums = weights(np.array(found)).sum(axis=1).reshape(len(codes), len(lefts))
-        return (sums + np.array([x[0] for x in lefts])).tolist()
-
-    for s in range(n + 1):
-        lefts = [(sc, node, k, nodes[node][2], t2) for node in ends.get(s, ()) for k, (sc, _, _, t2) in enumerate(kept[node])]
-        if not lefts:
-            continue
+def node_codes(x: Lattices, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each stretch's characters: their count, and their sum weighted by place."""
+    places_ = np.arange(len(x.codes)) - np.repeat(x.begins[:-1], np.diff(x.begins))
+    sums, weighed = (np.concatenate(([0], np.cumsum(v))) for v in (x.codes, x.codes * places_))
+    a, z = x.begins[row] + start, x.begins[row] + end
+    return ((end - start) * 65599 + weighed[z] - weighed[a] - (start - 1) * (sums[z] - sums[a])) & 0x7FFFFFFF
+
+
+@dataclass
+class Beams:
+    """What a search leaves. Nodes, BOS and EOS among them, by row, start and end; each one's kept
+    connections, the best first: score, left node, the left's own connection, and its rank in
+    the global beam at its boundary; how many there are."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    code: np.ndarray
+    source: np.ndarray
+    score: np.ndarray
+    left: np.ndarray
+    place: np.ndarray
+    rank: np.ndarray
+    kept: np.ndarray
+
+    def paths(self, keep: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Back from the ends: (sentence's row, rank from 1, node, connection) of each best path's nodes."""
+        ends = np.nonzero(self.source == -2)[0]
+        rank = np.repeat(np.arange(keep)[None, :], len(ends), axis=0)
+        node, place = np.repeat(ends, keep), rank.ravel()
+        some = place < np.minimum(self.kept[node], keep)
+        node, place, rank = node[some], place[some], rank.ravel()[some] + 1
+        while len(node):
+            yield self.row[node], rank, node, place
+            node, place = self.left[node, place], self.place[node, place]
+            some = self.source[node] != -1
+            node, place, rank = node[some], place[some], rank[some]
+
+
+def beam_search(x: Lattices, weights, beam: int = BEAM, keep: int = 1, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, bits: int = WEIGHT_BITS, bonus: np.ndarray | None = None, singles: bool = True) -> Beams:
+    """The best paths under unigram, bigram and trigram weights.
+
+    Each node keeps its `beam` best connections (`keep`, if that is more), by score, then left
+    node, then their place. With global_beam only so many of all connections that end at a
+    boundary go on; with right_check right nodes are scored against that many of them first,
+    and only the best right_beam against all. bonus is added for each candidate of x; singles:
+    every character is a candidate too."""
+    n, many = len(x.begins) - 1, max(beam, keep)
+    rows = np.arange(n)
+    row, start, end, source = [x.row, rows, rows], [x.start, np.full(n, -1), x.sizes], [x.end, np.zeros(n, np.int64), x.sizes + 1], [np.arange(len(x.row)), np.full(n, -1), np.full(n, -2)]
+    if singles:
+        own = np.repeat(rows, x.sizes)
+        at = np.arange(len(own)) - np.repeat(x.sizes.cumsum() - x.sizes, x.sizes)
+        row, start, end, source = [*row, own], [*start, at], [*end, at + 1], [*source, np.full(len(own), -3)]
+    row, start, end, source = (np.concatenate(k).astype(np.int64) for k in (row, start, end, source))
+    order = np.lexsort((-source, end, start, row))
+    row, start, end, source = (k[order] for k in (row, start, end, source))
+    if singles:  # a word of one character stands for the character
+        fresh = (places(row, start, end) == 0) | (source >= 0)
+        fresh &= ~((source == -3) & np.concatenate(((row[1:] == row[:-1]) & (start[1:] == start[:-1]) & (end[1:] == end[:-1]), [False])))
+        row, start, end, source = (k[fresh] for k in (row, start, end, source))
+    code = node_codes(x, row, np.maximum(start, 0), np.where(source < 0, np.where(source == -3, end, np.maximum(start, 0)), end))
+    code[source == -1], code[source == -2] = BOS_PATTERN, 0
+    mask = np.uint64((1 << bits) - 1)
+    states = [mix(np.uint64(p), code) for p in PREFIXES]
+    own_score = weights((states[0] & mask).astype(np.int64))
+    kind = own_score.dtype
+    extra = np.zeros(len(row), kind)
+    if bonus is not None:
+        extra[source >= 0] = bonus[source[source >= 0]]
+    made = Beams(row, start, end, code, source, *(np.zeros((len(row), many), k) for k in (kind, np.int64, np.int64, np.int64)), np.zeros(len(row), np.int64))
+    first = np.nonzero(source == -1)[0]
+    made.kept[first], made.left[first, 0] = 1, first
+    longest = int(x.sizes.max(initial=0))
+    by_start, by_end = np.argsort(start, kind="stable"), np.argsort(end, kind="stable")
+    starting, ending = (np.searchsorted(of, np.arange(longest + 2)) for of in (start[by_start], end[by_end]))
+    for s in range(longest + 1 if n else 0):
+        nodes = by_end[ending[s] : ending[s + 1]]
+        nodes = nodes[source[nodes] != -2]
+        rights = by_start[starting[s] : starting[s + 1]]
+        times = made.kept[nodes]
+        left = np.repeat(nodes, times)
+        place = np.arange(len(left)) - np.repeat(times.cumsum() - times, times)
+        of, total = row[left], made.score[left, place]
         if global_beam:
-            lefts = heapq.nlargest(global_beam, lefts, key=lambda x: (x[0], x[1], -x[2]))
-        rights = sorted(set(starting.get(s, ()))) if s < n else [n]
-        codes = [node_code(text[s:t]) if s < n else 0 for t in rights]
-        table, full = scores(codes, lefts), set(range(len(rights)))
-        if right_check and right_beam and len(rights) > right_beam:
-            full = set(heapq.nlargest(right_beam, full, key=lambda i: (max(table[i][:right_check]), i)))
-        for i, (t, code) in enumerate(zip(rights, codes)):
-            some = lefts if i in full else lefts[: max(1, right_check)]
-            best = heapq.nlargest(max(beam, keep), [(sc, x[1], -x[2], x[3]) for sc, x in zip(table[i], some)])
-            nodes.append((s, t, code))
-            kept[len(nodes) - 1] = [(sc, left, -k, t1) for sc, left, k, t1 in best]
-            ends.setdefault(t if s < n else n + 1, []).append(len(nodes) - 1)
-    out = []
-    last = ends[n + 1][-1] if n + 1 in ends else 0
-    for k in range(min(keep, len(kept[last]))):
-        score, node, at = kept[last][k][0], last, k
-        path = []
-        while node > 0:
-            _, left, place, _ = kept[node][at]
-            path.append(nodes[node][:2])
-            node, at = left, place
-        out.append((int(score), [p for p in path[::-1] if p[0] < p[1]]))
-    return out
-
-
-def n_best(lattices: DataFrame, ids: list[str], keep: int = 3, beam: int = BEAM, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, weights=synthetic_weight, bits: int = WEIGHT_BITS) -> DataFrame:
-    """(<ids>, rank, score, pos, start, end, surface) of each sentence's best paths."""
-    kinds = [lattices.schema[c].dataType.simpleString() for c in ids]
-
-    def search(parts):
-        for part in parts:
-            out = []
-            for row in part.itertuples(index=False):
-                for r, (score, path) in enumerate(beam_paths(row.text, row.edges, weights, beam, keep, global_beam, right_check, right_beam, bits)):
-                    out += [(*[getattr(row, c) for c in ids], r + 1, score, k, s, e, row.text[s:e]) for k, (s, e) in enumerate(path)]
-            yield pd.DataFrame(out, columns=[*ids, "rank", "score", "pos", "start", "end", "surface"])
-
-    schema = ", ".join(f"{c} {k}" for c, k in zip(ids, kinds)) + ", rank int, score long, pos int, start int, end int, surface string"
-    return dealt(lattices.select(*ids, "text", "edges"), ids).mapInPandas(search, schema)
+            order = np.lexsort((place, -left, -total, of))
+            left, place, of, total = left[order], place[order], of[order], total[order]
+            at = places(of)
+            made.rank[left, place] = at + 1
+            some = at < global_beam
+            left, place, of, total = left[some], place[some], of[some], total[some]
+        low, high = np.searchsorted(of, row[rights]), np.searchsorted(of, row[rights], side="right")
+        width = high - low
+        right = np.repeat(np.arange(len(rights)), width)
+        within = np.arange(len(right)) - np.repeat(width.cumsum() - width, width)
+        via, to = low[right] + within, rights[right]
+        t1 = code[left]
+        t2 = code[made.left[left, place]]
+        two = weights((mix(states[1][to], t1[via]) & mask).astype(np.int64))
+        three = weights((mix(mix(states[2][to], t1[via]), t2[via]) & mask).astype(np.int64))
+        score = (own_score[to] + two + three) + total[via] + extra[to]
+        if right_check and right_beam:
+            beside = np.bincount(row[rights], minlength=n)[row[rights]]
+            tried = np.full(len(rights), np.iinfo(kind).min if kind.kind == "i" else -np.inf, kind)
+            early = within < right_check
+            np.maximum.at(tried, right[early], score[early])
+            order = np.lexsort((-np.arange(len(rights)), -tried, row[rights]))
+            standing = np.empty(len(rights), np.int64)
+            standing[order] = places(row[rights][order])
+            some = (beside <= right_beam)[right] | (standing < right_beam)[right] | (within < max(1, right_check))
+            right, via, to, score = right[some], via[some], to[some], score[some]
+        order = np.lexsort((place[via], -left[via], -score, right))
+        right, via, to, score = right[order], via[order], to[order], score[order]
+        at = places(right)
+        some = at < many
+        at, via, to = at[some], via[some], to[some]
+        made.score[to, at], made.left[to, at], made.place[to, at] = score[some], left[via], place[via]
+        made.kept[rights] = np.minimum(np.bincount(right, minlength=len(rights)), many)
+    return made
+
+
+def n_best(lattices: DataFrame, ids: list[str], keep: int = 3, beam: int = BEAM, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, weights=synthetic_weight, bits: int = WEIGHT_BITS, bonus: str | None = None) -> DataFrame:
+    """(<ids>, rank, score, pos, start, end, surface) of each sentence's best paths. bonus names a
+    field of edges that is added to the score of what leads to them."""
+    fields = (bonus,) if bonus else ()
+
+    def search(batches):
+        for batch in batches:
+            for x in read(batch, fields):
+                made = beam_search(x, weights, beam, keep, global_beam, right_check, right_beam, bits, x.more[bonus] if bonus else None)
+                parts = list(made.paths(keep))
+                if not parts:
+                    continue
+                row, rank, node, place = (np.concatenate(k) for k in zip(*parts))
+                last = made.source[node] == -2
+                whole = np.zeros((len(x.begins), keep + 1), made.score.dtype)
+                whole[row[last], rank[last]] = made.score[node[last], place[last]]
+                row, rank, node = row[~last], rank[~last], node[~last]
+                order = np.lexsort((made.start[node], rank, row))
+                row, rank, node = row[order], rank[order], node[order]
+                columns = [*taken(batch, ids, row + x.low), rank.astype(np.int32), np.trunc(whole[row, rank]).astype(np.int64), places(row, rank).astype(np.int32), made.start[node].astype(np.int32), made.end[node].astype(np.int32), surfaces(x, row, made.start[node], made.end[node])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=[*ids, "rank", "score", "pos", "start", "end", "surface"])
+
+    edges = lattices.select(*ids, "text", "edges")
+    return dealt(edges, ids).mapInArrow(search, f"{schema_of(lattices, ids)}, rank int, score long, pos int, start int, end int, surface string")
 
 
 def beam_sizes(length: Column, base: int = BEAM, step: int = 20, most: int = 15) -> Column:

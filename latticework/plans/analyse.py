@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators import dictionary, formats, search
+from latticework.operators import formats, search, trie
 
 #: Output formats by name: (tokens, ids) -> (<ids>, out).
 FORMATS = {
@@ -22,7 +22,7 @@ def analyse(sentences: DataFrame, words: DataFrame, ids: list[str], output: str
     with most_bytes one that is longer, gets the error output instead; an empty one none."""
     fits = F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes if most_bytes else F.lit(True))
     good = sentences.where(fits)
-    tokens = search.segment(search.lattice(good, dictionary.lookup(good, words, ids), ids), ids)
+    tokens = search.segment(trie.with_edges(good, words, ids), ids)
     bad = sentences.where(~fits).select(*ids, F.lit(ERROR).alias("out"))
     return FORMATS[output](tokens, ids).unionByName(bad)
 

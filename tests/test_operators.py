@@ -4,12 +4,13 @@ import itertools
 import random
 
 import numpy as np
+import plain_search
 import pytest
 from pyspark.sql import functions as F
 
 from latticework import catalog
 from latticework.functions import chars, hashing, kana
-from latticework.operators import dictionary, evaluation, formats, search, seeds
+from latticework.operators import dictionary, evaluation, formats, search, seeds, trie
 from latticework.sources import text as source
 
 ID = ["id"]
@@ -67,16 +68,16 @@ def test_char_lattice(spark, text, normal):
 
 def test_char_lattice_alternatives(spark):
     row = kana.with_char_lattice(spark.createDataFrame([("てめー",)], "t string"), "t").first().lattice
-    assert [(a.alt, a.flag) for a in row[2].alts] == [("い", kana.REPLACE | kana.PROLONG), ("え", kana.REPLACE | kana.PROLONG | kana.E_ROW)] and row[2].drop == kana.DELETE | kana.PROLONG
+    assert [(a.alt, a.flag) for a in row[2].alts] == [("い", kana.REPLACE | kana.REPLACE_PROLONG), ("え", kana.REPLACE | kana.REPLACE_PROLONG | kana.E_ROW)] and row[2].drop == kana.DELETE | kana.DELETE_PROLONG
 
 
 def test_lookup_against_brute_force(spark):
     rnd = random.Random(1)
     dic = {"".join(rnd.choice("abé") for _ in range(rnd.randint(1, 6))) for _ in range(30)}
     texts = ["".join(rnd.choice("abéc") for _ in range(40)) for _ in range(5)] + ["", "a"]
-    found = {(r.id, r.start, r.end, r.surface) for r in dictionary.lookup(sentences(spark, *texts), words(spark, *dic), ID).collect()}
+    found = {(r.id, r.start, r.end, r.surface) for r in trie.lookup(sentences(spark, *texts), words(spark, *dic), ID).collect()}
     assert found == {(i, s, s + len(w), w) for i, t in enumerate(texts) for w in dic for s in range(len(t)) if t.startswith(w, s)}
-    assert dictionary.lookup(sentences(spark, "abc"), words(spark, "x").where("false"), ID).count() == 0
+    assert trie.lookup(sentences(spark, "abc"), words(spark, "x").where("false"), ID).count() == 0
 
 
 def test_encode_orders_by_count_then_value(spark):
@@ -97,7 +98,7 @@ def test_segment_against_all_paths(spark):
             for cut in itertools.combinations(range(1, 9), k)
             if all((a, b) in known or b == a + 1 for a, b in itertools.pairwise((0, *cut, 9)))
         )
-        path = search.cheapest(9, edges)
+        path = plain_search.cheapest(9, edges)
         assert [p[0] for p in path] == [0, *[p[1] for p in path[:-1]]] and path[-1][1] == 9
         assert sum(1 if p[2] else 10 for p in path) == best
 
@@ -110,7 +111,7 @@ def test_beam_finds_the_best_path_when_wide(spark):
         known = {(e["start"], e["end"]) for e in edges} | {(s, s + 1) for s in range(6)}
 
         def score(path):
-            codes = [search.node_code(text[a:b]) for a, b in path] + [0]
+            codes = [plain_search.node_code(text[a:b]) for a, b in path] + [0]
             t1 = t2 = hashing.BOS_PATTERN
             total = 0
             for c in codes:
@@ -121,9 +122,9 @@ def test_beam_finds_the_best_path_when_wide(spark):
 
         paths = [list(itertools.pairwise((0, *cut, 6))) for k in range(6) for cut in itertools.combinations(range(1, 6), k)]
         paths = [p for p in paths if all(x in known for x in p)]
-        got = search.beam_paths(text, edges, search.synthetic_weight, beam=1000)
+        got = plain_search.beam_paths(text, edges, search.synthetic_weight, beam=1000)
         assert got[0][0] == max(map(score, paths)) == score(got[0][1])
-        narrow = search.beam_paths(text, edges, search.synthetic_weight, beam=2, keep=2, global_beam=3, right_check=1, right_beam=1)
+        narrow = plain_search.beam_paths(text, edges, search.synthetic_weight, beam=2, keep=2, global_beam=3, right_check=1, right_beam=1)
         assert all(score(p) == s for s, p in narrow) and narrow[0][0] <= got[0][0]
 
 
