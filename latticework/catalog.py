@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import chars, hashing, kana
-from latticework.operators import dictionary, evaluation, formats, learning, search, seeds, trie
+from latticework.operators import dictionary, evaluation, formats, learning, nodes, search, seeds, trie
+from latticework.plans import candidates
 from latticework.sources import dictionary as dic_source
 from latticework.sources import text as source
 
@@ -523,6 +524,104 @@ def trained_levels(spark, sf_dir):
     return evaluation.levels(found, gold(spark, sf_dir), ID, [])
 
 
+def kana_words(spark, sf_dir):
+    """Distinct words of documents in Latin letters, written in kana."""
+    each = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w"))
+    return each.select(F.translate("w", *LATIN_KANA).alias("text")).distinct().withColumn("word", F.col("text"))
+
+
+def kana_dictionary(spark, sf_dir):
+    return words(spark, sf_dir).select(F.translate("surface", *LATIN_KANA).alias("surface"))
+
+
+def _in(of: str, ch: str) -> str:
+    return f"(contains('{of}', {ch}) AND {ch} <> '')"
+
+
+def _has(bits: str, name: str) -> str:
+    return f"({bits} & {chars.class_by_name(name)}) <> 0"
+
+
+_vowel = "CASE " + " ".join(f"WHEN {_in(of, 'bef')} THEN '{v}'" for v, of in reversed(kana.PROLONGED.items())) + " END"
+_large = "CASE " + " ".join(f"WHEN ch = '{a}' THEN '{b}'" for a, b in zip(kana.SMALL, kana.LARGE)) + " END"
+_other = "SPACE|IDEOGRAPHIC_PUNC|FIGURE|PERIOD|MIDDLE_DOT|ALPH|SYMBOL|BRACKET|SLASH|COLON|COMMA"
+_small = " OR ".join(f"(ch = '{a}' AND {_in(of, 'bef')})" for a, of in kana.BEFORE_SMALL.items())
+#: Each character of a word with its replacements and the flags by which it may go.
+SPELLINGS = f"""kana AS (SELECT DISTINCT translate(w, '{LATIN_KANA[0]}', '{LATIN_KANA[1]}') AS written FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)),
+kwords AS (SELECT translate(surface, '{LATIN_KANA[0]}', '{LATIN_KANA[1]}') AS surface FROM words),
+kprefixes AS (SELECT surface[:n] AS prefix, bool_or(n = length(surface)) AS is_word FROM kwords, LATERAL (SELECT unnest(range(1, length(surface) + 1)) AS n) g GROUP BY 1),
+k1 AS (SELECT written, i, written[i] AS ch, CASE WHEN i > 1 THEN written[i - 1] ELSE '' END AS bef, coalesce(written[i + 1], '') AS aft FROM kana, LATERAL (SELECT unnest(range(1, length(written) + 1)) AS i) g),
+k2 AS (SELECT *, {chars.class_sql('unicode(ch)')} AS c, CASE WHEN bef = '' THEN 0 ELSE {chars.class_sql('unicode(bef)')} END AS cb, CASE WHEN aft = '' THEN 0 ELSE {chars.class_sql('unicode(aft)')} END AS ca FROM k1),
+k3 AS (SELECT *, {_has('c', 'CHOON')} AS choon, ch IN ('っ', 'ッ') AS tsu, {_has('c', 'FAMILY_DOUBLE')} AND bef <> '' AS inner_ FROM k2),
+k4 AS (SELECT *, CASE WHEN inner_ AND choon THEN {_vowel} END AS vowel,
+  inner_ AND ((choon AND {_has('cb', 'FAMILY_PROLONGABLE')}) OR (tsu AND (aft = '' OR {_has('ca', _other)} OR ch = aft OR {_has('cb & ca & c', 'FAMILY_FULL_KANA')})) OR {_small}) AS alone,
+  inner_ AND (choon OR tsu OR (ch = bef AND ch IN ({', '.join(f"'{a}'" for a in kana.BEFORE_SMALL)}))) AS chained FROM k3),
+k5 AS (SELECT written, i, ch, vowel AS a1, CASE WHEN vowel IS NULL THEN {_large} END AS a2, CASE WHEN vowel IS NOT NULL AND {_in(kana.PROLONGED_E, 'bef')} THEN 'え' END AS a3,
+  CASE WHEN coalesce(max(CASE WHEN alone THEN i END) OVER w, 0) >= coalesce(max(CASE WHEN NOT chained THEN i END) OVER w, 1) THEN {kana.DELETE} + CASE WHEN choon THEN {kana.DELETE_PROLONG} WHEN tsu THEN {kana.DELETE_TSU} ELSE {kana.DELETE_SMALL} END END AS gone
+  FROM k4 WINDOW w AS (PARTITION BY written ORDER BY i)),
+ways AS MATERIALIZED (SELECT written, i, ch AS step, 0 AS f, 0 AS last FROM k5 UNION ALL SELECT written, i, a1, {kana.REPLACE | kana.REPLACE_PROLONG}, 0 FROM k5 WHERE a1 IS NOT NULL UNION ALL SELECT written, i, a2, {kana.REPLACE | kana.REPLACE_SMALL}, 0 FROM k5 WHERE a2 IS NOT NULL
+  UNION ALL SELECT written, i, a3, {kana.REPLACE | kana.REPLACE_PROLONG | kana.E_ROW}, 0 FROM k5 WHERE a3 IS NOT NULL UNION ALL SELECT written, i, '', gone, {kana.DELETE_LAST} FROM k5 WHERE gone IS NOT NULL),
+walk(written, s, i, node, flags, last) AS (SELECT written, i, i, ch, 1, 0 FROM k5 JOIN kprefixes ON prefix = ch
+  UNION SELECT k.written, k.s, y.i, k.node || y.step, k.flags | y.f, y.last FROM walk k JOIN ways y ON y.written = k.written AND y.i = k.i + 1 JOIN kprefixes ON prefix = k.node || y.step),
+alike AS (SELECT written, (s - 1)::INTEGER AS start, i::INTEGER AS "end", node AS surface, min(flags | last)::INTEGER AS flags FROM walk JOIN kwords ON surface = node WHERE flags <> 1 GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {WORDS}, {SPELLINGS} SELECT written, start, \"end\", surface, flags FROM alike")
+def normalized_lookup(spark, sf_dir):
+    """Dictionary words that words of documents hold in altered spelling, with the flags of their changes."""
+    return trie.lookup(kana_words(spark, sf_dir), kana_dictionary(spark, sf_dir), ["word"], alike=True).select(F.col("word").alias("written"), "start", "end", "surface", "flags")
+
+
+@query(
+    f"WITH RECURSIVE {WORDS}, {SPELLINGS}, e AS (SELECT translate(surface, '{LATIN_KANA[0]}', '{LATIN_KANA[1]}') AS k, surface AS base, length(surface) AS size FROM words) SELECT written, start, \"end\", written[start + 1:\"end\"] AS surface, base, size::INTEGER AS size, flags FROM alike JOIN e ON k = surface"
+)
+def normalized_nodes(spark, sf_dir):
+    """The nodes of these: cloned from their entries, with what is written as the surface."""
+    entries = words(spark, sf_dir).select(F.translate("surface", *LATIN_KANA).alias("surface"), F.col("surface").alias("base"), F.length("surface").alias("size"))
+    return nodes.normalised(kana_words(spark, sf_dir), entries, ["word"], ["surface", "base", "size"]).withColumnRenamed("word", "written")
+
+
+_singles = f"SELECT doc_id, sent, s::INTEGER AS start, (s + 1)::INTEGER AS \"end\", ch AS surface, CASE WHEN prefix IS NULL THEN 1 ELSE 0 END AS flag FROM (SELECT doc_id, sent, s, text[s + 1] AS ch FROM (SELECT doc_id, sent, text, unnest(range(0, length(text))) AS s FROM {{}} WHERE text <> '')) LEFT JOIN prefixes ON ch = prefix WHERE coalesce(is_word, 0) = 0 AND ({chars.class_sql('unicode(ch)')} & {{}}) <> 0"
+_figures = "SELECT doc_id, sent, (b + a)::INTEGER AS start, (b + a + n)::INTEGER AS \"end\", r[a + 1:a + n] AS surface FROM (SELECT *, unnest(range(1, length(r) - a + 1)) AS n FROM (SELECT *, unnest(range(0, length(r))) AS a FROM (SELECT doc_id, sent, r[k] AS r, coalesce(list_sum(list_transform(p[:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(r[:k - 1], lambda x: length(x))), 0) AS b FROM (SELECT doc_id, sent, r, p, unnest(range(1, len(r) + 1)) AS k FROM (SELECT doc_id, sent, regexp_extract_all(text, '[0-9０-９]+') AS r, regexp_split_to_array(text, '[0-9０-９]+') AS p FROM bare)))))"
+MADE = f"figs AS (SELECT f.*, CASE WHEN prefix IS NULL THEN 1 ELSE 0 END AS flag FROM ({_figures}) f LEFT JOIN prefixes ON surface = prefix WHERE coalesce(is_word, 0) = 0), signs AS ({_singles.format('bare', chars.class_by_name('SYMBOL'))})"
+
+
+@query(
+    f"WITH {BARE}, {WORDS}, {PREFIXES}, {MADE}, m AS (SELECT doc_id, 'figures' AS maker, surface, flag FROM figs UNION ALL SELECT doc_id, 'signs', surface, flag FROM signs), t AS (SELECT CASE p_partkey WHEN 1 THEN 'signs' ELSE 'figures' END AS maker, p_brand, p_type FROM part WHERE p_partkey IN (1, 2)) SELECT doc_id, maker, surface AS p_name, CASE maker WHEN 'signs' THEN surface ELSE p_type END AS p_type, p_brand, flag, count(*) AS n FROM m JOIN t USING (maker) GROUP BY ALL"
+)
+def materialised_nodes(spark, sf_dir):
+    """Signs and figures as nodes made from two parts as templates, whose names, and of signs types
+    too, hold the surface."""
+    fields = ["p_name", "p_brand", "p_type"]
+    templates = nodes.template_rows(table(spark, sf_dir, "part"), {"signs": (1, ["p_name", "p_type"]), "figures": (2, ["p_name"])}, fields, "p_partkey")
+    u, w = unsegmented(spark, sf_dir), words(spark, sf_dir)
+    signs = seeds.single(u, w, ID, "SYMBOL").withColumn("maker", F.lit("signs"))
+    figures = seeds.chunks(u, w, ID, "FIGURE").withColumn("maker", F.lit("figures"))
+    seeded = signs.unionByName(figures).select("doc_id", "maker", "surface", F.col("not_prefix").alias("flag"))
+    return nodes.materialised(seeded, templates, fields).groupBy("doc_id", "maker", *fields, "flag").agg(F.count("*").alias("n"))
+
+
+MAKERS = [candidates.Maker("signs", "single", "SYMBOL"), candidates.Maker("figures", "chunk", "FIGURE"), candidates.Maker("twice", "onomatopoeia", "ALPH"), candidates.Maker("any", "single", "FAMILY_ANYTHING", 20, low=True)]
+_twice = f"SELECT doc_id, sent, s::INTEGER AS start, (s + 2 * h)::INTEGER AS \"end\", a || b AS surface FROM (SELECT doc_id, sent, s, substring(text, s + 1, h) AS a, substring(text, s + h + 1, h) AS b, text, h FROM (SELECT doc_id, sent, text, unnest(range(0, length(text))) AS s FROM bare WHERE text <> ''), (VALUES (2), (3), (4)) v(h)) WHERE length(b) = h AND a = b AND s + 4 < length(text) AND regexp_full_match(a, '{ALPH}+')"
+
+
+@query(
+    f"WITH RECURSIVE {BARE}, {WORDS}, {PREFIXES}, {HITS}, {MADE}, first AS MATERIALIZED (SELECT doc_id, sent, start, \"end\", 0 AS maker, 0 AS flag FROM hits UNION ALL SELECT doc_id, sent, start, \"end\", 1, flag FROM signs UNION ALL SELECT doc_id, sent, start, \"end\", 2, flag FROM figs UNION ALL SELECT doc_id, sent, start, \"end\", 3, 0 FROM ({_twice}) t ANTI JOIN words USING (surface)), step AS MATERIALIZED (SELECT DISTINCT doc_id, sent, start, \"end\" FROM first), reach(doc_id, sent, pos) AS (SELECT doc_id, sent, 0 FROM bare UNION SELECT r.doc_id, r.sent, h.\"end\" FROM reach r JOIN step h ON r.doc_id = h.doc_id AND r.sent = h.sent AND r.pos = h.start), cut AS (SELECT b.doc_id, b.sent, b.text FROM bare b ANTI JOIN reach r ON b.doc_id = r.doc_id AND b.sent = r.sent AND r.pos = length(b.text)), every AS (SELECT * FROM first UNION ALL SELECT doc_id, sent, start, \"end\", 4, flag FROM ({_singles.format('cut', chars.class_by_name('FAMILY_ANYTHING'))})) SELECT doc_id, maker, flag, count(*) AS n, sum(start)::BIGINT AS starts, sum(\"end\")::BIGINT AS ends FROM every GROUP BY ALL"
+)
+def all_candidates(spark, sf_dir):
+    """Dictionary words and the words of all makers; single characters only of sentences that don't
+    connect without them."""
+    made = candidates.candidates(unsegmented(spark, sf_dir), words(spark, sf_dir), MAKERS, ID)
+    each = made.select("doc_id", F.explode("edges").alias("e"))
+    return each.groupBy("doc_id", "e.maker", "e.flag").agg(F.count("*").alias("n"), F.sum("e.start").alias("starts"), F.sum("e.end").alias("ends"))
+
+
+@query()
+def candidate_segments(spark, sf_dir):
+    """The cheapest paths over all candidates."""
+    return search.segment_candidates(candidates.candidates(unsegmented(spark, sf_dir), words(spark, sf_dir), MAKERS, ID), ID)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -25,8 +25,10 @@ EDGES = "array<struct<start:int,end:int>>"
 
 def dealt(lattices: DataFrame, ids: list[str]) -> DataFrame:
     """lattices in as many partitions as shuffles are set to have: the search costs far more
-    than their few bytes tell, by which Spark would else put them together."""
-    return lattices.repartition(int(lattices.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids)
+    than their few bytes tell, by which Spark would else put them together. Sentences of like
+    length follow one another, since those searched together take as many steps as the longest."""
+    many = int(lattices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lattices.repartition(many, *ids).sortWithinPartitions(F.length("text"))
 
 
 @dataclass
@@ -64,25 +66,37 @@ def read(batch: pa.RecordBatch, fields: tuple[str, ...] = ()) -> Iterator[Lattic
         yield Lattices(low, begins, codes, row[order], start, end, {k: of[k][order] for k in fields})
 
 
-def cheapest(x: Lattices, word: int = WORD_COST, other: int = OTHER_COST) -> tuple[np.ndarray, ...]:
-    """(row, start, end, is a word) of each sentence's path of least cost over words and, at every
-    character, one for any other sign; of equal costs the one with the longest last words."""
+def places(*keys: np.ndarray) -> np.ndarray:
+    """The place of each row among those that have the same keys, which are neighbours."""
+    n = len(keys[0])
+    fresh = np.ones(n, bool)
+    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) if n else np.zeros(0, np.int64)
+
+
+def cheapest(x: Lattices, word: int = WORD_COST, other: int = OTHER_COST, prices: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(row, start, end, candidate or -1) of each sentence's path of least cost over candidates, of
+    their prices or `word` each, and, at every character, one for any other sign; of equal costs
+    the one with the longest last words."""
     sizes, base = x.sizes, x.begins[:-1]
     cost = np.full(len(x.codes), 1 << 60, np.int64)
-    back, known = np.zeros(len(x.codes), np.int64), np.zeros(len(x.codes), bool)
+    back, known = np.zeros(len(x.codes), np.int64), np.full(len(x.codes), -1)
     cost[base] = 0
-    by_start = np.argsort(x.start, kind="stable")
+    prices = np.full(len(x.row), word) if prices is None else prices.astype(np.int64)
+    order = np.lexsort((prices, x.end, x.start, x.row))
+    best = order[places(x.row[order], x.start[order], x.end[order]) == 0]  # of equal stretches the cheapest
+    by_start = best[np.argsort(x.start[best], kind="stable")]
     longest = int(sizes.max(initial=0))
     cuts = np.searchsorted(x.start[by_start], np.arange(longest + 1))
     of, to = base[x.row[by_start]], base[x.row[by_start]] + x.end[by_start]
     falling = np.argsort(-sizes, kind="stable")
     going = np.searchsorted(-sizes[falling], -np.arange(longest), side="left")
     for s in range(longest):
-        at = base[falling[: going[s]]] + s
-        for here, there, price, is_word in ((at, at + 1, other, False), (of[cuts[s] : cuts[s + 1]] + s, to[cuts[s] : cuts[s + 1]], word, True)):
+        at, some = base[falling[: going[s]]] + s, slice(cuts[s], cuts[s + 1])
+        for here, there, price, which in ((at, at + 1, other, None), (of[some] + s, to[some], prices[by_start[some]], by_start[some])):
             price = cost[here] + price
             better = price < cost[there]
-            cost[there[better]], back[there[better]], known[there[better]] = price[better], s, is_word
+            cost[there[better]], back[there[better]], known[there[better]] = price[better], s, -1 if which is None else which[better]
     row, at, out = np.arange(len(sizes)), sizes.copy(), []
     while True:
         row, at = row[at > 0], at[at > 0]
@@ -91,19 +105,11 @@ def cheapest(x: Lattices, word: int = WORD_COST, other: int = OTHER_COST) -> tup
         s = back[base[row] + at]
         out.append((row, s, at, known[base[row] + at]))
         at = s
-    found = [np.concatenate(k) for k in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+    found = [np.concatenate(k) for k in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
     order = np.lexsort((found[1], found[0]))
     return tuple(k[order] for k in found)
 
 
-def places(*keys: np.ndarray) -> np.ndarray:
-    """The place of each row among those that have the same keys, which are neighbours."""
-    n = len(keys[0])
-    fresh = np.ones(n, bool)
-    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) if n else np.zeros(0, np.int64)
-
-
 def taken(batch: pa.RecordBatch, ids: list[str], rows: np.ndarray) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(c)).take(pa.array(rows)) for c in ids]
 
@@ -122,12 +128,53 @@ def segment(lattices: DataFrame, ids: list[str], word: int = WORD_COST, other: i
         for batch in batches:
             for x in read(batch):
                 row, start, end, known = cheapest(x, word, other)
-                columns = [*taken(batch, ids, row + x.low), pa.array(places(row).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), surfaces(x, row, start, end), pa.array(np.where(known, "dic", "unk"))]
+                columns = [*taken(batch, ids, row + x.low), pa.array(places(row).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), surfaces(x, row, start, end), pa.array(np.where(known >= 0, "dic", "unk"))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*ids, "pos", "start", "end", "surface", "kind"])
 
     return lattices.select(*ids, "text", "edges").mapInArrow(search, f"{schema_of(lattices, ids)}, pos int, start int, end int, surface string, kind string")
 
 
+def segment_candidates(lattices: DataFrame, ids: list[str], other: int = OTHER_COST) -> DataFrame:
+    """(<ids>, pos, start, end, surface, maker, flag) of each sentence's cheapest path over edges
+    that have a price, a maker and a flag of their own."""
+    fields = ("price", "maker", "flag")
+
+    def search(batches):
+        for batch in batches:
+            for x in read(batch, fields):
+                row, start, end, which = cheapest(x, other=other, prices=x.more["price"])
+                told = [np.where(which >= 0, np.append(x.more[k], -1)[which], -1).astype(np.int32) for k in fields[1:]]
+                columns = [*taken(batch, ids, row + x.low), *map(pa.array, (places(row).astype(np.int32), start.astype(np.int32), end.astype(np.int32))), surfaces(x, row, start, end), *map(pa.array, told)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*ids, "pos", "start", "end", "surface", *fields[1:]])
+
+    return lattices.select(*ids, "text", "edges").mapInArrow(search, f"{schema_of(lattices, ids)}, pos int, start int, end int, surface string, maker int, flag int")
+
+
+def with_connects(lattices: DataFrame, ids: list[str], into: str = "connects") -> DataFrame:
+    """lattices (<ids>, text, edges) with a column that tells whether edges lead from a sentence's
+    start to its end; an empty sentence connects."""
+
+    def search(batches):
+        for batch in batches:
+            out = []
+            for x in read(batch):
+                base, reached = x.begins[:-1], np.zeros(len(x.codes), bool)
+                reached[base] = True
+                by_start = np.argsort(x.start, kind="stable")
+                cuts = np.searchsorted(x.start[by_start], np.arange(int(x.sizes.max(initial=0)) + 1))
+                of = base[x.row[by_start]]
+                here, there = of + x.start[by_start], of + x.end[by_start]
+                for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    if a < z:
+                        reached[there[a:z][reached[here[a:z]]]] = True
+                out.append(reached[base + x.sizes])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0, bool))], names=[*batch.schema.names, into])
+
+    rows = lattices.select(*ids, "text", "edges")
+    kinds = rows.schema["edges"].dataType.simpleString()
+    return rows.mapInArrow(search, f"{schema_of(lattices, ids)}, text string, edges {kinds}, {into} boolean")
+
+
 def synthetic_weight(index: np.ndarray) -> np.ndarray:
     """A weight for each index, from -1000 to 1000, where no model is given."""
     return (index.astype(np.int64) * 40503 % 2001) - 1000
@@ -172,14 +219,15 @@ class Beams:
             node, place, rank = node[some], place[some], rank[some]
 
 
-def beam_search(x: Lattices, weights, beam: int = BEAM, keep: int = 1, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, bits: int = WEIGHT_BITS, bonus: np.ndarray | None = None, singles: bool = True) -> Beams:
+def beam_search(x: Lattices, weights, beam: int = BEAM, keep: int = 1, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, bits: int = WEIGHT_BITS, bonus=None, singles: bool = True) -> Beams:
     """The best paths under unigram, bigram and trigram weights.
 
     Each node keeps its `beam` best connections (`keep`, if that is more), by score, then left
     node, then their place. With global_beam only so many of all connections that end at a
     boundary go on; with right_check right nodes are scored against that many of them first,
-    and only the best right_beam against all. bonus is added for each candidate of x; singles:
-    every character is a candidate too."""
+    and only the best right_beam against all. bonus: (row, start, end, candidate of x or below 0) of
+    nodes -> what is added to the score of all that leads to them; singles: every character is
+    a candidate too."""
     n, many = len(x.begins) - 1, max(beam, keep)
     rows = np.arange(n)
     row, start, end, source = [x.row, rows, rows], [x.start, np.full(n, -1), x.sizes], [x.end, np.zeros(n, np.int64), x.sizes + 1], [np.arange(len(x.row)), np.full(n, -1), np.full(n, -2)]
@@ -200,9 +248,9 @@ def beam_search(x: Lattices, weights, beam: int = BEAM, keep: int = 1, global_be
     states = [mix(np.uint64(p), code) for p in PREFIXES]
     own_score = weights((states[0] & mask).astype(np.int64))
     kind = own_score.dtype
-    extra = np.zeros(len(row), kind)
+    extra, inner = np.zeros(len(row), kind), (source >= 0) | (source == -3)
     if bonus is not None:
-        extra[source >= 0] = bonus[source[source >= 0]]
+        extra[inner] = bonus(row[inner], start[inner], end[inner], source[inner])
     made = Beams(row, start, end, code, source, *(np.zeros((len(row), many), k) for k in (kind, np.int64, np.int64, np.int64)), np.zeros(len(row), np.int64))
     first = np.nonzero(source == -1)[0]
     made.kept[first], made.left[first, 0] = 1, first
@@ -254,15 +302,18 @@ def beam_search(x: Lattices, weights, beam: int = BEAM, keep: int = 1, global_be
     return made
 
 
-def n_best(lattices: DataFrame, ids: list[str], keep: int = 3, beam: int = BEAM, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, weights=synthetic_weight, bits: int = WEIGHT_BITS, bonus: str | None = None) -> DataFrame:
-    """(<ids>, rank, score, pos, start, end, surface) of each sentence's best paths. bonus names a
-    field of edges that is added to the score of what leads to them."""
-    fields = (bonus,) if bonus else ()
+def n_best(lattices: DataFrame, ids: list[str], keep: int = 3, beam: int = BEAM, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, weights=synthetic_weight, bits: int = WEIGHT_BITS, bonus=None, more: list[str] | None = None, details: bool = False) -> DataFrame:
+    """(<ids>, rank, score, pos, start, end, surface) of each sentence's best paths.
+
+    bonus: (batch, lattices) -> a bonus as beam_search takes it; more: columns that it reads.
+    details: also what each node's connection has: own, its score without what came before;
+    left_start and left_end, the node before (-1 and 0 for none); and global_rank, the place that
+    what came before had in the global beam."""
 
     def search(batches):
         for batch in batches:
-            for x in read(batch, fields):
-                made = beam_search(x, weights, beam, keep, global_beam, right_check, right_beam, bits, x.more[bonus] if bonus else None)
+            for x in read(batch):
+                made = beam_search(x, weights, beam, keep, global_beam, right_check, right_beam, bits, bonus(batch, x) if bonus else None)
                 parts = list(made.paths(keep))
                 if not parts:
                     continue
@@ -270,14 +321,39 @@ def n_best(lattices: DataFrame, ids: list[str], keep: int = 3, beam: int = BEAM,
                 last = made.source[node] == -2
                 whole = np.zeros((len(x.begins), keep + 1), made.score.dtype)
                 whole[row[last], rank[last]] = made.score[node[last], place[last]]
-                row, rank, node = row[~last], rank[~last], node[~last]
+                row, rank, node, place = (k[~last] for k in (row, rank, node, place))
                 order = np.lexsort((made.start[node], rank, row))
-                row, rank, node = row[order], rank[order], node[order]
-                columns = [*taken(batch, ids, row + x.low), rank.astype(np.int32), np.trunc(whole[row, rank]).astype(np.int64), places(row, rank).astype(np.int32), made.start[node].astype(np.int32), made.end[node].astype(np.int32), surfaces(x, row, made.start[node], made.end[node])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=[*ids, "rank", "score", "pos", "start", "end", "surface"])
+                row, rank, node, place = (k[order] for k in (row, rank, node, place))
+                start, end = made.start[node], made.end[node]
+                columns = [*taken(batch, ids, row + x.low), rank.astype(np.int32), np.trunc(whole[row, rank]).astype(np.int64), places(row, rank).astype(np.int32), start.astype(np.int32), end.astype(np.int32), surfaces(x, row, start, end)]
+                if details:
+                    left, before = made.left[node, place], made.place[node, place]
+                    columns += [np.trunc(made.score[node, place] - made.score[left, before]).astype(np.int64), *(k[left].astype(np.int32) for k in (made.start, made.end)), made.rank[left, before].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=[*ids, "rank", "score", "pos", "start", "end", "surface", *["own", "left_start", "left_end", "global_rank"] * details])
+
+    extra = ", own long, left_start int, left_end int, global_rank int" if details else ""
+    return dealt(lattices.select(*ids, "text", "edges", *(more or [])), ids).mapInArrow(search, f"{schema_of(lattices, ids)}, rank int, score long, pos int, start int, end int, surface string{extra}")
+
 
-    edges = lattices.select(*ids, "text", "edges")
-    return dealt(edges, ids).mapInArrow(search, f"{schema_of(lattices, ids)}, rank int, score long, pos int, start int, end int, surface string")
+def dumped(lattices: DataFrame, ids: list[str], beam: int = BEAM, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, weights=synthetic_weight, bits: int = WEIGHT_BITS) -> DataFrame:
+    """(<ids>, start, end, surface, place, total, left_start, left_end, left_place, global_rank, best):
+    every connection that every node keeps, from place 1 on; best: it is on the best path. The
+    end of a sentence is a node behind its last character."""
+
+    def search(batches):
+        for batch in batches:
+            for x in read(batch):
+                made = beam_search(x, weights, beam, 1, global_beam, right_check, right_beam, bits)
+                best = np.zeros(made.score.shape, bool)
+                for _, _, node, place in made.paths(1):
+                    best[node, place] = True
+                node, place = np.nonzero((np.arange(made.score.shape[1])[None, :] < made.kept[:, None]) & (made.source != -1)[:, None])
+                row, start, end, left, before = made.row[node], made.start[node], made.end[node], made.left[node, place], made.place[node, place]
+                narrow = lambda k: pa.array(k.astype(np.int32))
+                columns = [*taken(batch, ids, row + x.low), narrow(start), narrow(end), surfaces(x, row, start, np.where(made.source[node] == -2, start, end)), narrow(place + 1), pa.array(np.trunc(made.score[node, place]).astype(np.int64)), narrow(made.start[left]), narrow(made.end[left]), narrow(before + 1), narrow(made.rank[left, before]), pa.array(best[node, place])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*ids, "start", "end", "surface", "place", "total", "left_start", "left_end", "left_place", "global_rank", "best"])
+
+    return dealt(lattices.select(*ids, "text", "edges"), ids).mapInArrow(search, f"{schema_of(lattices, ids)}, start int, end int, surface string, place int, total long, left_start int, left_end int, left_place int, global_rank int, best boolean")
 
 
 def beam_sizes(length: Column, base: int = BEAM, step: int = 20, most: int = 15) -> Column:

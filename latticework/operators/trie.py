@@ -140,16 +140,19 @@ def _hits(sentences: DataFrame, block: list[str], ids: list[str], text: str, ali
                 rows = pa.array(row + low)
                 columns = [batch.column(batch.schema.get_field_index(c)).take(rows) for c in ids]
                 columns += [pa.array((start - begins[row]).astype(np.int32)), pa.array((end - begins[row]).astype(np.int32)), trie.words.take(pa.array(word[order]))]
-                columns += [pa.array(f[order].astype(np.int32)) for f in flags]
-                yield pa.RecordBatch.from_arrays(columns, names=[*ids, "start", "end", "surface", *["flags"] * alike])
+                if alike:
+                    said = codes.astype("<u4").tobytes().decode("utf-32-le")
+                    columns += [pa.array([said[a:z] for a, z in zip(start.tolist(), end.tolist())], pa.string()), pa.array(flags[0][order].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*ids, "start", "end", "surface", *["written", "flags"] * alike])
 
-    more = ", flags int" if alike else ""
+    more = ", written string, flags int" if alike else ""
     return sentences.select(*ids, text).mapInArrow(each, f"{schema_of(sentences, ids)}, start int, end int, surface string{more}")
 
 
 def lookup(sentences: DataFrame, words: DataFrame, ids: list[str], text: str = "text", word: str = "surface", alike: bool = False) -> DataFrame:
-    """(<ids>, start, end, surface) of every dictionary word at every start; alike: also flags, of
-    words in altered spelling only."""
+    """(<ids>, start, end, surface) of every dictionary word at every start; alike: of words in
+    altered spelling only, with what is written and the flags of its changes. A spelling of
+    many characters that may go has as many ends."""
     out = None
     for block in blocks(words, word):
         found = _hits(sentences, block, ids, text, alike)
