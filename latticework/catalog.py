@@ -228,8 +228,7 @@ def beam_topk(spark, sf_dir):
 def connectable(spark, sf_dir):
     """Sentences that dictionary words alone cover, and how many don't connect."""
     u = unsegmented(spark, sf_dir)
-    made = trie.with_edges(u, words(spark, sf_dir), ID)
-    return made.select(*ID, seeds.connectable(F.length("text"), F.col("edges")).alias("connects"))
+    return search.with_connects(trie.with_edges(u, words(spark, sf_dir), ID), ID).select(*ID, "connects")
 
 
 def _lattices(spark, sf_dir):

@@ -130,19 +130,3 @@ NUMBER = (
     rf"^(?:[{_D}]|[{PREFIXES}](?:(?=[{_DIGIT}])|(?:{_SUF}))|(?<=[{_D}])(?:{'|'.join(INTERFIXES)})(?=[{_D}])"
     rf"|(?<=[{_E}])(?:{_SUF})|(?<!^)[,，](?=[{_F}]{{3}}(?![{_F}]))|(?<=[{_D}])[．・·](?=[{_D}])){{0,{MOST_FIGURES}}}+"
 )
-
-
-def number_of(ahead: Column) -> Column:
-    """The longest number that a text begins with, empty if with none."""
-    return F.regexp_extract(ahead, NUMBER, 0)
-
-
-def said_twice(ahead: Column, half: int) -> Column:
-    """Whether a text begins with 2 * half characters that are one word said twice, of one
-    class. It must have more than four characters, so a final word of four is missed."""
-    a, b = F.substring(ahead, 1, half), F.substring(ahead, half + 1, half)
-    one = char_class(F.substring(ahead, 1, 1))
-    alike = F.lit(True)
-    for k in range(1, half + 1):
-        alike = alike & (char_class(F.substring(ahead, k + 1, 1)).bitwiseAND(one) != 0)
-    return (F.char_length(ahead) > 4) & (F.char_length(b) == half) & (a == b) & alike

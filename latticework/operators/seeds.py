@@ -2,66 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.functions.chars import char_class, class_by_name
-from latticework.functions.kana import MOST_FIGURES, number_of, said_twice
-from latticework.operators.dictionary import prefixes, windows
+from latticework.functions.chars import class_by_name, classes_of
+from latticework.functions.kana import MOST_FIGURES, NUMBER
+from latticework.operators import trie
+
+
+def made(sentences: DataFrame, words: DataFrame, ids: list[str], find) -> DataFrame:
+    """(<ids>, start, end, surface, not_prefix) of what find(block, codes, classes) -> (start, end,
+    begins no word) finds in the sentences of a batch. Each block of the dictionary tells of what
+    begins with its own characters."""
+    out = None
+    for block in trie.blocks(words):
+        rows = _made(sentences, block, ids, find)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _made(sentences: DataFrame, block: trie.Block, ids: list[str], find) -> DataFrame:
+    shared = sentences.sparkSession.sparkContext.broadcast(block)
 
+    def each(batches):
+        for batch in batches:
+            for low, begins, codes in trie.texts_of(batch, "text"):
+                start, end, flag = find(shared.value, codes, np.where(codes > 0, classes_of(codes), 0))
+                row = np.searchsorted(begins, start, side="right") - 1
+                order = np.lexsort((end, start))
+                start, end, flag, row = start[order], end[order], flag[order], row[order]
+                said = codes.astype("<u4").tobytes().decode("utf-32-le")
+                columns = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row + low)) for c in ids]
+                columns += [pa.array((k - begins[row]).astype(np.int32)) for k in (start, end)]
+                columns += [pa.array([said[a:z] for a, z in zip(start.tolist(), end.tolist())], pa.string()), pa.array(flag.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*ids, "start", "end", "surface", "not_prefix"])
 
-def of_classes(classes: str):
-    return lambda ch: char_class(ch).bitwiseAND(F.lit(class_by_name(classes))) != 0
+    return sentences.select(*ids, "text").mapInArrow(each, f"{trie.schema_of(sentences, ids)}, start int, end int, surface string, not_prefix int")
 
 
 def single(sentences: DataFrame, words: DataFrame, ids: list[str], classes: str) -> DataFrame:
     """(<ids>, start, end, surface, not_prefix): characters of the classes that are no words."""
-    one = windows(sentences, ids, 1, where=of_classes(classes)).withColumnRenamed("ahead", "ch")
-    known = prefixes(words)
-    rows = one.join(known, one.ch == known.prefix, "left").where("coalesce(is_word, 0) = 0")
-    return rows.select(*ids, "start", (F.col("start") + 1).alias("end"), F.col("ch").alias("surface"), F.col("prefix").isNull().cast("int").alias("not_prefix"))
+    wanted = class_by_name(classes)
 
+    def find(block, codes, kinds):
+        start = np.nonzero((kinds & wanted != 0) & block.mine(codes))[0]
+        told = block.trie.words_at(codes, start, start + 1)
+        return start[told < 1], start[told < 1] + 1, -told[told < 1]
 
-def runs(sentences: DataFrame, ids: list[str], classes: str) -> DataFrame:
-    """(<ids>, start, surface): the longest stretches of characters of the classes."""
-    ok = of_classes(classes)
-    marked = F.transform(F.split("text", ""), lambda c: F.when(ok(c), c).otherwise("\0"))
-    pieces = F.split(F.array_join(marked, ""), "\0")
-    rows = sentences.where("length(text) > 0").select(*ids, pieces.alias("p")).select(*ids, "p", F.expr("aggregate(p, cast(array() as array<int>), (a, w) -> concat(a, array(coalesce(get(a, size(a) - 1) + 1, 0) + length(w))))").alias("e"))
-    each = rows.select(*ids, F.explode(F.arrays_zip("p", "e")).alias("x")).where("x.p <> ''")
-    return each.select(*ids, (F.col("x.e") - F.length("x.p")).alias("start"), F.col("x.p").alias("surface"))
+    return made(sentences, words, ids, find)
 
 
 def chunks(sentences: DataFrame, words: DataFrame, ids: list[str], classes: str) -> DataFrame:
-    """(<ids>, start, end, surface, not_prefix): all substrings of a run that are no words."""
-    run = runs(sentences, ids, classes)
-    some = run.select(*ids, "start", F.col("surface").alias("_r"), F.explode(F.sequence(F.lit(0), F.length("surface") - 1)).alias("_a"))
-    some = some.select(*ids, "start", "_r", "_a", F.explode(F.sequence(F.lit(1), F.length("_r") - F.col("_a"))).alias("_n"))
-    some = some.select(*ids, (F.col("start") + F.col("_a")).alias("start"), F.substring("_r", F.col("_a") + 1, F.col("_n")).alias("surface"))
-    known = prefixes(words)
-    rows = some.join(known, some.surface == known.prefix, "left").where("coalesce(is_word, 0) = 0")
-    return rows.select(*ids, "start", (F.col("start") + F.length("surface")).alias("end"), "surface", F.col("prefix").isNull().cast("int").alias("not_prefix"))
+    """(<ids>, start, end, surface, not_prefix): all substrings that are no words of the longest
+    stretches of characters of the classes. Their number grows with the square of a stretch."""
+    wanted = class_by_name(classes)
+
+    def find(block, codes, kinds):
+        start, end, flag = block.trie.stretches(codes, kinds & wanted != 0)
+        some = block.mine(codes[start])
+        return start[some], end[some], flag[some]
+
+    return made(sentences, words, ids, find)
+
+
+def numbers(sentences: DataFrame, ids: list[str], words: DataFrame | None = None) -> DataFrame:
+    """(<ids>, start, end, surface, not_prefix): the longest number at each start. With words, those
+    that are dictionary words are told by not_prefix -1; else all have 1."""
+    begin, pattern = class_by_name("FAMILY_DIGITS|FIGURE_EXCEPTION"), NUMBER.removeprefix("^")
 
+    def find(block, codes, kinds):
+        number = re.compile(pattern)
+        start = np.nonzero((kinds & begin != 0) & block.mine(codes))[0]
+        said = codes.astype("<u4").tobytes().decode("utf-32-le")
+        size = np.array([number.match(said[a : a + 4 * MOST_FIGURES].split("\0", 1)[0]).end() for a in start.tolist()], np.int64)
+        start, size = start[size > 0], size[size > 0]
+        return start, start + size, -block.trie.words_at(codes, start, start + size)
 
-def numbers(sentences: DataFrame, ids: list[str]) -> DataFrame:
-    """(<ids>, start, end, surface): the longest number at each start."""
-    rows = windows(sentences, ids, 4 * MOST_FIGURES, where=of_classes("FAMILY_DIGITS|FIGURE_EXCEPTION")).select(*ids, "start", number_of(F.col("ahead")).alias("surface"))
-    return rows.where("surface <> ''").select(*ids, "start", (F.col("start") + F.length("surface")).alias("end"), "surface")
+    none = sentences.sparkSession.createDataFrame([], "surface string")
+    return made(sentences, none if words is None else words, ids, find)
 
 
 def onomatopoeia(sentences: DataFrame, words: DataFrame, ids: list[str], classes: str) -> DataFrame:
-    """(<ids>, start, end, surface): ABAB, ABCABC and ABCDABCD that are no words."""
-    at = windows(sentences, ids, 8, where=of_classes(classes))
-    halves = F.array_compact(F.array(*[F.when(said_twice(F.col("ahead"), h), h) for h in (2, 3, 4)]))
-    rows = at.select(*ids, "start", "ahead", F.explode(halves).alias("h")).select(*ids, "start", (F.col("start") + 2 * F.col("h")).alias("end"), F.substring("ahead", F.lit(1), 2 * F.col("h")).alias("surface"))
-    return rows.join(words.select("surface").distinct(), "surface", "left_anti").select(*ids, "start", "end", "surface")
-
-
-def connectable(length: Column, ends_by_start: Column) -> Column:
-    """Whether candidates lead from 0 to length; ends_by_start: array<struct<start, end>>
-    sorted by start. Reached positions are the fold's state."""
-    reached = F.aggregate(ends_by_start, F.array(F.lit(0)), lambda r, e: F.when(F.array_contains(r, e["start"]) & ~F.array_contains(r, e["end"]), F.array_append(r, e["end"])).otherwise(r))
-    return F.array_contains(reached, length)
+    """(<ids>, start, end, surface): ABAB, ABCABC and ABCDABCD of one class that are no words. What
+    ends a sentence must have more than four characters before it, so a final ABAB is missed."""
+    wanted = class_by_name(classes)
+
+    def find(block, codes, kinds):
+        ends = np.nonzero(codes == 0)[0]
+        room = ends[np.searchsorted(ends, np.arange(len(codes)))] - np.arange(len(codes))
+        out = []
+        for half in (2, 3, 4):
+            ok = (kinds & wanted != 0) & block.mine(codes) & (room >= max(2 * half, 5))
+            start = np.nonzero(ok)[0]
+            for k in range(half):
+                start = start[(codes[start + k] == codes[start + half + k]) & (kinds[start + k] & kinds[start] != 0)]
+            out.append((start, start + 2 * half))
+        start, end = (np.concatenate(k) for k in zip(*out))
+        told = block.trie.words_at(codes, start, end)
+        return start[told < 1], end[told < 1], -told[told < 1]
+
+    return made(sentences, words, ids, find).drop("not_prefix")
 
 
 def connections(nodes: DataFrame, ids: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ meet it; one beyond a block's size costs a pass over the sentences for each bloc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,31 @@ class Trie:
             start, at, node = start[some], at[some] + 1, node[some]
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
+    def stretches(self, codes: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, end, begins no word) of every stretch of places that are ok and isn't a word."""
+        start = np.nonzero(ok)[0]
+        node, at, out = self.step(np.zeros(len(start), np.int64), codes[start]), start + 1, []
+        dead = node == 0
+        while len(start):
+            hit = dead | (self.word[node] < 0)
+            out.append((start[hit], at[hit], dead[hit].astype(np.int64)))
+            some = ok[at]
+            start, at, node, dead = start[some], at[some], node[some], dead[some]
+            node = np.where(dead, 0, self.step(node, codes[at]))
+            dead = dead | (node == 0)
+            at = at + 1
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+    def words_at(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of stretches: 1 for words, 0 for what begins a word, -1 for others."""
+        node, at = np.zeros(len(start), np.int64), start.copy()
+        alive = np.ones(len(start), bool)
+        while (going := alive & (at < end)).any():
+            node[going] = self.step(node[going], codes[at[going]])
+            at[going] += 1
+            alive &= node > 0
+        return np.where(~alive, -1, (self.word[node] >= 0).astype(np.int64))
+
     def walk_alike(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
         """(start, end, word, flags) of every word that the text holds in an altered spelling: after
         its first character each may stand for itself, for another, or for none. Of the ways to one
@@ -112,25 +138,48 @@ def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts]))), codes
 
 
-def blocks(words: DataFrame, word: str) -> Iterator[list[str]]:
-    """The distinct words, in blocks of at most about BLOCK characters, one at a time on the driver."""
+def blocks(words: DataFrame, word: str = "surface") -> Iterator["Block"]:
+    """The distinct words in blocks, one at a time on the driver: all words of some first characters,
+    BLOCK characters at most where more than one first character is in it."""
     rows = words.select(F.col(word).alias("w")).where("w <> ''").distinct()
-    total = rows.agg(F.sum(F.length("w"))).first()[0] or 0
-    many = int(total // BLOCK) + 1
-    for k in range(many):
-        block = rows if many == 1 else rows.where(F.pmod(F.xxhash64("w"), F.lit(many)) == k)
-        yield sorted(block.toPandas().w)
+    first = F.substring("w", 1, 1)
+    parts, size = [[]], 0
+    for r in rows.groupBy(first.alias("c")).agg(F.sum(F.length("w")).alias("n")).orderBy("c").collect():  # a row a character
+        if size and size + r.n > BLOCK:
+            parts.append([])
+            size = 0
+        parts[-1].append(r.c)
+        size += r.n
+    for part in parts:
+        block = rows if len(parts) == 1 else rows.where(first.isin(part))
+        elsewhere = sorted(ord(c) for other in parts if other is not part for c in other)
+        own = None if part is parts[0] else np.array(sorted(map(ord, part)), np.int64)
+        yield Block(Trie(sorted(block.toPandas().w)), own, np.array(elsewhere, np.int64))
+
+
+@dataclass
+class Block:
+    """The trie of a block, its first characters (None for the first block, which has all that no
+    other block has), and those of the others."""
+
+    trie: Trie
+    own: np.ndarray | None
+    others: np.ndarray
+
+    def mine(self, codes: np.ndarray) -> np.ndarray:
+        """Which characters begin words that are for this block to tell."""
+        return np.isin(codes, self.own) if self.own is not None else ~np.isin(codes, self.others) if len(self.others) else np.ones(len(codes), bool)
 
 
 def schema_of(sentences: DataFrame, ids: list[str]) -> str:
     return ", ".join(f"{c} {sentences.schema[c].dataType.simpleString()}" for c in ids)
 
 
-def _hits(sentences: DataFrame, block: list[str], ids: list[str], text: str, alike: bool) -> DataFrame:
-    shared = sentences.sparkSession.sparkContext.broadcast(Trie(block))
+def _hits(sentences: DataFrame, block: Block, ids: list[str], text: str, alike: bool) -> DataFrame:
+    shared = sentences.sparkSession.sparkContext.broadcast(block)
 
     def each(batches):
-        trie = shared.value
+        trie = shared.value.trie
         for batch in batches:
             for low, begins, codes in texts_of(batch, text):
                 start, end, word, *flags = trie.walk_alike(codes) if alike else trie.walk(codes)
@@ -169,11 +218,11 @@ def with_edges(sentences: DataFrame, words: DataFrame, ids: list[str], text: str
     return out
 
 
-def _listed(sentences: DataFrame, block: list[str], ids: list[str], nth: int) -> DataFrame:
-    shared = sentences.sparkSession.sparkContext.broadcast(Trie(block))
+def _listed(sentences: DataFrame, block: Block, ids: list[str], nth: int) -> DataFrame:
+    shared = sentences.sparkSession.sparkContext.broadcast(block)
 
     def each(batches):
-        trie = shared.value
+        trie = shared.value.trie
         for batch in batches:
             for low, begins, codes in texts_of(batch, "text"):
                 start, end, _ = trie.walk(codes)

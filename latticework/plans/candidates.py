@@ -31,9 +31,7 @@ def made(maker: Maker, sentences: DataFrame, words: DataFrame, ids: list[str]) -
     elif maker.kind == "chunk":
         rows = seeds.chunks(sentences, words, ids, maker.classes).withColumnRenamed("not_prefix", "flag")
     elif maker.kind == "numeric":
-        found = seeds.numbers(sentences, ids)
-        known = words.select("surface").distinct()
-        rows = found.join(known, "surface", "left_anti").withColumn("flag", F.lit(0))
+        rows = seeds.numbers(sentences, ids, words).where("not_prefix >= 0").withColumnRenamed("not_prefix", "flag")
     elif maker.kind == "onomatopoeia":
         rows = seeds.onomatopoeia(sentences, words, ids, maker.classes).withColumn("flag", F.lit(0))
     elif maker.kind == "normalize":

@@ -129,8 +129,8 @@ def test_beam_finds_the_best_path_when_wide(spark):
 
 
 def test_connectable(spark):
-    df = spark.createDataFrame([("abc", [(0, 1), (1, 3)]), ("abc", [(0, 1), (2, 3)]), ("", [])], "t string, e array<struct<start:int,end:int>>")
-    assert [r[0] for r in df.select(seeds.connectable(F.length("t"), F.col("e"))).collect()] == [True, False, True]
+    df = spark.createDataFrame([(0, "abc", [(0, 1), (1, 3)]), (1, "abc", [(0, 1), (2, 3)]), (2, "", []), (3, "abcd", [(0, 2), (1, 4), (2, 4)])], "id int, text string, edges array<struct<start:int,end:int>>")
+    assert {r.id: r.connects for r in search.with_connects(df, ID).collect()} == {0: True, 1: False, 2: True, 3: True}
 
 
 def test_csv_quoting(spark):
