@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import chars, hashing, kana
 from latticework.operators import dictionary, evaluation, formats, learning, nodes, search, seeds, trie
-from latticework.plans import candidates
+from latticework.plans import candidates, constrained
 from latticework.sources import dictionary as dic_source
 from latticework.sources import text as source
 
@@ -621,6 +621,51 @@ def candidate_segments(spark, sf_dir):
     return search.segment_candidates(candidates.candidates(unsegmented(spark, sf_dir), words(spark, sf_dir), MAKERS, ID), ID)
 
 
+def partial_lines(spark, sf_dir):
+    """Lines as partial annotations: a sure break at each space, none within `th`, and the words with
+    a capital as whole nodes that are to be long or short."""
+    word = lambda w: F.when(w.rlike("^[A-ZÀ-Þ]"), F.concat(F.lit("\t"), F.lower(w), F.lit("\tsize:"), F.when(F.length(w) > 3, "long").otherwise("short"))).otherwise(F.replace(F.replace(w, F.lit("&"), F.lit("")), F.lit("th"), F.lit("t&h")))
+    told = F.array_join(F.transform(F.filter(F.split("text", " "), lambda w: w != ""), word), "\n")
+    rows = lines(spark, sf_dir).where(~F.col("text").startswith("# ")).select(F.struct(*ID).alias("doc_id"), told.alias("text"))
+    return source.partial_examples(rows).select("doc_id.doc_id", "doc_id.sent", "surface", "must_break", "no_break", "nodes")
+
+
+def sized_words(spark, sf_dir):
+    return words(spark, sf_dir).withColumn("size", F.when(F.length("surface") > 3, "long").otherwise("short"))
+
+
+@query()
+def constrained_paths(spark, sf_dir):
+    """The best path of each line that keeps what its partial annotation says, as far as it can."""
+    return constrained.constrained_paths(partial_lines(spark, sf_dir), sized_words(spark, sf_dir), ID, ("size",), keep=1, beam=3, global_beam=6)
+
+
+@query()
+def lattice_text(spark, sf_dir):
+    """The nodes of the two best paths in 18 columns, with the fields of their words."""
+    paths = search.n_best(_lattices(spark, sf_dir), ID, keep=2, beam=3, global_beam=6, details=True)
+    entries = words(spark, sf_dir).select("surface", F.when(F.length("surface") > 3, "long").otherwise("short").alias("pos"), F.when(F.length("surface") > 3, 2).otherwise(1).alias("pos_id"))
+    numbered = search.numbered_nodes(paths, ID)
+    named = nodes.attached(numbered, entries, ID).unionByName(numbered.join(entries.select("surface"), "surface", "left_anti").withColumns({"pos": F.lit("unknown"), "pos_id": F.lit(15)}))
+    none = {n: F.lit(None).cast("string") for n in ("subpos", "conjtype", "conjform", "features", "canonical", "base", "reading")} | {f"{n}_id": F.lit(0) for n in ("subpos", "conjtype", "conjform")} | {"flags": F.lit(0)}
+    return formats.lattice_text(named.withColumns(none), paths.select(*ID, "rank", "score"), ID)
+
+
+def _dump(spark, sf_dir):
+    return search.dumped(_lattices(spark, sf_dir), ID, beam=3, global_beam=6)
+
+
+@query()
+def lattice_dump(spark, sf_dir):
+    """How many connections each sentence keeps, and what they score."""
+    return _dump(spark, sf_dir).groupBy(*ID).agg(F.count("*").alias("kept"), F.countDistinct("start", "end").alias("nodes"), F.sum("total").alias("total"), F.count_if("best").alias("best"))
+
+
+@query()
+def beam_positions(spark, sf_dir):
+    return search.beam_positions(_dump(spark, sf_dir), ID)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -302,17 +302,18 @@ def beam_search(x: Lattices, weights, beam: int = BEAM, keep: int = 1, global_be
     return made
 
 
-def n_best(lattices: DataFrame, ids: list[str], keep: int = 3, beam: int = BEAM, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, weights=synthetic_weight, bits: int = WEIGHT_BITS, bonus=None, more: list[str] | None = None, details: bool = False) -> DataFrame:
+def n_best(lattices: DataFrame, ids: list[str], keep: int = 3, beam: int = BEAM, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, weights=synthetic_weight, bits: int = WEIGHT_BITS, bonus=None, more: list[str] | None = None, fields: tuple[str, ...] = (), details: bool = False) -> DataFrame:
     """(<ids>, rank, score, pos, start, end, surface) of each sentence's best paths.
 
-    bonus: (batch, lattices) -> a bonus as beam_search takes it; more: columns that it reads.
+    bonus: (batch, lattices) -> a bonus as beam_search takes it; more: columns, and fields of
+    edges, that it reads.
     details: also what each node's connection has: own, its score without what came before;
     left_start and left_end, the node before (-1 and 0 for none); and global_rank, the place that
     what came before had in the global beam."""
 
     def search(batches):
         for batch in batches:
-            for x in read(batch):
+            for x in read(batch, fields):
                 made = beam_search(x, weights, beam, keep, global_beam, right_check, right_beam, bits, bonus(batch, x) if bonus else None)
                 parts = list(made.paths(keep))
                 if not parts:
@@ -385,6 +386,30 @@ def path_nodes(paths: DataFrame, ids: list[str]) -> DataFrame:
     return joined.withColumn("node", F.row_number().over(Window.partitionBy(*ids).orderBy("start", "end")))
 
 
+def numbered_nodes(paths: DataFrame, ids: list[str]) -> DataFrame:
+    """(<ids>, node, before, start, end, surface, own, ranks) of paths with their details: the nodes of
+    the best paths, numbered from 1 by start and end; before: the numbers of those that they
+    follow on a path, 0 for a sentence's start, joined by `;`; own: the best score that a
+    connection to it has by itself; ranks: those of its paths."""
+    keys = [*ids, "start", "end"]
+    each = paths.groupBy(*keys, "surface").agg(F.max("own").alias("own"), F.array_join(F.array_sort(F.collect_set("rank")), ";").alias("ranks"))
+    each = each.withColumn("node", F.row_number().over(Window.partitionBy(*ids).orderBy("start", "end")))
+    links = paths.select(*keys, "left_start", "left_end").distinct()
+    left = each.select(*ids, F.col("start").alias("left_start"), F.col("end").alias("left_end"), F.col("node").alias("left"))
+    before = links.join(left, [*ids, "left_start", "left_end"], "left").groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("left", F.lit(0)))), ";").alias("before"))
+    return each.join(before, keys).select(*ids, "node", "before", "start", "end", "surface", "own", "ranks")
+
+
+def beam_positions(dump: DataFrame, ids: list[str]) -> DataFrame:
+    """(<ids>, boundary, surface, position, score, leader, leader_score) of dumped(): where each node of
+    the best path stood among all connections that end where it does, from 0, and which one led."""
+    path = dump.where("best and left_end > 0").select(*ids, F.col("start").alias("boundary"), F.col("left_start").alias("start"), F.col("left_end").alias("end"), F.col("left_place").alias("place"), (F.col("global_rank") - 1).alias("position"))
+    own = path.join(dump.select(*ids, "start", "end", "place", "surface", F.col("total").alias("score")), [*ids, "start", "end", "place"])
+    top = F.max_by(F.struct("surface", "total"), F.struct("total", "start", -F.col("place"))).alias("t")
+    leaders = dump.groupBy(*ids, F.col("end").alias("boundary")).agg(top).select(*ids, "boundary", F.col("t.surface").alias("leader"), F.col("t.total").alias("leader_score"))
+    return own.join(leaders, [*ids, "boundary"]).select(*ids, "boundary", "surface", "position", "score", "leader", "leader_score")
+
+
 def path_differences(a: DataFrame, b: DataFrame, ids: list[str]) -> DataFrame:
     """Spans that only one of two segmentations has: (<ids>, start, end, side)."""
     keys = [*ids, "start", "end"]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,10 +32,18 @@ def tokens(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "sent", F.posexplode(F.arrays_zip("w", "e")).alias("pos", "t")).select("doc_id", "sent", "pos", (F.col("t.e") - F.length("t.w")).alias("start"), F.col("t.e").alias("end"), F.col("t.w").alias("surface"))
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _running_ends(words: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.utf8_length(words.flatten()), 0).to_numpy().astype(np.int64)
+    offsets = words.offsets.to_numpy() - (words.offsets[0].as_py() if len(words.offsets) else 0)
+    sums = np.concatenate(([0], sizes.cumsum()))
+    ends = sums[1:] - np.repeat(sums[offsets[:-1]], np.diff(offsets))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ends.astype(np.int32)))
+
+
 def running_ends(words: str) -> Column:
-    """Ends of words that follow one another, as array<int>: lengths are summed by a fold whose
-    state is the list so far."""
-    return F.aggregate(words, F.array().cast("array<int>"), lambda a, w: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + F.length(w))))
+    """Ends of words that follow one another, as array<int>; null has none."""
+    return _running_ends(F.coalesce(F.col(words), F.array().cast("array<string>")))
 
 
 def gold_tokens(lines: DataFrame, fields: list[str], separator: str = "_") -> DataFrame:
