@@ -186,7 +186,9 @@ def onomatopoeia(spark, sf_dir):
     return seeds.onomatopoeia(unsegmented(spark, sf_dir), none, ID, "ALPH").groupBy("doc_id", "surface").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"WITH {BARE}, c AS (SELECT doc_id, sent, regexp_replace(text || ' ', ',([0-9]{{3}}[^0-9])', chr(1) || '\\1', 'g') AS t FROM bare WHERE text <> ''), m AS (SELECT doc_id, regexp_replace(t, ',([0-9]{{3}}[^0-9])', chr(1) || '\\1', 'g') AS t FROM c), n AS (SELECT doc_id, replace(regexp_extract(substring(t, s, 257), '^[0-9]+(?:\\x01[0-9]{{3}})*'), chr(1), ',') AS surface FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS s FROM m) WHERE t[s] BETWEEN '0' AND '9') SELECT doc_id, surface, count(*) AS n FROM n GROUP BY ALL"
+)
 def numbers(spark, sf_dir):
     return seeds.numbers(unsegmented(spark, sf_dir), ID).groupBy("doc_id", "surface").agg(F.count("*").alias("n"))
 
@@ -236,12 +238,22 @@ def _lattices(spark, sf_dir):
     return trie.with_edges(u, words(spark, sf_dir), ID)
 
 
-@query()
+#: The cheapest paths: a fold over a sentence's ends keeps the costs so far and where each came
+#: from; a second one goes back from its end.
+BEST = f"""{BARE}, {WORDS}, {HITS}, into_ AS (SELECT doc_id, sent, "end" AS e, list(start) AS s FROM hits GROUP BY ALL),
+ends AS (SELECT b.doc_id, b.sent, b.text, list({{'c': coalesce(i.s, []::INTEGER[])::BIGINT[], 'b': []::BIGINT[]}} ORDER BY g.e) AS ins FROM (SELECT *, unnest(range(1, length(text) + 1)) AS e FROM bare WHERE text <> '') g JOIN bare b USING (doc_id, sent) LEFT JOIN into_ i ON i.doc_id = g.doc_id AND i.sent = g.sent AND i.e = g.e GROUP BY ALL),
+folded AS (SELECT doc_id, sent, text, list_reduce(list_prepend({{'c': [0]::BIGINT[], 'b': [0]::BIGINT[]}}, ins), lambda a, x: {{'c': list_append(a.c, list_min(list_append(list_transform(x.c, lambda s: (a.c[s + 1] + {search.WORD_COST}) * 1000000 + s), (a.c[-1] + {search.OTHER_COST}) * 1000000 + len(a.c) - 1)) // 1000000), 'b': list_append(a.b, list_min(list_append(list_transform(x.c, lambda s: (a.c[s + 1] + {search.WORD_COST}) * 1000000 + s), (a.c[-1] + {search.OTHER_COST}) * 1000000 + len(a.c) - 1)) % 1000000)}}).b AS b FROM ends),
+back AS (SELECT doc_id, sent, text, list_reduce(list_prepend([len(b) - 1, b[-1]], list_transform(list_reverse(range(1, len(b) - 1)), lambda p: [p, b[p + 1]])), lambda acc, x: CASE WHEN acc[-1] = x[1] THEN list_append(acc, x[2]) ELSE acc END) AS cuts FROM folded),
+tokens AS (SELECT doc_id, sent, (len(cuts) - 1 - k)::INTEGER AS pos, cuts[k + 1]::INTEGER AS start, cuts[k]::INTEGER AS "end", text[cuts[k + 1] + 1:cuts[k]] AS surface FROM (SELECT *, unnest(range(1, len(cuts))) AS k FROM back)),
+segments AS (SELECT t.*, CASE WHEN w.surface IS NULL THEN 'unk' ELSE 'dic' END AS kind FROM tokens t LEFT JOIN words w ON w.surface = t.surface)"""
+
+
+@query(f'WITH {BEST} SELECT doc_id, sent, pos, start, "end", surface, kind FROM segments')
 def segment(spark, sf_dir):
     return search.segment(_lattices(spark, sf_dir), ID)
 
 
-@query()
+@query(f"WITH {BEST} SELECT doc_id, sent, string_agg(surface, ' ' ORDER BY pos) AS out FROM segments GROUP BY doc_id, sent")
 def segmented_lines(spark, sf_dir):
     return formats.segmented(search.segment(_lattices(spark, sf_dir), ID), ID)
 

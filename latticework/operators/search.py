@@ -17,6 +17,8 @@ from latticework.operators.trie import schema_of, texts_of
 WORD_COST, OTHER_COST = 1, 10
 BEAM, GLOBAL_BEAM, RIGHT_CHECK, RIGHT_BEAM = 5, 6, 1, 5
 WEIGHT_BITS = 20
+#: So few sentences at a boundary are searched one by one.
+FEW = 3
 
 
 #: The type of a lattice's column of edges.
@@ -254,6 +256,31 @@ def beam_search(x: Lattices, weights, beam: int = BEAM, keep: int = 1, global_be
     made = Beams(row, start, end, code, source, *(np.zeros((len(row), many), k) for k in (kind, np.int64, np.int64, np.int64)), np.zeros(len(row), np.int64))
     first = np.nonzero(source == -1)[0]
     made.kept[first], made.left[first, 0] = 1, first
+    lowest = np.iinfo(kind).min + 1 if kind.kind == "i" else -np.inf
+
+    def one(rights: np.ndarray, left: np.ndarray, place: np.ndarray, total: np.ndarray) -> None:
+        """A boundary of one sentence: what is done below for many, with less to arrange."""
+        if global_beam:
+            order = np.lexsort((place, -left, -total))
+            made.rank[left[order], place[order]] = np.arange(1, len(order) + 1)
+            order = order[:global_beam]
+            left, place, total = left[order], place[order], total[order]
+        t1, t2 = code[left], code[made.left[left, place]]
+        two = weights((mix(states[1][rights][:, None], t1) & mask).astype(np.int64))
+        three = weights((mix(mix(states[2][rights][:, None], t1), t2) & mask).astype(np.int64))
+        score = (own_score[rights][:, None] + two + three) + total + extra[rights][:, None]
+        kept = np.full(len(rights), min(len(left), many))
+        if right_check and right_beam and len(rights) > right_beam:
+            rest = np.lexsort((-np.arange(len(rights)), -score[:, :right_check].max(axis=1)))[right_beam:]
+            score[rest, max(1, right_check) :] = lowest
+            kept[rest] = np.minimum(kept[rest], max(1, right_check))
+        columns = np.lexsort((place, -left))
+        best = columns[np.argsort(-score[:, columns], axis=1, kind="stable")[:, :many]]
+        wide = best.shape[1]
+        made.score[rights, :wide] = np.take_along_axis(score, best, axis=1)
+        made.left[rights, :wide], made.place[rights, :wide] = left[best], place[best]
+        made.kept[rights] = kept
+
     longest = int(x.sizes.max(initial=0))
     by_start, by_end = np.argsort(start, kind="stable"), np.argsort(end, kind="stable")
     starting, ending = (np.searchsorted(of, np.arange(longest + 2)) for of in (start[by_start], end[by_end]))
@@ -265,40 +292,58 @@ def beam_search(x: Lattices, weights, beam: int = BEAM, keep: int = 1, global_be
         left = np.repeat(nodes, times)
         place = np.arange(len(left)) - np.repeat(times.cumsum() - times, times)
         of, total = row[left], made.score[left, place]
+        if not len(left):
+            continue
+        cuts = [0, *(np.nonzero(of[1:] != of[:-1])[0] + 1).tolist(), len(left)] if of[0] != of[-1] else [0, len(left)]
+        if len(cuts) <= FEW + 1:
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                low, high = np.searchsorted(row[rights], of[a]), np.searchsorted(row[rights], of[a], side="right")
+                one(rights[low:high], left[a:z], place[a:z], total[a:z])
+            continue
         if global_beam:
             order = np.lexsort((place, -left, -total, of))
             left, place, of, total = left[order], place[order], of[order], total[order]
             at = places(of)
             made.rank[left, place] = at + 1
             some = at < global_beam
-            left, place, of, total = left[some], place[some], of[some], total[some]
-        low, high = np.searchsorted(of, row[rights]), np.searchsorted(of, row[rights], side="right")
-        width = high - low
-        right = np.repeat(np.arange(len(rights)), width)
-        within = np.arange(len(right)) - np.repeat(width.cumsum() - width, width)
-        via, to = low[right] + within, rights[right]
-        t1 = code[left]
-        t2 = code[made.left[left, place]]
-        two = weights((mix(states[1][to], t1[via]) & mask).astype(np.int64))
-        three = weights((mix(mix(states[2][to], t1[via]), t2[via]) & mask).astype(np.int64))
-        score = (own_score[to] + two + three) + total[via] + extra[to]
+            left, place, of, total, at = left[some], place[some], of[some], total[some], at[some]
+        else:
+            at = places(of)
+        # A line for each sentence, a column for each of its connections; then a line for each right.
+        line = np.cumsum(at == 0) - 1
+        wide = int(at.max()) + 1
+        table = np.full((line[-1] + 1, wide), -1)
+        table[line, at] = np.arange(len(left))
+        own = np.searchsorted(of[at == 0], row[rights])
+        found = (own <= line[-1]) & (of[at == 0][np.minimum(own, line[-1])] == row[rights])
+        rights, own = rights[found], own[found]
+        via = table[own]
+        none = via < 0
+        t1, t2 = code[left][via], code[made.left[left, place]][via]
+        two = weights((mix(states[1][rights][:, None], t1) & mask).astype(np.int64))
+        three = weights((mix(mix(states[2][rights][:, None], t1), t2) & mask).astype(np.int64))
+        score = (own_score[rights][:, None] + two + three) + total[via] + extra[rights][:, None]
+        score[none] = lowest
+        kept = wide - none.sum(axis=1)
         if right_check and right_beam:
-            beside = np.bincount(row[rights], minlength=n)[row[rights]]
-            tried = np.full(len(rights), np.iinfo(kind).min if kind.kind == "i" else -np.inf, kind)
-            early = within < right_check
-            np.maximum.at(tried, right[early], score[early])
-            order = np.lexsort((-np.arange(len(rights)), -tried, row[rights]))
+            beside = np.bincount(own)[own]
+            order = np.lexsort((-np.arange(len(rights)), -score[:, :right_check].max(axis=1), own))
             standing = np.empty(len(rights), np.int64)
-            standing[order] = places(row[rights][order])
-            some = (beside <= right_beam)[right] | (standing < right_beam)[right] | (within < max(1, right_check))
-            right, via, to, score = right[some], via[some], to[some], score[some]
-        order = np.lexsort((place[via], -left[via], -score, right))
-        right, via, to, score = right[order], via[order], to[order], score[order]
-        at = places(right)
-        some = at < many
-        at, via, to = at[some], via[some], to[some]
-        made.score[to, at], made.left[to, at], made.place[to, at] = score[some], left[via], place[via]
-        made.kept[rights] = np.minimum(np.bincount(right, minlength=len(rights)), many)
+            standing[order] = places(own[order])
+            rest = (beside > right_beam) & (standing >= right_beam)
+            score[rest, max(1, right_check) :] = lowest
+            kept[rest] = np.minimum(kept[rest], max(1, right_check))
+        # Columns in the order of ties: the later left first, then its better connection.
+        order = np.lexsort((place, -left, of))
+        ties = np.tile(np.arange(wide), (len(table), 1))
+        ties[line, at] = at[order]
+        columns = ties[own]
+        best = np.argsort(-np.take_along_axis(score, columns, axis=1), axis=1, kind="stable")[:, :many]
+        best = np.take_along_axis(columns, best, axis=1)
+        via, wide = np.take_along_axis(via, best, axis=1), best.shape[1]
+        made.score[rights, :wide] = np.take_along_axis(score, best, axis=1)
+        made.left[rights, :wide], made.place[rights, :wide] = left[via], place[via]
+        made.kept[rights] = np.minimum(kept, many)
     return made
 
 
