@@ -381,14 +381,19 @@ def n_best(lattices: DataFrame, ids: list[str], keep: int = 3, beam: int = BEAM,
     return dealt(lattices.select(*ids, "text", "edges", *(more or [])), ids).mapInArrow(search, f"{schema_of(lattices, ids)}, rank int, score long, pos int, start int, end int, surface string{extra}")
 
 
-def dumped(lattices: DataFrame, ids: list[str], beam: int = BEAM, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, weights=synthetic_weight, bits: int = WEIGHT_BITS) -> DataFrame:
+def dumped(lattices: DataFrame, ids: list[str], beam: int = BEAM, global_beam: int = 0, right_check: int = 0, right_beam: int = 0, weights=synthetic_weight, bits: int = WEIGHT_BITS, judge=None, more: list[str] | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
     """(<ids>, start, end, surface, place, total, left_start, left_end, left_place, global_rank, best):
     every connection that every node keeps, from place 1 on; best: it is on the best path. The
-    end of a sentence is a node behind its last character."""
+    end of a sentence is a node behind its last character.
+
+    judge: (batch, lattices) -> a function of nodes as violations() has it, which reads the columns
+    `more` and the fields of edges. Then there are also kind and break_at, what it tells of the
+    node; valid, whether neither the node nor the two before it break anything; and code,
+    left_code and left2_code, the numbers of the three."""
 
     def search(batches):
         for batch in batches:
-            for x in read(batch):
+            for x in read(batch, fields):
                 made = beam_search(x, weights, beam, 1, global_beam, right_check, right_beam, bits)
                 best = np.zeros(made.score.shape, bool)
                 for _, _, node, place in made.paths(1):
@@ -397,9 +402,17 @@ def dumped(lattices: DataFrame, ids: list[str], beam: int = BEAM, global_beam: i
                 row, start, end, left, before = made.row[node], made.start[node], made.end[node], made.left[node, place], made.place[node, place]
                 narrow = lambda k: pa.array(k.astype(np.int32))
                 columns = [*taken(batch, ids, row + x.low), narrow(start), narrow(end), surfaces(x, row, start, np.where(made.source[node] == -2, start, end)), narrow(place + 1), pa.array(np.trunc(made.score[node, place]).astype(np.int64)), narrow(made.start[left]), narrow(made.end[left]), narrow(before + 1), narrow(made.rank[left, before]), pa.array(best[node, place])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*ids, "start", "end", "surface", "place", "total", "left_start", "left_end", "left_place", "global_rank", "best"])
-
-    return dealt(lattices.select(*ids, "text", "edges"), ids).mapInArrow(search, f"{schema_of(lattices, ids)}, start int, end int, surface string, place int, total long, left_start int, left_end int, left_place int, global_rank int, best boolean")
+                if judge:
+                    inner = (made.source >= 0) | (made.source == -3)
+                    kind, at = np.zeros(len(made.row), np.int64), np.full(len(made.row), -1)
+                    kind[inner], at[inner] = judge(batch, x)(made.row[inner], made.start[inner], made.end[inner], made.source[inner])
+                    left2 = made.left[left, before]
+                    columns += [narrow(kind[node]), narrow(at[node]), pa.array((kind[node] == 0) & (kind[left] == 0) & (kind[left2] == 0)), *(pa.array(made.code[k]) for k in (node, left, left2))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*ids, "start", "end", "surface", "place", "total", "left_start", "left_end", "left_place", "global_rank", "best", *judged])
+
+    judged = ["kind", "break_at", "valid", "code", "left_code", "left2_code"] if judge else []
+    extra = ", kind int, break_at int, valid boolean, code long, left_code long, left2_code long" if judge else ""
+    return dealt(lattices.select(*ids, "text", "edges", *(more or [])), ids).mapInArrow(search, f"{schema_of(lattices, ids)}, start int, end int, surface string, place int, total long, left_start int, left_end int, left_place int, global_rank int, best boolean{extra}")
 
 
 def beam_sizes(length: Column, base: int = BEAM, step: int = 20, most: int = 15) -> Column:
