@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import chars, hashing, kana
 from latticework.operators import dictionary, evaluation, formats, learning, nodes, search, seeds, trie
-from latticework.plans import candidates, constrained
+from latticework.plans import candidates, constrained, partial_training
 from latticework.sources import dictionary as dic_source
 from latticework.sources import text as source
 
@@ -652,6 +652,13 @@ def constrained_paths(spark, sf_dir):
     return constrained.constrained_paths(partial_lines(spark, sf_dir), sized_words(spark, sf_dir), ID, ("size",), keep=1, beam=3, global_beam=6)
 
 
+@query()
+def partial_contrasts(spark, sf_dir):
+    """What learning from the partial annotations of each line would add to which features."""
+    made = constrained.lattices(partial_lines(spark, sf_dir), sized_words(spark, sf_dir), ID, ("size",))
+    return partial_training.contrasts(partial_training.judged(made, ID, ("size",), beam=3, global_beam=6), ID)
+
+
 @query()
 def lattice_text(spark, sf_dir):
     """The nodes of the two best paths in 18 columns, with the fields of their words."""

@@ -13,6 +13,7 @@ def encode(values: DataFrame, value: str = "value") -> DataFrame:
     counted = values.where(F.col(value) != "").groupBy(F.col(value).alias("value")).count()
     ordered = counted.orderBy(F.desc("count"), "value").withColumn("at", F.monotonically_increasing_id())
     ordered = ordered.select("value", "count", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("own"))
+    ordered = ordered.persist()  # sizes and numbers must be of the same partitions
     sizes = ordered.groupBy("part").agg((F.max("own") + 1).alias("rows"))
     before = sizes.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
     return ordered.join(before, "part").select("value", "count", (F.col("before") + F.col("own") + 1).alias("id"))
@@ -49,8 +50,9 @@ def field_ids(tokens: DataFrame, known: DataFrame, field: str) -> DataFrame:
 
 
 def with_ids(rows: DataFrame, table: DataFrame, name: str, id_name: str) -> DataFrame:
-    """rows with the number that a small table (<name>, id) has for their name, 0 if it has none."""
-    return rows.join(F.broadcast(table.select(name, F.col("id").alias(id_name))), name, "left").fillna(0, [id_name])
+    """rows with the number that a table (<name>, id) has for their name, 0 if it has none. Spark
+    sends the table to all tasks if it is small enough."""
+    return rows.join(table.select(name, F.col("id").alias(id_name)), name, "left").fillna(0, [id_name])
 
 
 def prefixes(words: DataFrame, word: str = "surface") -> DataFrame:

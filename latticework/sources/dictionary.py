@@ -18,13 +18,20 @@ def text_field(raw: Column, empty: str = "") -> Column:
 
 
 def int_field(raw: Column) -> Column:
-    """Figures without a sign as an int, 0 if there are none; anything else is an error."""
-    return F.when(raw == "", 0).when(raw.rlike("^[0-9]+$"), raw.try_cast("int")).otherwise(F.raise_error(F.concat(F.lit("not a number: "), raw)).cast("int"))
+    """Figures without a sign as an int, 0 if there are none; anything else, and a number past an
+    int, is an error."""
+    wrong = F.raise_error(F.concat(F.lit("not a number: "), raw)).cast("int")
+    return F.when(raw == "", 0).when(raw.rlike("^[0-9]+$"), F.coalesce(raw.try_cast("int"), wrong)).otherwise(wrong)
+
+
+def quoted(separator: str) -> str:
+    """A separator as a pattern that means just its characters."""
+    return "".join(f"[{c}]" if c not in "^\\[]&" else f"\\{c}" for c in separator)
 
 
 def list_field(raw: Column, separator: str = " ") -> Column:
     """Distinct values in order; the order of input doesn't count."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(raw, separator), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.split(raw, quoted(separator)), lambda x: x != "")))
 
 
 def entries(lines: DataFrame, fields: dict[str, tuple[int, str]], row_no: str = "row_no", line: str = "line", empty: str = "") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from latticework.sources.dictionary import quoted
+
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sent, text): the lines of each text."""
@@ -51,7 +53,7 @@ def gold_tokens(lines: DataFrame, fields: list[str], separator: str = "_") -> Da
     fields by separator. A token with too few fields has nulls for the rest."""
     body, comment = F.split("text", " # ", 2), F.get(F.split("text", " # ", 2), F.lit(1))
     rows = lines.select("doc_id", "sent", comment.alias("comment"), F.posexplode(F.filter(F.split(F.get(body, F.lit(0)), " "), lambda w: w != "")).alias("pos", "token"))
-    parts = F.split("token", separator)
+    parts = F.split("token", quoted(separator))
     return rows.select("doc_id", "sent", "comment", "pos", *[F.get(parts, F.lit(i)).alias(f) for i, f in enumerate(fields)])
 
 
@@ -102,5 +104,5 @@ def within(line: Column, start: Column) -> Column:
 
 def key_values(text: Column, separator: str = " ", colon: str = ":") -> Column:
     """array<struct<k, v>> of a key[:value] list; keys may repeat, a missing value is null."""
-    items = F.filter(F.split(text, separator), lambda x: x != "")
+    items = F.filter(F.split(text, quoted(separator)), lambda x: x != "")
     return F.transform(items, lambda x: F.struct(F.substring_index(x, colon, 1).alias("k"), F.when(F.locate(colon, x) > 0, F.substring(x, F.locate(colon, x) + len(colon), F.length(x))).alias("v")))

@@ -1,7 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from latticework.operators import evaluation, learning
 from latticework.operators.dictionary import field_ids
+from latticework.sources import dictionary as source
+from latticework.sources import text
 from latticework.sources.dictionary import entries
 
 FIELDS = {"surface": (1, "string"), "n": (3, "int"), "kinds": (2, "list")}
@@ -45,3 +48,16 @@ def test_unknown_values_have_ids_below_zero(spark):
 def test_annealed_beam():
     sizes = [learning.annealed_beam(r, 30, 6) for r in (0, 0.25, 0.5, 0.75, 1)]
     assert sizes[0] == 30 and sizes[-1] == 6 and sizes == sorted(sizes, reverse=True)
+
+
+@pytest.mark.parametrize("separator", [".", "|", "||", "^", "\\", "[", "]", "&", "a", " "])
+def test_separators_are_no_patterns(spark, separator):
+    df = spark.createDataFrame([(separator.join(["x1", "y2", "x1", "z3"]),)], "t string")
+    assert df.select(source.list_field(F.col("t"), separator)).first()[0] == ["x1", "y2", "z3"]
+    assert [x.k for x in df.select(text.key_values(F.col("t"), separator)).first()[0]] == ["x1", "y2", "x1", "z3"]
+
+
+def test_a_number_past_an_int_is_an_error(spark):
+    df = spark.createDataFrame([("99999999999",)], "t string")
+    with pytest.raises(Exception, match="not a number"):
+        df.select(source.int_field(F.col("t"))).collect()
