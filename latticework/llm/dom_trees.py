@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What is learned from: so many pages, of each so many characters at most, and so many layouts made of their blocks.
-SAMPLE, SAMPLE_CHARS, LAYOUTS = 200, 200_000, 700
+SAMPLE, SAMPLE_CHARS, LAYOUTS = 200, 200_000, 1000
 #: Trees, their depth and rate, steps of a number's scale, penalty on leaves, seed.
-TREES, DEPTH, RATE, STEPS, PENALTY, SEED = 64, 5, 0.25, 24, 2.0, 11
+TREES, DEPTH, RATE, STEPS, PENALTY, SEED = 80, 5, 0.25, 24, 2.0, 11
 #: A page of more nodes weighs as much as one of so many.
 ALIKE = 60
 #: Attribute tokens and tags that are features of a node, and of what it stands in.
@@ -360,7 +360,7 @@ def layout(rnd: random.Random, blocks: list[str]) -> str:
     link = lambda: f'<a href="/{rnd.randint(1, 99)}">{text(1, 5)}</a>'
     listed = lambda n: "<ul>" + "".join(f"<li>{link()}{rnd.choice(('', '</li>'))}" for _ in range(n)) + "</ul>"
     heading = lambda: rnd.choice(("", f"<h3>{text(1, 3)}</h3>", f"<h2>{text(1, 4)}</h2>"))
-    form = lambda: box("form", "form div section", f"{rnd.choice((text(1, 12), f'<p>{text(2, 15)}</p>', f'<label>{text(1, 3)}</label>'))}<input name=q>{rnd.choice(('', '<button>Go</button>', '<input type=submit>'))}", True)
+    form = lambda: box("form", "form div section", f"{rnd.choice((text(1, 12), f'<p>{text(2, 15)}</p>', f'<label>{text(1, 3)}</label>', f'<label>{text(1, 2)}</label><input name=m><label>{text(1, 2)}</label>', f'<div><label>{text(1, 2)}</label></div>'))}<input name=q>{rnd.choice(('', '<button>Go</button>', '<input type=submit>'))}", True)
     ad = lambda: box("ad", "div div section aside p", rnd.choice((text(2, 20), f"<p>{text(2, 25)}</p>", f"{link()} {text(1, 9)}", f"<img src=x>{text(2, 9)}")), True)
     notice = lambda: box("notice", "div div section p aside", rnd.choice((text(3, 30), f"<p>{text(3, 30)}</p>{link()}", f"<p>{text(3, 25)}</p><button>OK</button>")), True)
     share = lambda: box("share", "div ul section", "".join(f"<li>{link()}</li>" for _ in range(rnd.randint(2, 5))), True)
@@ -406,11 +406,16 @@ def layout(rnd: random.Random, blocks: list[str]) -> str:
                 out.append(rnd.choice((f"<p><b>{said}<br>", f"<p>{said}", f"<p>{said} {link()} {text(1, 9)}</p>")))
             if rnd.random() < 0.12:
                 out.append(rnd.choice((ad, share, side, form, notice))())
+        if rnd.random() < 0.15:
+            out.append(box("footer", "footer footer div", rnd.choice((f"{text(1, 3)} {link()}", f"<span>{text(1, 4)}</span>", f"<p>{text(2, 9)}</p>", listed(2)))))
         inner = "".join(out)
         if rnd.random() < 0.3:
             inner = f"<div>{inner}</div>"
-        made = box("main", "article article main div div section td", inner)
-        return f"<table><tr>{made}</tr></table>" if made.startswith("<td") else made
+        made = box("main", "article article main main div div section td", inner)
+        if not made.startswith("<td"):
+            return made
+        cells = [box("nav", "td", " ".join(link() for _ in range(rnd.randint(2, 6))), True)] * (rnd.random() < 0.5) + [made] + [box("side", "td", text(3, 30), True)] * (rnd.random() < 0.5)
+        return f"<table><tr>{''.join(cells)}</tr></table>"
 
     parts = []
     for chance, part in ((0.5, lambda: box("header", "header div", rnd.choice((text(1, 4), f"<h1>{text(1, 4)}</h1>", f"<p>{text(1, 8)}</p>", nav(), f"{link()}{form()}")))), (0.75, nav), (0.25, notice), (0.4, ad), (0.25, side)):
