@@ -138,10 +138,11 @@ def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts]))), codes
 
 
-def blocks(words: DataFrame, word: str = "surface") -> Iterator["Block"]:
+def blocks(words: DataFrame, word: str = "surface", fields: tuple[str, ...] = ()) -> Iterator[Block]:
     """The distinct words in blocks, one at a time on the driver: all words of some first characters,
-    BLOCK characters at most where more than one first character is in it."""
-    rows = words.select(F.col(word).alias("w")).where("w <> ''").distinct()
+    BLOCK characters at most where more than one first character is in it. Of the rows of a
+    word one tells its fields."""
+    rows = words.select(F.col(word).alias("w"), *fields).where("w <> ''").dropDuplicates(["w"])
     first = F.substring("w", 1, 1)
     parts, size = [[]], 0
     for r in rows.groupBy(first.alias("c")).agg(F.sum(F.length("w")).alias("n")).orderBy("c").collect():  # a row a character
@@ -154,17 +155,19 @@ def blocks(words: DataFrame, word: str = "surface") -> Iterator["Block"]:
         block = rows if len(parts) == 1 else rows.where(first.isin(part))
         elsewhere = sorted(ord(c) for other in parts if other is not part for c in other)
         own = None if part is parts[0] else np.array(sorted(map(ord, part)), np.int64)
-        yield Block(Trie(sorted(block.toPandas().w)), own, np.array(elsewhere, np.int64))
+        found = block.toPandas().sort_values("w")
+        yield Block(Trie(found.w.tolist()), own, np.array(elsewhere, np.int64), {f: pa.array(found[f], pa.string()) for f in fields})
 
 
 @dataclass
 class Block:
     """The trie of a block, its first characters (None for the first block, which has all that no
-    other block has), and those of the others."""
+    other block has), those of the others, and fields of the words in their order."""
 
     trie: Trie
     own: np.ndarray | None
     others: np.ndarray
+    fields: dict[str, pa.Array]
 
     def mine(self, codes: np.ndarray) -> np.ndarray:
         """Which characters begin words that are for this block to tell."""
@@ -209,33 +212,36 @@ def lookup(sentences: DataFrame, words: DataFrame, ids: list[str], text: str = "
     return out
 
 
-def with_edges(sentences: DataFrame, words: DataFrame, ids: list[str], text: str = "text", word: str = "surface") -> DataFrame:
-    """(<ids>, text, edges array<struct<start, end>>): sentences with their dictionary words by start
-    and end, found where the sentences are. A sentence without any has an empty list."""
+def with_edges(sentences: DataFrame, words: DataFrame, ids: list[str], text: str = "text", word: str = "surface", fields: tuple[str, ...] = ()) -> DataFrame:
+    """(<ids>, text, edges array<struct<start, end, <fields>>>): sentences with their dictionary words by
+    start and end, found where the sentences are, and fields of the words as strings. A sentence
+    without any has an empty list."""
     out = sentences.select(*ids, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    for k, block in enumerate(blocks(words, word)):
+    for k, block in enumerate(blocks(words, word, fields)):
         out = _listed(out, block, ids, k)
     return out
 
 
 def _listed(sentences: DataFrame, block: Block, ids: list[str], nth: int) -> DataFrame:
     shared = sentences.sparkSession.sparkContext.broadcast(block)
+    names = ["start", "end", *block.fields]
 
     def each(batches):
-        trie = shared.value.trie
+        trie, told = shared.value.trie, shared.value.fields
         for batch in batches:
             for low, begins, codes in texts_of(batch, "text"):
-                start, end, _ = trie.walk(codes)
+                start, end, word = trie.walk(codes)
                 row = np.searchsorted(begins, start, side="right") - 1
                 order = np.lexsort((end, start))
-                start, end, row = (start - begins[row])[order], (end - begins[row])[order], row[order]
+                start, end, row, word = (start - begins[row])[order], (end - begins[row])[order], row[order], pa.array(word[order])
                 n = len(begins) - 1
                 offsets = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
-                items = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["start", "end"])
+                items = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), *(of.take(word) for of in told.values())], names=names)
                 part = batch.slice(low, n)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, items)], names=[*part.schema.names, "found"])
 
-    kept = ", edges array<struct<start:int,end:int>>" if nth else ""
-    listed = sentences.mapInArrow(each, f"{schema_of(sentences, ids)}, text string{kept}, found array<struct<start:int,end:int>>")
+    kind = f"array<struct<start:int,end:int{''.join(f',{f}:string' for f in block.fields)}>>"
+    kept = f", edges {kind}" if nth else ""
+    listed = sentences.mapInArrow(each, f"{schema_of(sentences, ids)}, text string{kept}, found {kind}")
     edges = F.array_sort(F.array_union("edges", "found")) if nth else F.col("found")
     return listed.select(*ids, "text", edges.alias("edges"))
