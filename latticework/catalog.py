@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import chars, hashing, kana
 from latticework.operators import dictionary, evaluation, formats, learning, nodes, search, seeds, trie
-from latticework.plans import candidates, constrained, partial_training
+from latticework.plans import candidates, constrained, differences, partial_training
 from latticework.sources import dictionary as dic_source
 from latticework.sources import text as source
 
@@ -652,6 +652,29 @@ def constrained_paths(spark, sf_dir):
     return constrained.constrained_paths(partial_lines(spark, sf_dir), sized_words(spark, sf_dir), ID, ("size",), keep=1, beam=3, global_beam=6)
 
 
+_full = "surface || CASE WHEN kind <> surface THEN chr(9) || 'kind:' || kind ELSE '' END"
+
+
+@query(
+    f"WITH {GOLD}, {OTHER}, a AS (SELECT *, {KIND_SQL} AS kind, sum(length(surface) * length(surface)) OVER (PARTITION BY doc_id, sent) AS score FROM other), b AS (SELECT *, {KIND_SQL} AS kind, sum(length(surface) * length(surface)) OVER (PARTITION BY doc_id, sent) AS score FROM gold), e AS (SELECT a.doc_id, a.sent, max(a.score)::BIGINT AS score_a, max(b.score)::BIGINT AS score_b FROM (SELECT DISTINCT doc_id, sent, score FROM a) a JOIN (SELECT DISTINCT doc_id, sent, score FROM b) b USING (doc_id, sent) GROUP BY ALL HAVING max(a.score) > max(b.score)), n AS (SELECT doc_id, sent, start, \"end\", surface, kind, bool_or(s) AS in_a, bool_or(NOT s) AS in_b FROM (SELECT *, true AS s FROM a UNION ALL BY NAME SELECT *, false AS s FROM b) SEMI JOIN e USING (doc_id, sent) GROUP BY ALL), t AS (SELECT *, in_a AND in_b AS eq, CASE WHEN lag(in_a AND in_b) OVER w <> (in_a AND in_b) THEN 1 ELSE 0 END AS turn FROM n WINDOW w AS (PARTITION BY doc_id, sent ORDER BY start, \"end\", kind)), r AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id, sent ORDER BY start, \"end\", kind ROWS UNBOUNDED PRECEDING) AS run FROM t), p AS (SELECT doc_id, sent, run, CASE WHEN bool_and(eq) THEN chr(10) || string_agg(surface, '' ORDER BY start, \"end\") ELSE coalesce(string_agg(chr(10) || chr(9) || {_full}, '' ORDER BY start, \"end\") FILTER (in_a), '') END AS kept, CASE WHEN bool_and(eq) THEN '' ELSE coalesce(string_agg(chr(10) || '# ' || {_full}, '' ORDER BY start, \"end\") FILTER (in_b), '') END AS wrong FROM r GROUP BY ALL) SELECT doc_id, sent, '# scores: ' || score_a || ' ' || score_b || string_agg(wrong, '' ORDER BY run) || chr(10) || '# ' || doc_id || '-' || sent || string_agg(kept, '' ORDER BY run) || chr(10) || chr(10) AS out FROM p JOIN e USING (doc_id, sent) GROUP BY doc_id, sent, score_a, score_b"
+)
+def diff_text(spark, sf_dir):
+    """Where words between changes of kind differ from those between spaces, as partial annotations,
+    for lines in which they are longer; squared lengths stand for scores."""
+    scored = lambda df: df.withColumns({"kind": kind(F.col("surface")), "score": F.sum(F.length("surface").cast("long") * F.length("surface")).over(Window.partitionBy(*ID))})
+    a, b = scored(other(spark, sf_dir)), scored(gold(spark, sf_dir))
+    return differences.rendered(a, b, differences.eligible(a, b, ID), ID, ("kind",))
+
+
+@query()
+def beam_differences(spark, sf_dir):
+    """Lines that a wide beam segments better than a narrow global one, all in dictionary words or
+    single characters."""
+    made = _lattices(spark, sf_dir)
+    wide, narrow = search.n_best(made, ID, keep=1, beam=6), search.n_best(made, ID, keep=1, beam=3, global_beam=3, right_check=1, right_beam=3)
+    return differences.rendered(wide, narrow, differences.eligible(wide, narrow, ID), ID)
+
+
 @query()
 def partial_contrasts(spark, sf_dir):
     """What learning from the partial annotations of each line would add to which features."""
