@@ -193,13 +193,6 @@ def numbers(spark, sf_dir):
     return seeds.numbers(unsegmented(spark, sf_dir), ID).groupBy("doc_id", "surface").agg(F.count("*").alias("n"))
 
 
-@query()
-def kana_normal_forms(spark, sf_dir):
-    """Distinct words of documents written in kana, in normal form."""
-    t = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).groupBy(F.translate("w", *LATIN_KANA).alias("written")).agg(F.count("*").alias("n"))
-    return kana.with_char_lattice(t, "written").select("written", "n", kana.normal_form("lattice").alias("normal"))
-
-
 @query(
     f"WITH {BARE}, {WORDS}, {HITS}, m AS (SELECT doc_id, sent, max(\"end\" - start) AS longest, count(*) AS n FROM hits GROUP BY ALL) SELECT doc_id, sent, length(text) AS size, coalesce(n, 0) AS n_hits, coalesce(longest, 0) AS longest, least(5 + length(text) // 20, 15)::INTEGER AS beam FROM bare LEFT JOIN m USING (doc_id, sent)"
 )
@@ -577,6 +570,15 @@ walk(written, s, i, node, flags, last) AS (SELECT written, i, i, ch, 1, 0 FROM k
 alike AS (SELECT written, (s - 1)::INTEGER AS start, i::INTEGER AS "end", node AS surface, min(flags | last)::INTEGER AS flags FROM walk JOIN kwords ON surface = node WHERE flags <> 1 GROUP BY ALL)"""
 
 
+@query(
+    f"WITH RECURSIVE {WORDS}, {SPELLINGS}, n AS (SELECT translate(w, '{LATIN_KANA[0]}', '{LATIN_KANA[1]}') AS written, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY 1) SELECT written, any_value(n) AS n, string_agg(CASE WHEN gone IS NOT NULL THEN '' ELSE coalesce(a1, a2, ch) END, '' ORDER BY i) AS normal FROM k5 JOIN n USING (written) GROUP BY written"
+)
+def kana_normal_forms(spark, sf_dir):
+    """Distinct words of documents written in kana, in normal form."""
+    t = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).groupBy(F.translate("w", *LATIN_KANA).alias("written")).agg(F.count("*").alias("n"))
+    return kana.with_char_lattice(t, "written").select("written", "n", kana.normal_form("lattice").alias("normal"))
+
+
 @query(f"WITH RECURSIVE {WORDS}, {SPELLINGS} SELECT written, start, \"end\", surface, flags FROM alike")
 def normalized_lookup(spark, sf_dir):
     """Dictionary words that words of documents hold in altered spelling, with the flags of their changes."""

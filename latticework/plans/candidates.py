@@ -8,19 +8,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators import search, seeds, trie
+from latticework.operators import nodes, search, seeds, trie
 
 
 @dataclass(frozen=True)
 class Maker:
     """A maker of unknown words. kind: single, chunk, numeric, onomatopoeia or normalize; classes: of
-    the characters that it takes; price: of its words on a path; low: for the second stage."""
+    the characters that it takes; price: of its words on a path; low: for the second stage. template:
+    fields of a number's template with their values, overlaid those that hold the surface: a
+    number that is a word is made too if no entry of the word agrees with the template."""
 
     name: str
     kind: str
     classes: str = ""
     price: int = search.OTHER_COST
     low: bool = False
+    template: tuple[tuple[str, str], ...] = ()
+    overlaid: tuple[str, ...] = ()
 
 
 def made(maker: Maker, sentences: DataFrame, words: DataFrame, ids: list[str]) -> DataFrame:
@@ -31,7 +35,12 @@ def made(maker: Maker, sentences: DataFrame, words: DataFrame, ids: list[str]) -
     elif maker.kind == "chunk":
         rows = seeds.chunks(sentences, words, ids, maker.classes).withColumnRenamed("not_prefix", "flag")
     elif maker.kind == "numeric":
-        rows = seeds.numbers(sentences, ids, words).where("not_prefix >= 0").withColumnRenamed("not_prefix", "flag")
+        found = seeds.numbers(sentences, ids, words)
+        rows = found.where("not_prefix >= 0")
+        if maker.template:
+            other = nodes.unmatched(found.where("not_prefix < 0"), words, dict(maker.template), list(maker.overlaid))
+            rows = rows.unionByName(other.withColumn("not_prefix", F.lit(0)))
+        rows = rows.withColumnRenamed("not_prefix", "flag")
     elif maker.kind == "onomatopoeia":
         rows = seeds.onomatopoeia(sentences, words, ids, maker.classes).withColumn("flag", F.lit(0))
     elif maker.kind == "normalize":

@@ -105,3 +105,12 @@ def test_two_stages(spark):
     found = {(r.id, r.pos, r.surface, r.maker) for r in search.segment_candidates(made, ID).collect()}
     assert {x for x in found if x[0] < 4} == {(0, 0, "ab", 0), (0, 1, "12", 2), (1, 0, "ab", 0), (1, 1, "z", 4), (2, 0, "せがー", 3), (2, 1, "ab", 0)}
     assert candidates.rows_of(made, ID).where("surface = 'せがー'").first().price == 2
+
+
+def test_numbers_that_are_words(spark):
+    entries = spark.createDataFrame([("12", "number"), ("7", "name"), ("ab", "noun")], "surface string, pos string")
+    s = sentences(spark, "ab12", "7ab")
+    plain, told = candidates.Maker("n", "numeric"), candidates.Maker("n", "numeric", template=(("pos", "number"), ("surface", "0")), overlaid=("surface",))
+    made = lambda m: {(r.id, r.start, r.surface, r.flag) for r in candidates.made(m, s, entries, ID).collect()}
+    assert made(plain) == {(0, 3, "2", 1)}
+    assert made(told) == {(0, 3, "2", 1), (1, 0, "7", 0)}
