@@ -44,8 +44,39 @@ def _made(sentences: DataFrame, block: trie.Block, ids: list[str], find) -> Data
     return sentences.select(*ids, "text").mapInArrow(each, f"{trie.schema_of(sentences, ids)}, start int, end int, surface string, not_prefix int")
 
 
+def listed(sentences: DataFrame, words: DataFrame, find, text: str, into: str) -> DataFrame:
+    """sentences with a column of what find finds in the column text, array<struct<start, end, flag>>,
+    found where the sentences are. A null text has nothing."""
+    for block in trie.blocks(words):
+        own = _listed(sentences, block, find, text, "_found")
+        sentences = own.withColumn(into, F.concat(into, "_found") if into in sentences.columns else F.col("_found")).drop("_found")
+    return sentences
+
+
+def _listed(sentences: DataFrame, block: trie.Block, find, text: str, into: str) -> DataFrame:
+    shared = sentences.sparkSession.sparkContext.broadcast(block)
+
+    def each(batches):
+        for batch in batches:
+            for low, begins, codes in trie.texts_of(batch, text):
+                start, end, flag = find(shared.value, codes, np.where(codes > 0, classes_of(codes), 0))
+                row = np.searchsorted(begins, start, side="right") - 1
+                order = np.lexsort((end, start))
+                row = row[order]
+                items = pa.StructArray.from_arrays([pa.array(k.astype(np.int32)) for k in (start[order] - begins[row], end[order] - begins[row], flag[order])], names=["start", "end", "flag"])
+                offsets = pa.array(np.searchsorted(row, np.arange(len(begins))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, len(begins) - 1).columns, pa.ListArray.from_arrays(offsets, items)], names=[*batch.schema.names, into])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sentences.schema)
+    return sentences.mapInArrow(each, f"{kinds}, {into} array<struct<start:int,end:int,flag:int>>")
+
+
 def single(sentences: DataFrame, words: DataFrame, ids: list[str], classes: str) -> DataFrame:
     """(<ids>, start, end, surface, not_prefix): characters of the classes that are no words."""
+    return made(sentences, words, ids, singles_of(classes))
+
+
+def singles_of(classes: str):
     wanted = class_by_name(classes)
 
     def find(block, codes, kinds):
@@ -53,12 +84,16 @@ def single(sentences: DataFrame, words: DataFrame, ids: list[str], classes: str)
         told = block.trie.words_at(codes, start, start + 1)
         return start[told < 1], start[told < 1] + 1, -told[told < 1]
 
-    return made(sentences, words, ids, find)
+    return find
 
 
 def chunks(sentences: DataFrame, words: DataFrame, ids: list[str], classes: str) -> DataFrame:
     """(<ids>, start, end, surface, not_prefix): all substrings that are no words of the longest
     stretches of characters of the classes. Their number grows with the square of a stretch."""
+    return made(sentences, words, ids, chunks_of(classes))
+
+
+def chunks_of(classes: str):
     wanted = class_by_name(classes)
 
     def find(block, codes, kinds):
@@ -66,29 +101,38 @@ def chunks(sentences: DataFrame, words: DataFrame, ids: list[str], classes: str)
         some = block.mine(codes[start])
         return start[some], end[some], flag[some]
 
-    return made(sentences, words, ids, find)
+    return find
 
 
 def numbers(sentences: DataFrame, ids: list[str], words: DataFrame | None = None) -> DataFrame:
     """(<ids>, start, end, surface, not_prefix): the longest number at each start. With words, those
     that are dictionary words are told by not_prefix -1; else all have 1."""
-    begin, pattern = class_by_name("FAMILY_DIGITS|FIGURE_EXCEPTION"), NUMBER.removeprefix("^")
+    none = sentences.sparkSession.createDataFrame([], "surface string")
+    return made(sentences, none if words is None else words, ids, number_at)
 
-    def find(block, codes, kinds):
-        number = re.compile(pattern)
-        start = np.nonzero((kinds & begin != 0) & block.mine(codes))[0]
-        said = codes.astype("<u4").tobytes().decode("utf-32-le")
-        size = np.array([number.match(said[a : a + 4 * MOST_FIGURES].split("\0", 1)[0]).end() for a in start.tolist()], np.int64)
-        start, size = start[size > 0], size[size > 0]
-        return start, start + size, -block.trie.words_at(codes, start, start + size)
 
-    none = sentences.sparkSession.createDataFrame([], "surface string")
-    return made(sentences, none if words is None else words, ids, find)
+def number_at(block, codes, kinds):
+    begin, number = class_by_name("FAMILY_DIGITS|FIGURE_EXCEPTION"), re.compile(NUMBER.removeprefix("^"))
+    start = np.nonzero((kinds & begin != 0) & block.mine(codes))[0]
+    said = codes.astype("<u4").tobytes().decode("utf-32-le")
+    size = np.array([number.match(said[a : a + 4 * MOST_FIGURES].split("\0", 1)[0]).end() for a in start.tolist()], np.int64)
+    start, size = start[size > 0], size[size > 0]
+    return start, start + size, -block.trie.words_at(codes, start, start + size)
+
+
+def numbers_of(block, codes, kinds):
+    """Of number_at() what is no word."""
+    start, end, flag = number_at(block, codes, kinds)
+    return start[flag >= 0], end[flag >= 0], flag[flag >= 0]
 
 
 def onomatopoeia(sentences: DataFrame, words: DataFrame, ids: list[str], classes: str) -> DataFrame:
     """(<ids>, start, end, surface): ABAB, ABCABC and ABCDABCD of one class that are no words. What
     ends a sentence must have more than four characters before it, so a final ABAB is missed."""
+    return made(sentences, words, ids, twice_of(classes)).drop("not_prefix")
+
+
+def twice_of(classes: str):
     wanted = class_by_name(classes)
 
     def find(block, codes, kinds):
@@ -103,9 +147,16 @@ def onomatopoeia(sentences: DataFrame, words: DataFrame, ids: list[str], classes
             out.append((start, start + 2 * half))
         start, end = (np.concatenate(k) for k in zip(*out))
         told = block.trie.words_at(codes, start, end)
-        return start[told < 1], end[told < 1], -told[told < 1]
+        return start[told < 1], end[told < 1], 0 * start[told < 1]
+
+    return find
+
 
-    return made(sentences, words, ids, find).drop("not_prefix")
+def altered(block, codes, kinds):
+    """Altered spellings of dictionary words, with the flags of their changes. Different words may be
+    written alike; each counts."""
+    start, end, _, flags = block.trie.walk_alike(codes)
+    return start, end, flags
 
 
 def connections(nodes: DataFrame, ids: list[str]) -> DataFrame:

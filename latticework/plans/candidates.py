@@ -50,17 +50,24 @@ def made(maker: Maker, sentences: DataFrame, words: DataFrame, ids: list[str]) -
     return rows.select(*ids, "start", "end", "surface", "flag")
 
 
-def _added(lattices: DataFrame, some: DataFrame, makers: list[Maker], wanted: list[int], words: DataFrame, ids: list[str]) -> DataFrame:
-    """lattices with the words of the wanted makers, made for the sentences `some`, among their edges."""
-    rows = None
+#: How makers find their words where the sentences are: kind -> (classes -> finder).
+FINDERS = {"single": seeds.singles_of, "chunk": seeds.chunks_of, "numeric": lambda classes: seeds.numbers_of, "onomatopoeia": seeds.twice_of, "normalize": lambda classes: seeds.altered}
+
+
+def _added(lattices: DataFrame, text: str, makers: list[Maker], wanted: list[int], words: DataFrame, ids: list[str]) -> DataFrame:
+    """lattices with the words that the wanted makers find in the column text among their edges. Only
+    those of a maker with a template are joined; the others come without a shuffle."""
     for k in wanted:
-        found = made(makers[k - 1], some, words, ids).select(*ids, "start", "end", F.lit(makers[k - 1].price).alias("price"), F.lit(k).alias("maker"), F.col("flag").cast("int").alias("flag"))
-        rows = found if rows is None else rows.unionByName(found)
-    if rows is None:
-        return lattices
-    listed = rows.groupBy(*ids).agg(F.collect_list(F.struct("start", "end", "price", "maker", "flag")).alias("_made"))
-    joined = lattices.join(listed, ids, "left")
-    return joined.withColumn("edges", F.when(F.col("_made").isNull(), F.col("edges")).otherwise(F.concat("edges", "_made"))).drop("_made")
+        m = makers[k - 1]
+        told = lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.lit(m.price).alias("price"), F.lit(k).alias("maker"), e["flag"].alias("flag"))  # noqa: B023, E731
+        if m.template:
+            rows = made(m, lattices.select(*ids, F.col(text).alias("text")), words, ids)
+            grouped = rows.groupBy(*ids).agg(F.collect_list(F.struct("start", "end", F.col("flag").cast("int").alias("flag"))).alias("_made"))
+            found = lattices.join(grouped, ids, "left").withColumn("_made", F.coalesce("_made", F.array().cast("array<struct<start:int,end:int,flag:int>>")))
+        else:
+            found = seeds.listed(lattices, words, FINDERS[m.kind](m.classes), text, "_made")
+        lattices = found.withColumn("edges", F.concat("edges", F.transform("_made", told))).drop("_made")
+    return lattices
 
 
 def candidates(sentences: DataFrame, words: DataFrame, makers: list[Maker], ids: list[str], price: int = search.WORD_COST) -> DataFrame:
@@ -73,11 +80,11 @@ def candidates(sentences: DataFrame, words: DataFrame, makers: list[Maker], ids:
     base = trie.with_edges(good, words, ids).withColumn("edges", own)
     first = [k for k, m in enumerate(makers, 1) if not m.low]
     second = [k for k, m in enumerate(makers, 1) if m.low]
-    tried = search.with_connects(_added(base, good, makers, first, words, ids), ids)
+    tried = search.with_connects(_added(base, "text", makers, first, words, ids), ids)
     if not second:
         return tried
-    left = tried.where("not connects").select(*ids, "text")
-    return search.with_connects(_added(tried.drop("connects"), left, makers, second, words, ids), ids)
+    left = tried.withColumn("_left", F.when(~F.col("connects"), F.col("text"))).drop("connects")
+    return search.with_connects(_added(left, "_left", makers, second, words, ids).drop("_left"), ids)
 
 
 def rows_of(lattices: DataFrame, ids: list[str]) -> DataFrame:
