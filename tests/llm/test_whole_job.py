@@ -153,3 +153,31 @@ def test_counts_of_neighbours_bound_edits():
             b[at : at + rnd.randint(0, 1)] = [rnd.choice("abé語 ")] * rnd.randint(0, 1)
         x, y = line_dedup.bigrams([a, "".join(b)])
         assert np.abs(x - y).sum() <= 4 * edits
+
+
+def test_lines_that_share_one_frequent_key_are_compared(spark, monkeypatch):
+    """Whatever a bucket's size, lines that meet in it are decided by edit similarity alone: here many
+    lines begin with one phrase, and each line's only near copy shares nothing else with it."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(9))
+    rows = []
+    for k in range(30):
+        tail = [word() for _ in range(6)]
+        other = [w[:4] + "z" + w[5:] for w in tail]
+        rows += [(2 * k, " ".join(["considerable", "circumstances", *tail])), (2 * k + 1, " ".join(["considerable", "circumstances", *other]))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    found = {r.id: r["keys"] for r in line_dedup.classes_of(df).select("id", "keys").collect()}
+    times = Counter(k for keys in found.values() for k in keys)
+    met = {i for i, keys in found.items() if max(times[k] for k in keys) > line_dedup.FEW}
+    assert len(met) >= 40
+    classes = line_dedup.classes_of(df).localCheckpoint()
+    held = {r.h1: (r.id, set(r["keys"])) for r in classes.collect()}
+    h1 = {r.doc_id: r.h for r in df.select("doc_id", line_dedup.identity("text")[0].alias("h")).collect()}
+    of = {k: held[h] for k, h in h1.items()}
+    text = dict(rows)
+    want = {(of[a][0], of[b][0]) for a in text for b in text if a < b and of[a][1] & of[b][1] and line_dedup.within(text[a], text[b], int(0.2 * max(len(text[a]), len(text[b])) + 1e-9))}
+    assert len(want) >= 15
+    component = {r.id: r.component for r in line_dedup.groups(classes, df).collect()}
+    assert all(component.get(a) is not None and component.get(a) == component.get(b) for a, b in want)
+    assert {i for pair in want for i in pair} == set(component)
