@@ -133,3 +133,16 @@ def test_running_ends_of_very_many_words(spark):
 def test_flag_letters(spark):
     df = spark.createDataFrame([(0,), (kana.REPLACE | kana.REPLACE_PROLONG | kana.E_ROW,), (kana.DELETE | kana.DELETE_TSU | kana.DELETE_LAST,), (kana.REPLACE | kana.REPLACE_SMALL | kana.DELETE | kana.DELETE_PROLONG | kana.DELETE_SMALL,)], "f int")
     assert [r[0] for r in df.select(formats.flag_suffix(F.col("f"))).collect()] == ["", "非標準表記:Rpe", "非標準表記:DHL", "非標準表記:RsDPS"]
+
+
+def test_lattice_text_searches_once(spark, small, tmp_path):
+    """No table of nodes is sent to all tasks or joined, and paths are searched once for a sentence."""
+    texts, dic, lattices = small
+    paths = search.n_best(lattices, ID, keep=3, beam=4, details=True)
+    none = {n: F.lit(None).cast("string") for n in ("subpos", "conjtype", "conjform", "features", "canonical", "base", "reading")} | {f"{n}_id": F.lit(0) for n in ("subpos", "conjtype", "conjform")}
+    named = search.numbered_nodes(paths, ID).withColumns(none | {"pos": F.lit("noun"), "pos_id": F.lit(6), "flags": F.lit(0)})
+    once = formats.lattice_text(named, None, ID)
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("search(") == 1 and "Join" not in plan
+    given = formats.lattice_text(named, paths.select("id", "rank", "score"), ID)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, given.collect())) and once.count() == len(texts)
