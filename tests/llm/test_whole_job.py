@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,50 @@ def test_lines_that_share_one_frequent_key_are_compared(spark, monkeypatch):
     component = {r.id: r.component for r in line_dedup.groups(classes, df).collect()}
     assert all(component.get(a) is not None and component.get(a) == component.get(b) for a, b in want)
     assert {i for pair in want for i in pair} == set(component)
+
+
+def test_unlike_lines_of_a_bucket_are_aligned_at_once(monkeypatch):
+    """Of many lines of one bucket only those that are alike cost an edit distance of their own."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9)))
+    norms = [" ".join(["considerable", "circumstances", *[word() for _ in range(30)]]) for _ in range(120)]
+    norms += [t[:50] + "zz" + t[52:] for t in norms[:7]]
+    sizes = [len(t) for t in norms]
+    ids = np.arange(len(norms))
+    cell = pd.DataFrame({"key": -5, "component": ids, "size": sizes, "stray": ids > 0, "role": 3, "id": ids, "norm": norms, "keys": [[-5]] * len(norms)})
+    calls, within = [], line_dedup.within
+    monkeypatch.setattr(line_dedup, "within", lambda *pair: calls.append(pair) or within(*pair))
+    assert sorted(p for found in line_dedup.alike_of([cell], 0.8, False) for p in found) == [(120 + k, k) for k in range(7)]
+    assert len(calls) < 50
+
+
+@pytest.mark.parametrize(("letters", "length"), [("ab", 40), ("abcdefgh", 300), ("".join(map(chr, range(0x4E00, 0x4F00))), 150), ("abcdefgh", 900)])
+def test_alignment_of_many_pairs_at_once(letters, length):
+    """No pair that edit distance links is lost, and with few kinds of letters none is too many."""
+    rnd = random.Random(length)
+    base, norms = [rnd.choice(letters) for _ in range(length)], []
+    for share in np.linspace(0, 0.3, 25):
+        line = list(base)
+        for _ in range(int(share * length)):
+            at, how = rnd.randrange(len(line)), rnd.randrange(3)
+            line[at : at + (how > 0)] = [rnd.choice(letters)] * (how < 2)
+        norms.append("".join(line))
+
+    def distance(a: str, b: str) -> int:
+        row = np.arange(len(b) + 1)
+        codes = np.frombuffer(b.encode("utf-32-le"), "<u4")
+        for i, x in enumerate(a, 1):
+            least = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (codes != ord(x))))
+            row = np.minimum.accumulate(least - np.arange(len(least))) + np.arange(len(least))
+        return int(row[-1])
+
+    sizes = np.array([len(t) for t in norms])
+    a, b = np.triu_indices(len(norms), 1)
+    edits = (0.2 * np.maximum(sizes[a], sizes[b]) + 1e-9).astype(np.int64)
+    near = np.abs(sizes[a] - sizes[b]) <= edits
+    a, b, edits = a[near], b[near], edits[near]
+    held = line_dedup.possible(line_dedup.kinds_of(norms), np.cumsum(sizes) - sizes, sizes, a, b, edits)
+    truth = np.array([distance(norms[x], norms[y]) <= d for x, y, d in zip(a, b, edits)])
+    assert 0 < truth.sum() < len(truth)
+    assert [line_dedup.within(norms[x], norms[y], d) for x, y, d in zip(a, b, edits.tolist())] == truth.tolist()
+    assert (held >= truth).all() and (len(letters) > line_dedup.KINDS or (held == truth).all())
