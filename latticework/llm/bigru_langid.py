@@ -18,6 +18,8 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 8
 EPOCHS, BATCH, RATE, SEED = 8, 256, 0.01, 7
 #: Windows that go through the network at once.
 AT_ONCE = 1024
+#: Windows of a stretch of texts, about; a longer text is a stretch of its own.
+STRETCH = 16 * AT_ONCE
 UNDETERMINED = "und"
 #: Documents that score less are rejected by accepted().
 LEAST_SCORE = 0.3
@@ -148,7 +150,14 @@ class BiGru:
         return losses
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
-        """Each document's probabilities, pooled as the mean over all its bytes."""
+        """Each document's probabilities, pooled as the mean over all its bytes; a stretch of texts
+        at a time, so that memory doesn't grow with the batch."""
+        part = np.cumsum([-(-len(x) // WINDOW) for x in texts]) // STRETCH
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        return np.concatenate([self.stretch(texts[a:b]) for a, b in zip(bounds, bounds[1:])])
+
+    def stretch(self, texts: list[bytes]) -> np.ndarray:
+        """documents() of texts that are held in memory together."""
         counts = np.array([-(-len(x) // WINDOW) for x in texts])
         windows, sizes = windowed(texts)
         sums = np.zeros((len(windows) + 1, len(self.langs)))

@@ -229,3 +229,15 @@ def test_alignment_of_many_pairs_at_once(letters, length):
     assert 0 < truth.sum() < len(truth)
     assert [line_dedup.within(norms[x], norms[y], d) for x, y, d in zip(a, b, edits.tolist())] == truth.tolist()
     assert (held >= truth).all() and (len(letters) > line_dedup.KINDS or (held == truth).all())
+
+
+def test_languages_are_told_a_stretch_of_texts_at_a_time(monkeypatch):
+    rnd = random.Random(4)
+    net = bigru_langid.BiGru.new(["aa", "bb"])
+    texts = [bytes(rnd.choices(b"abcdefgh ", k=rnd.choice([1, 63, 64, 65, 700]))) for _ in range(300)] + [b"a" * 20000, b"b"]
+    whole = net.documents(texts)
+    held, windowed = [], bigru_langid.windowed
+    monkeypatch.setattr(bigru_langid, "STRETCH", 100, raising=False)
+    monkeypatch.setattr(bigru_langid, "windowed", lambda some: held.append(sum(-(-len(x) // 64) for x in some)) or windowed(some))
+    assert np.allclose(net.documents(texts), whole, atol=1e-6) and np.allclose(np.concatenate([net.documents([x]) for x in texts]), whole, atol=1e-6)
+    assert max(held) <= 100 + 20000 // 64 + 1 and sorted(held)[-3] <= 112
