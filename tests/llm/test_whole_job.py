@@ -241,3 +241,23 @@ def test_languages_are_told_a_stretch_of_texts_at_a_time(monkeypatch):
     monkeypatch.setattr(bigru_langid, "windowed", lambda some: held.append(sum(-(-len(x) // 64) for x in some)) or windowed(some))
     assert np.allclose(net.documents(texts), whole, atol=1e-6) and np.allclose(np.concatenate([net.documents([x]) for x in texts]), whole, atol=1e-6)
     assert max(held) <= 100 + 20000 // 64 + 1 and sorted(held)[-3] <= 112
+
+
+def test_lines_that_share_just_one_of_many_keys(spark):
+    """However many keys a line has, each is one to meet by: here lines of 120 words are alike, but
+    by their letters, since all words but two neighbours differ by one."""
+    rnd = random.Random(23)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(9))
+    rows = []
+    for k in range(20):
+        line, at = [word() for _ in range(120)], rnd.randrange(119)
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(w if i in (at, at + 1) else w[:4] + "z" + w[5:] for i, w in enumerate(line)))]
+    found = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect() if r.n_removed}
+    assert found == {2 * k + 1 for k in range(20)}
+
+
+def test_pairs_of_several_keys_are_compared_under_the_least():
+    keys = [np.array(k, np.int64) for k in ([-9, -5, 3], [-5, 3], [-9, 3], [3], [3, 7])]
+    found = line_dedup.met_before(keys, 3)
+    assert {(a, b) for a, b in zip(*np.nonzero(found)) if a < b} == {(0, 1), (0, 2)}
+    assert not line_dedup.met_before([k[:0] for k in keys], 3).any()
