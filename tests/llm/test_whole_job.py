@@ -261,3 +261,36 @@ def test_pairs_of_several_keys_are_compared_under_the_least():
     found = line_dedup.met_before(keys, 3)
     assert {(a, b) for a, b in zip(*np.nonzero(found)) if a < b} == {(0, 1), (0, 2)}
     assert not line_dedup.met_before([k[:0] for k in keys], 3).any()
+
+
+def test_buckets_are_compared_in_rounds(spark, monkeypatch):
+    """Texts of only some buckets are shuffled at a time, and no pair gets lost between the rounds."""
+    rnd = random.Random(12)
+    base = ["".join(rnd.choice("abcdef") for _ in range(30)) for _ in range(3)]
+    texts = [base[k % 3] + f"{k:03d}" for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    identities = df.select(F.col("doc_id").alias("id"), *[h.alias(f"h{k + 1}") for k, h in enumerate(line_dedup.identity("text"))])
+    classes = line_dedup.classes_of(df).drop("id").join(identities, ["h1", "h2"])
+    own = F.array(*[F.when(F.col("id") % 5 != k, F.lit(k + 3).cast("long")) for k in range(5)])
+    rows = classes.select(F.explode(F.filter(own, lambda x: x.isNotNull())).alias("key"), "id", "size", "sim", F.col("id").alias("component"))
+    found, cut_small = [], line_dedup.cut_small
+    monkeypatch.setattr(line_dedup, "cut_small", lambda df: found.append(cut_small(df)) or found[-1])
+    monkeypatch.setattr(line_dedup, "ROUND_ROWS", 1, raising=False)
+    every = [(r.a, r.b) for r in line_dedup.compared(rows, classes, df, "text", 0.8).collect()]
+    assert sorted(every) == sorted((a, b) for a in range(30) for b in range(a) if a % 3 == b % 3)
+    assert sum(x.columns == ["a", "b"] and 0 < x.count() < len(every) for x in found) > 1
+
+
+def test_alignment_that_needs_no_second_look():
+    rnd = random.Random(13)
+    rare = [chr(0x4E00 + k) for k in range(80)]
+    norms = ["".join(rnd.choice("abcdefgh") for _ in range(60)) for _ in range(6)] + ["".join(rnd.choice(rare) for _ in range(60)) for _ in range(6)]
+    norms += [t[:20] + "z" + t[21:] for t in norms]
+    sizes = np.array([len(t) for t in norms])
+    begins, kinds = np.cumsum(sizes) - sizes, line_dedup.kinds_of(norms)
+    a, b = np.triu_indices(len(norms), 1)
+    edits = (0.2 * np.maximum(sizes[a], sizes[b]) + 1e-9).astype(np.int64)
+    held, sure = line_dedup.possible(kinds, begins, sizes, a, b, edits), line_dedup.certain(kinds, begins, a, b, edits)
+    truth = np.array([line_dedup.within(norms[x], norms[y], d) for x, y, d in zip(a, b, edits.tolist())])
+    assert (held == truth)[sure].all() and (held >= truth).all() and truth[sure].any() and not sure.all()
+    assert not line_dedup.certain(kinds, begins, a[:3], b[:3], edits[:3]).any()
