@@ -4,10 +4,14 @@ the dictionary, don't lead from a sentence's start to its end."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticework.functions.chars import classes_of
 from latticework.operators import nodes, search, seeds, trie
 
 
@@ -70,12 +74,54 @@ def _added(lattices: DataFrame, text: str, makers: list[Maker], wanted: list[int
     return lattices
 
 
+def _at_once(sentences: DataFrame, block: trie.Block, makers: list[Maker], ids: list[str], price: int) -> DataFrame:
+    """candidates() of sentences (<ids>, text) in one pass, for a dictionary of one block: a task has one
+    process for all makers, which hold their words as arrays until a stretch of sentences is done."""
+    shared = sentences.sparkSession.sparkContext.broadcast(block)
+    names = ("start", "end", "price", "maker", "flag")
+
+    def each(batches):
+        block = shared.value
+        for batch in batches:
+            for low, begins, codes in trie.texts_of(batch, "text"):
+                start, end, _ = block.trie.walk(codes)
+                found = [np.stack((start, end, np.full(len(start), price), 0 * start, 0 * start))]
+                connects = None
+                for late in (False, True):
+                    if connects is not None:  # only what doesn't connect is left to the others
+                        codes = np.where(np.repeat(connects, np.diff(begins)), 0, codes)
+                    kinds = np.where(codes > 0, classes_of(codes), 0)
+                    for k, m in enumerate(makers, 1):
+                        if m.low == late and codes.any():
+                            start, end, flag = FINDERS[m.kind](m.classes)(block, codes, kinds)
+                            found.append(np.stack((start, end, np.full(len(start), m.price), np.full(len(start), k), flag)))
+                    each_ = [x[:, np.lexsort((x[1], x[0]))] for x in found]
+                    every = np.concatenate(each_, axis=1).astype(np.int64)
+                    row = np.searchsorted(begins, every[0], side="right") - 1
+                    every[:2] -= begins[row]
+                    connects = search.connecting(begins, row, every[0], every[1])
+                    if connects.all():
+                        break
+                order = np.argsort(row, kind="stable")
+                offsets = np.searchsorted(row[order], np.arange(len(begins))).astype(np.int32)
+                items = pa.StructArray.from_arrays([pa.array(x[order].astype(np.int32)) for x in every], names=names)
+                part = batch.slice(low, len(begins) - 1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), items), pa.array(connects)], names=[*part.schema.names, "edges", "connects"])
+
+    kind = ",".join(f"{n}:int" for n in names)
+    return sentences.mapInArrow(each, f"{trie.schema_of(sentences, ids)}, text string, edges array<struct<{kind}>>, connects boolean")
+
+
 def candidates(sentences: DataFrame, words: DataFrame, makers: list[Maker], ids: list[str], price: int = search.WORD_COST) -> DataFrame:
     """(<ids>, text, edges array<struct<start, end, price, maker, flag>>, connects): dictionary words
     are of maker 0, others of the place of their maker, from 1. connects is false for a sentence
     that both stages leave without a path: there is an error to report. Null sentences are left
     out; an empty one connects. No id may repeat."""
     good = sentences.where("text is not null").select(*ids, "text")
+    blocks = trie.blocks(words)
+    some = list(islice(blocks, 2))
+    if len(some) == 1 and not any(m.template for m in makers):
+        return _at_once(good, some[0], makers, ids, price)
     own = F.transform("edges", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.lit(price).alias("price"), F.lit(0).alias("maker"), F.lit(0).alias("flag")))
     base = trie.with_edges(good, words, ids).withColumn("edges", own)
     first = [k for k, m in enumerate(makers, 1) if not m.low]
